@@ -31,8 +31,8 @@ def _normalize(f: Fixtures):
 @query(
     "compare_docs",
     """SELECT doc_id, page_no, kind, TRUE AS text_changed, NULL::DOUBLE AS visual_pct,
-              CASE WHEN length(t_old) <= 360 THEN t_old ELSE concat(substr(t_old, 1, 360), '…') END AS original_text,
-              CASE WHEN length(t_new) <= 360 THEN t_new ELSE concat(substr(t_new, 1, 360), '…') END AS revised_text
+              CASE WHEN length(t_old) <= 360 THEN t_old ELSE substr(t_old, 1, 360) || '…' END AS original_text,
+              CASE WHEN length(t_new) <= 360 THEN t_new ELSE substr(t_new, 1, 360) || '…' END AS revised_text
        FROM diffs""",
     _COMPARE,
 )
