@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from docframe.functions.js import extension
 from docframe.plans.packing import whole_groups
 from docframe.plans.scan import BUCKET_ROWS, attach, bucket_of
+from docframe.plans.stage import stage
 
 MIB = 1024 * 1024
 
@@ -74,7 +75,7 @@ def _bounded(files: DataFrame, low: int, high: int) -> tuple[DataFrame, DataFram
     """Batch counts, and the files of batches with ``low..high`` files (so at most ``high`` each)."""
     counts = files.groupBy("batch").agg(F.count(F.lit(1)).alias("n_files"))
     fits = counts.filter(F.col("n_files").between(low, high)).select("batch")
-    return counts, files.join(fits, "batch", "left_semi")
+    return counts, attach(files, fits, ["batch"], bucket_of("ord"), "inner")
 
 
 def admit_batch(files: DataFrame, caps: Caps = Caps()) -> DataFrame:
@@ -198,15 +199,15 @@ def admit_greedy(files: DataFrame, caps: Caps = Caps(), bucket_rows: int = BUCKE
                 took.append(chosen)
             yield pd.DataFrame({"batch": names, "took": took})
 
-    chosen = rest.repartition("batch").sortWithinPartitions("batch", "ord").mapInPandas(take, out)
-    # At most `max_files` entries per batch travel to the files of that batch.
-    placed = attach(coded, chosen, ["batch"], bucket_of("ord", bucket_rows))
+    # At most `max_files` entries per batch; kept because three steps below read them.
+    chosen = stage(rest.repartition("batch").sortWithinPartitions("batch", "ord").mapInPandas(take, out), "chosen")
+    placed = attach(coded, chosen, ["batch"], bucket_of("ord", bucket_rows), buckets_from=files)
     full_at = F.when(F.size("took") >= most, F.array_max(F.transform("took", lambda t: t["ord"])))
     usable_after = F.col("__code").isNull() & (F.col("ord") > F.col("__full"))
     stops = (
         placed.withColumn("__full", full_at).filter(usable_after).groupBy("batch").agg(F.min("ord").alias("__stop"))
     )
-    marked = attach(placed, stops, ["batch"], bucket_of("ord", bucket_rows))
+    marked = attach(placed, stops, ["batch"], bucket_of("ord", bucket_rows), buckets_from=files)
     mine = F.exists(F.coalesce("took", F.array().cast(out["took"].dataType)), lambda t: t["ord"] == F.col("ord"))
     status = (
         F.when(F.col("ord") > F.col("__stop"), "not-considered")

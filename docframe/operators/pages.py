@@ -296,7 +296,7 @@ def render_plan(
     )
     bad = (F.col("pixels") > page_pixels) | (F.col("used_pixels") > total_pixels)
     first_bad = spent.filter(bad).groupBy("doc_id").agg(F.min("page_no").alias("first_bad"))
-    return attach(spent, first_bad, ["doc_id"], bucket_of("page_no")).withColumn(
+    return attach(spent, first_bad, ["doc_id"], bucket_of("page_no"), buckets_from=pages).withColumn(
         "error", F.when(F.col("page_no") >= F.col("first_bad"), F.lit("page-too-large"))
     )
 

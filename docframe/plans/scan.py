@@ -141,14 +141,16 @@ def attach(
     keys: Sequence[str],
     bucket: Column,
     how: str = "left",
+    buckets_from: DataFrame | None = None,
 ) -> DataFrame:
     """Join one row per key onto ``df`` without sending a hot key to one task.
 
     The key's row is first spread over the buckets the key really has (rows / bucket width of
-    them), so the large side is hashed by ``(key, bucket)`` instead of by the key alone.
+    them), so the large side is hashed by ``(key, bucket)`` instead of by the key alone. The buckets
+    are read from ``df``, or from ``buckets_from``: a cheaper table with at least the same ones.
     """
     keys = list(keys)
-    spread = df.select(*keys, bucket.alias(_B)).distinct().join(per_key, keys, how)
+    spread = (df if buckets_from is None else buckets_from).select(*keys, bucket.alias(_B)).distinct().join(per_key, keys, how)
     return df.withColumn(_B, bucket).join(spread, [*keys, _B]).drop(_B)
 
 
