@@ -73,16 +73,13 @@ def to_cells(df: DataFrame, key: Sequence[str], columns: Sequence[str], row: str
     ``row`` is the 1-based row column. A value is numeric if it reads as a number and has fewer
     than 16 characters.
     """
-    text = df.select(*key, row, *[F.col(c).cast("string").alias(c) for c in columns])
-    long = text.unpivot([*key, row], list(columns), "__name", "raw").filter("raw IS NOT NULL AND raw <> ''")
-    position = F.lit(None).cast("int")
-    for i, c in enumerate(columns):
-        position = F.when(F.col("__name") == c, F.lit(i + 1)).otherwise(position)
+    values = [F.struct(F.lit(i + 1).alias("col"), F.col(c).cast("string").alias("raw")) for i, c in enumerate(columns)]
+    long = df.select(*key, F.col(row).alias("row"), F.inline(F.array(*values))).filter("raw IS NOT NULL AND raw <> ''")
     numeric = trim("raw").rlike(NUMERIC) & (F.length(trim("raw")) < 16)
     return long.select(
         *key,
-        F.col(row).alias("row"),
-        position.alias("col"),
+        "row",
+        "col",
         F.when(numeric, F.lit("n")).otherwise(F.lit("s")).alias("type"),
         F.when(numeric, trim("raw").try_cast("double")).alias("num"),
         F.when(~numeric, F.col("raw")).alias("str"),

@@ -16,7 +16,7 @@ TERMINAL = ("success", "error", "cancel")
 
 def seconds(n: float) -> Column:
     """An interval of ``n`` seconds."""
-    return F.expr(f"make_dt_interval(0, 0, 0, {float(n)})")
+    return F.expr(f"INTERVAL {float(n):.6f} SECOND")
 
 
 def job_status(events: DataFrame, timeout: float = PAGE_TIMEOUT) -> DataFrame:

@@ -14,4 +14,4 @@ def all_queries():
     return registry.QUERIES, registry.ORACLES
 
 
-MODULES = ("queries_pages", "queries_text", "queries_series", "queries_outline", "queries_jobs", "queries_grid")
+MODULES = ("queries_pages", "queries_text", "queries_series", "queries_outline", "queries_jobs", "queries_grid", "queries_sources")
