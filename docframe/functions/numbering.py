@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docframe.functions.js import let
+
 # Roman digits by decimal place.
 _ONES = ["", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"]
 _TENS = ["", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc"]
@@ -50,19 +52,18 @@ def alpha(n: Column) -> Column:
 
 def auto_number(kind: Column, n: Column) -> Column:
     """Text of an automatically numbered bullet such as ``arabicPeriod`` or ``alphaUcParenBoth``."""
-    core = (
-        F.when(kind.startswith("alphaLc"), alpha(n))
-        .when(kind.startswith("alphaUc"), F.upper(alpha(n)))
-        .when(kind.startswith("romanLc"), roman(n))
-        .when(kind.startswith("romanUc"), F.upper(roman(n)))
-        .otherwise(n.cast("string"))
+    plain = (
+        F.when(kind.startswith("alpha"), alpha(n)).when(kind.startswith("roman"), roman(n)).otherwise(n.cast("string"))
     )
-    return (
-        F.when(kind.endswith("ParenBoth"), F.concat(F.lit("("), core, F.lit(")")))
-        .when(kind.endswith("ParenR"), F.concat(core, F.lit(")")))
-        .when(kind.endswith("Plain"), core)
-        .when(kind.endswith("Minus"), F.concat(F.lit("- "), core, F.lit(" -")))
-        .otherwise(F.concat(core, F.lit(".")))
+    upper = kind.startswith("alphaUc") | kind.startswith("romanUc")
+    core = let(plain, lambda p: F.when(upper, F.upper(p)).otherwise(p))
+    return let(
+        core,
+        lambda c: F.when(kind.endswith("ParenBoth"), F.concat(F.lit("("), c, F.lit(")")))
+        .when(kind.endswith("ParenR"), F.concat(c, F.lit(")")))
+        .when(kind.endswith("Plain"), c)
+        .when(kind.endswith("Minus"), F.concat(F.lit("- "), c, F.lit(" -")))
+        .otherwise(F.concat(c, F.lit("."))),
     )
 
 

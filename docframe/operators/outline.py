@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docframe.functions.js import trim
 from docframe.functions.numbering import auto_number
 from docframe.plans.scan import attach, bucket_of, ordered_scan
+from docframe.plans.stage import stage
 
 # Deepest outline level and longest style chain.
 MAX_LEVEL = 8
@@ -37,6 +38,8 @@ def outline_numbers(outline: DataFrame, levels: int = MAX_LEVEL + 1, strict: boo
         own = F.when(level == k, F.col(f"__run{k}")).otherwise(own)
     tagged = runs.withColumns({"__level": level, "__run": own, "__auto": counted}).drop(*ends)
     autos = tagged.filter("__auto").select("doc_id", "ord", "__level", "__run", "start_at", "auto_type")
+    # The scans below read the counted paragraphs several times: keep these narrow rows once.
+    autos = stage(autos, "outline")
     keys = ["doc_id", "__level", "__run"]
     if strict:
         # Leading items that start at 0 do not open the counter.
