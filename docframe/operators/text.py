@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docframe.functions.js import WS, collapse, first_or_empty, let, nfc, nfkd, stem, trim
+from docframe.functions.js import NOT_WS, WS, collapse, first_or_empty, let, nfc, nfkd, stem, trim
 
 # Reference limits.
 SNIPPET = 360
@@ -405,16 +405,19 @@ def _starts(lengths: Column, levels: int = 3) -> Column:
     return let(lengths, any_size)
 
 
-def tokens(pages: DataFrame) -> DataFrame:
-    """Words with their grid position: ``doc_id, page_no, line_no, tok_no, x, token`` and the page's
-    ``n_cols, n_lines``. ``x`` is the 0-based column of the first character. No shuffle."""
+def _page_lines(pages: DataFrame) -> DataFrame:
+    """``doc_id, page_no, n_lines, n_cols, line_no, line``."""
     lines = F.split("text", "\n", -1)
     wide = F.greatest(F.lit(1), F.array_max(F.transform(lines, lambda s: F.length(s))))
-    by_line = pages.select(
+    return pages.select(
         "doc_id", "page_no", F.size(lines).alias("n_lines"), wide.alias("n_cols"), F.posexplode(lines).alias("pos", "line")
-    )
+    ).withColumn("line_no", F.col("pos") + 1).drop("pos")
+
+
+def _placed_words(line: Column) -> Column:
+    """Words of a line as ``array<struct<tok_no, x, token>>``."""
     # Pieces "leading blanks + word" keep every character, so their lengths add up to offsets.
-    pieces = F.regexp_extract_all(F.col("line"), F.lit(f"{WS}*{WS.replace('[', '[^', 1)}+"), F.lit(0))
+    pieces = F.regexp_extract_all(line, F.lit(f"{WS}*{NOT_WS}+"), F.lit(0))
 
     def place(parts: Column) -> Column:
         return let(
@@ -430,8 +433,14 @@ def tokens(pages: DataFrame) -> DataFrame:
             ),
         )
 
-    return by_line.select(
-        "doc_id", "page_no", (F.col("pos") + 1).alias("line_no"), "n_lines", "n_cols", F.inline(let(pieces, place))
+    return let(pieces, place)
+
+
+def tokens(pages: DataFrame) -> DataFrame:
+    """Words with their grid position: ``doc_id, page_no, line_no, tok_no, x, token`` and the page's
+    ``n_cols, n_lines``. ``x`` is the 0-based column of the first character. No shuffle."""
+    return _page_lines(pages).select(
+        "doc_id", "page_no", "line_no", "n_lines", "n_cols", F.inline(_placed_words(F.col("line")))
     )
 
 
@@ -447,21 +456,22 @@ def clean_boxes(boxes: DataFrame) -> DataFrame:
     ).filter((F.col("right") - F.col("left") >= MIN_BOX_SIDE) & (F.col("bottom") - F.col("top") >= MIN_BOX_SIDE))
 
 
-def line_counts(pages: DataFrame) -> DataFrame:
-    """``doc_id, page_no, n_lines``."""
-    return pages.select("doc_id", "page_no", F.size(F.split("text", "\n", -1)).alias("n_lines"))
-
-
-def covered_tokens(toks: DataFrame, boxes: DataFrame, counts: DataFrame) -> DataFrame:
-    """Tokens under a box: distinct ``doc_id, page_no, line_no, tok_no``.
+def covered_spans(pages: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Columns under boxes per line: ``doc_id, page_no, line_no, spans array<struct<c1, c2>>``.
 
-    A box is first turned into the text lines it touches, so box and token meet in an equi-join
-    on the line and only the horizontal overlap is left to compare.
+    A box becomes the lines it touches and whole columns ``c1 .. c2 - 1`` there. Boxes that start in
+    the same column keep the widest, so a line has at most as many spans as the page has columns,
+    however many boxes lie on it.
     """
+    lines = F.split("text", "\n", -1)
+    sizes = pages.select(
+        "doc_id", "page_no", F.size(lines).alias("n_lines"),
+        F.greatest(F.lit(1), F.array_max(F.transform(lines, lambda s: F.length(s)))).alias("n_cols"),
+    )
     n = F.col("n_lines")
     touched = (
         clean_boxes(boxes)
-        .join(counts, ["doc_id", "page_no"])
+        .join(sizes, ["doc_id", "page_no"])
         .withColumn(
             "line_no",
             F.explode(
@@ -472,47 +482,44 @@ def covered_tokens(toks: DataFrame, boxes: DataFrame, counts: DataFrame) -> Data
             ),
         )
         .filter((F.col("top") < F.col("line_no") / n) & (F.col("bottom") > (F.col("line_no") - 1) / n))
-        .select(F.col("doc_id").alias("b_doc"), F.col("page_no").alias("b_page"), F.col("line_no").alias("b_line"), "left", "right")
     )
-    hit = (
-        (F.col("doc_id") == F.col("b_doc")) & (F.col("page_no") == F.col("b_page")) & (F.col("line_no") == F.col("b_line"))
-        & (F.col("left") < (F.col("x") + F.length("token")) / F.col("n_cols"))
-        & (F.col("right") > F.col("x") / F.col("n_cols"))
+    keys = ["doc_id", "page_no", "line_no"]
+    widest = touched.groupBy(*keys, F.floor(F.col("left") * F.col("n_cols")).alias("c1")).agg(
+        F.max(F.ceil(F.col("right") * F.col("n_cols"))).alias("c2")
     )
-    return toks.join(touched, hit, "left_semi").select("doc_id", "page_no", "line_no", "tok_no")
+    return widest.groupBy(*keys).agg(F.collect_list(F.struct("c1", "c2")).alias("spans"))
 
 
 def redact(pages: DataFrame, boxes: DataFrame, mask: str = "█") -> DataFrame:
-    """Page text with every token under a box replaced by ``mask`` (one per character).
+    """Page text with every word under a box replaced by ``mask`` (one per character).
 
-    Words are joined by single spaces. Output: ``doc_id, page_no, text, n_masked``.
+    Words are joined by single spaces. Output: ``doc_id, page_no, text, n_masked``. Words stay
+    inside their line, so only lines are joined and regrouped; a page's lines are one text value.
     """
-    toks = tokens(pages)
-    under = covered_tokens(toks, boxes, line_counts(pages)).withColumn("gone", F.lit(True))
-    marked = toks.join(under, ["doc_id", "page_no", "line_no", "tok_no"], "left")
-    gone = F.coalesce("gone", F.lit(False))
-    word = F.when(gone, F.repeat(F.lit(mask), F.length("token"))).otherwise(F.col("token"))
-    # A group is one line of one page, i.e. part of a single text value.
-    lines = marked.groupBy("doc_id", "page_no", "line_no").agg(
-        F.array_sort(F.collect_list(F.struct("tok_no", word.alias("w")))).alias("ws"),
-        F.sum(gone.cast("long")).alias("n"),
-    )
-    built = lines.groupBy("doc_id", "page_no").agg(
-        F.array_sort(
-            F.collect_list(F.struct("line_no", F.array_join(F.transform("ws", lambda t: t["w"]), " ").alias("s")))
-        ).alias("ls"),
-        F.sum("n").alias("n_masked"),
-    )
-    # Lines without a word have no tokens; they come back as empty lines.
-    joined = line_counts(pages).join(built, ["doc_id", "page_no"], "left")
-    by_no = F.map_from_entries(F.coalesce("ls", F.array().cast("array<struct<line_no:int,s:string>>")))
-    text = let(
-        by_no,
-        lambda m: F.array_join(
-            F.transform(F.sequence(F.lit(1), F.col("n_lines")), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(""))), "\n"
-        ),
+    lines = _page_lines(pages).join(covered_spans(pages, boxes), ["doc_id", "page_no", "line_no"], "left")
+
+    def hit(word: Column) -> Column:
+        return F.exists("spans", lambda s: (s["c1"] < word["x"] + F.length(word["token"])) & (s["c2"] > word["x"]))
+
+    def cover(words: Column) -> Column:
+        return let(
+            F.transform(words, lambda w: F.struct(w["token"].alias("token"), hit(w).alias("gone"))),
+            lambda ws: F.struct(
+                F.array_join(
+                    F.transform(ws, lambda w: F.when(w["gone"], F.repeat(F.lit(mask), F.length(w["token"]))).otherwise(w["token"])), " "
+                ).alias("s"),
+                F.size(F.filter(ws, lambda w: w["gone"])).cast("long").alias("n"),
+            ),
+        )
+
+    plain = F.struct(collapse("line").alias("s"), F.lit(0).cast("long").alias("n"))
+    done = F.when(F.col("spans").isNull(), plain).otherwise(let(_placed_words(F.col("line")), cover))
+    return (
+        lines.select("doc_id", "page_no", "line_no", done.alias("d"))
+        .groupBy("doc_id", "page_no")
+        .agg(F.array_sort(F.collect_list(F.struct("line_no", F.col("d.s").alias("s")))).alias("ls"), F.sum("d.n").alias("n_masked"))
+        .select("doc_id", "page_no", F.array_join(F.transform("ls", lambda x: x["s"]), "\n").alias("text"), "n_masked")
     )
-    return joined.select("doc_id", "page_no", text.alias("text"), F.coalesce("n_masked", F.lit(0)).alias("n_masked"))
 
 
 # -- locking -----------------------------------------------------------------------------------

@@ -267,7 +267,7 @@ clean AS (
   WHERE r - l >= 0.004::DOUBLE AND b - t >= 0.004::DOUBLE),
 masked AS (
   SELECT *, EXISTS (SELECT 1 FROM clean c WHERE c.doc_id = toks.doc_id AND c.page_no = toks.page_no
-      AND c.l < (x + length(token)) / n_cols AND c.r > x / n_cols
+      AND c.l * n_cols < x + length(token) AND c.r * n_cols > x
       AND c.t < line_no / n_lines AND c.b > (line_no - 1) / n_lines) AS gone
   FROM toks)
 """
