@@ -214,8 +214,8 @@ def locate(points: DataFrame, offsets: DataFrame, band: float = 256.0) -> DataFr
         F.explode(F.sequence(F.floor(F.col("offset") / band), F.floor((F.col("offset") + F.col("size")) / band))),
     ).select("sheet", "dim", "__band", "idx", F.col("offset").alias("__lo"), (F.col("offset") + F.col("size")).alias("__hi"))
     ends = offsets.groupBy("sheet", "dim").agg(F.max("idx").alias("__last"), F.min("idx").alias("__first"))
-    # Points have no ordinal; a position band keeps the spread of the per-axis row bounded.
-    clamped = attach(points, ends, ["sheet", "dim"], F.floor(F.col("pos") / F.lit(band * 4096)).cast("long"))
+    # Points have no ordinal; hashing the position spreads a crowded axis over many buckets.
+    clamped = attach(points, ends, ["sheet", "dim"], F.pmod(F.xxhash64("pos"), F.lit(1024)))
     clamped = clamped.withColumn("__p", F.greatest(F.lit(0.0), "pos")).withColumn("__band", F.floor(F.col("__p") / band))
     spread = spread.withColumnsRenamed({"sheet": "__s", "dim": "__d", "__band": "__b"})
     hit = (

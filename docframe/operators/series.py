@@ -70,22 +70,20 @@ def stack(points: DataFrame, mode: str = "stacked", bars: bool = True) -> DataFr
     """
     if mode == "clustered":
         return points.withColumn("stack_from", F.when(F.col("value").isNotNull(), F.lit(0.0))).withColumn("stack_to", F.col("value"))
-    keys = ["chart", "idx"]
-    order, bucket = ["series_idx"], bucket_of("series_idx")
     v = F.col("value")
+    up = F.when(v >= 0, v) if bars else v
+    # Percentages are a constant factor within a category, so one scan of the raw values is enough.
+    scanned = ordered_scan(
+        points, ["chart", "idx"], ["series_idx"], bucket_of("series_idx"),
+        running={"__up": up, "__down": F.when(v < 0, v)}, total={"__abs": F.abs(v)},
+    )
+    factor = F.lit(1.0)
     if mode == "percentStacked":
-        sums = ordered_scan(points, keys, order, bucket, total={"__abs": F.abs(v)})
-        whole = F.when(F.col("__abs") == 0, F.lit(1.0)).otherwise(F.col("__abs"))
-        points = sums.withColumn("__v", v / whole * 100)
-    else:
-        points = points.withColumn("__v", v)
-    up = F.when(F.col("__v") >= 0, F.col("__v")) if bars else F.col("__v")
-    down = F.when(F.col("__v") < 0, F.col("__v"))
-    scanned = ordered_scan(points, keys, order, bucket, running={"__up": up, "__down": down})
-    end = F.when(F.col("__v") >= 0, F.col("__up")).otherwise(F.col("__down")) if bars else F.col("__up")
-    end = F.when(F.col("__v").isNotNull(), end)
-    base = end - F.col("__v") if bars else F.when(F.col("__v").isNotNull(), F.lit(0.0))
-    return scanned.withColumn("stack_to", end).withColumn("stack_from", base).drop("__v", "__up", "__down", "__abs")
+        factor = F.lit(100.0) / F.when(F.col("__abs") == 0, F.lit(1.0)).otherwise(F.col("__abs"))
+    end = F.when(v >= 0, F.col("__up")).otherwise(F.col("__down")) if bars else F.col("__up")
+    end = F.when(v.isNotNull(), end * factor)
+    base = end - v * factor if bars else F.when(v.isNotNull(), F.lit(0.0))
+    return scanned.withColumn("stack_to", end).withColumn("stack_from", base).drop("__up", "__down", "__abs")
 
 
 def value_domain(points: DataFrame, mode: str = "clustered") -> DataFrame:

@@ -51,16 +51,20 @@ def compare_docs(a: DataFrame, b: DataFrame) -> DataFrame:
     Output: ``doc_id, page_no, kind (added/removed/changed), text_changed, visual_pct,
     original_text, revised_text``; equal pages are left out. Pages with ``width``/``height`` of
     different size count as fully changed; a ``pixels`` column on both sides is compared with
-    :func:`array_diff_pct`. Whole texts are compared; only the reported text is shortened.
+    :func:`array_diff_pct`. Whole texts are compared, by SHA-256 and length, so that the join moves a
+    digest and the reported snippet of every page instead of both corpora.
     """
     sized = {"width", "height"} <= set(a.columns) & set(b.columns)
     imaged = "pixels" in a.columns and "pixels" in b.columns
 
     def side(df: DataFrame, p: str) -> DataFrame:
-        cols = [normalize_text("text").alias(f"{p}_text"), F.lit(True).alias(f"{p}_there")]
+        whole = F.col("__whole")
+        digest = F.struct(F.unhex(F.sha2(whole, 256)).alias("sha"), F.length(whole).alias("n"))
+        cols = [snippet(whole).alias(f"{p}_text"), digest.alias(f"{p}_digest"), F.lit(True).alias(f"{p}_there")]
         cols += [F.col(c).alias(f"{p}_{c}") for c in ("width", "height") if sized]
         cols += [F.col("pixels").alias(f"{p}_pixels")] if imaged else []
-        return df.select("doc_id", "page_no", *cols)
+        # Normalised once in its own projection; the columns below all read it.
+        return df.withColumn("__whole", normalize_text("text")).select("doc_id", "page_no", *cols)
 
     both = side(a, "a").join(side(b, "b"), ["doc_id", "page_no"], "full_outer")
     visual = array_diff_pct("a_pixels", "b_pixels") if imaged else F.lit(None).cast("double")
@@ -72,7 +76,7 @@ def compare_docs(a: DataFrame, b: DataFrame) -> DataFrame:
     both = both.withColumns(
         {
             "kind": kind,
-            "text_changed": ~F.col("a_text").eqNullSafe(F.col("b_text")),
+            "text_changed": ~F.col("a_digest").eqNullSafe(F.col("b_digest")),
             "visual_pct": F.when(paired, visual),
         }
     )
@@ -83,8 +87,8 @@ def compare_docs(a: DataFrame, b: DataFrame) -> DataFrame:
         "kind",
         "text_changed",
         "visual_pct",
-        F.when(F.col("text_changed"), snippet(F.col("a_text"))).alias("original_text"),
-        F.when(F.col("text_changed"), snippet(F.col("b_text"))).alias("revised_text"),
+        F.when(F.col("text_changed"), F.col("a_text")).alias("original_text"),
+        F.when(F.col("text_changed"), F.col("b_text")).alias("revised_text"),
     )
 
 
