@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docframe.plans.ship import ship
 from docframe.sources.fixtures import Fixtures, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,7 +17,11 @@ def query(name: str, sql: str | None = None, extra: str = ""):
     """Register ``fn(fixtures) -> DataFrame`` under ``name``."""
 
     def register(fn: Callable[[Fixtures], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(Fixtures(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(Fixtures(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_views(sql, extra)
         return fn

@@ -1,8 +1,9 @@
 """Materialised intermediate tables in the shared checkpoint folder.
 
 A result that several branches of a plan read is written once as parquet, which cuts the lineage
-and survives the loss of executors. The folder is ``spark.checkpoint.dir``; only where that is not
-set (tests, a laptop) a temporary one is made.
+and survives the loss of executors. The folder is ``spark.checkpoint.dir``, else the folder given to
+``SparkContext.setCheckpointDir``. A session in one process (``local[n]``) that has neither gets a
+temporary one; on a cluster that is an error, since executors do not share local folders.
 """
 
 from __future__ import annotations
@@ -20,7 +21,13 @@ def work_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    app = spark.conf.get("spark.app.id", "local")
+    context = spark.sparkContext
+    given = context._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get().rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="docframe-")
     return _OWN[app]
