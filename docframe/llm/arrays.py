@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2_000_000
+SLICE_TEXTS = 20_000
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -109,7 +110,7 @@ def text_slices(column: pa.Array | pa.ChunkedArray, slice_bytes: int = SLICE_BYT
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + slice_bytes, side="right")) - 1)
-        j = min(j, n)
+        j = min(j, n, i + SLICE_TEXTS)
         yield i, j, Texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         i = j
 

@@ -12,8 +12,9 @@ members that are still in different components are verified, each starting from
 component of its key. No pair that could change a component is left out, and a group of thousands of near
 copies costs one verification each. ``jaccard_links`` verifies every candidate pair instead.
 
-The frequency classes come from a count over all documents with a floor per batch; they decide the order
-only, never the result. At most ``COMMON`` hashes are sent to the workers.
+The frequency classes (powers of two) come from a count over all documents, in which a block of
+``COUNT_BYTES`` reports the shingles that it holds twice and in one of a thousand documents or more; they
+decide the order only, never the result. At most ``COMMON`` hashes are sent to the workers.
 
 Edge cases: ASCII capitals are lowered; a text with fewer words than a shingle is one shingle; null and empty
 texts have no shingle and link with nothing; repeated rows and ids are separate documents of one class; a
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +37,10 @@ from docframe.llm.keys import KEY, LAST, keyed, with_key
 from docframe.plans.stage import stage
 
 COMMON = 100_000
+COUNT_BYTES = 16_000_000
+CENTRES = 3
+BITMAP = 4
+"""64-bit words of a set's parity bitmap."""
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,7 +56,8 @@ def shingle_sets(t: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
         whole = rolling(words, first[short], first[short + 1], WORD_BASES[0])
         whole = mix(whole + np.diff(first)[short].astype(np.uint64))
         hashed, owner = np.concatenate((hashed, whole)), np.concatenate((owner, short))
-    order = np.lexsort((hashed, owner))
+    # Sorting by text and the upper bits of the hash brings equal ones together and is much faster.
+    order = np.argsort((owner.astype(np.uint64) << np.uint64(48)) | (hashed >> np.uint64(16)))
     hashed, owner = hashed[order], owner[order]
     fresh = np.ones(len(hashed), dtype=bool)
     fresh[1:] = (hashed[1:] != hashed[:-1]) | (owner[1:] != owner[:-1])
@@ -59,18 +65,27 @@ def shingle_sets(t: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def common_shingles(rows: DataFrame, width: int) -> list:
-    """The most frequent shingles ``(hash, count)``, at most ``COMMON``; counted where a batch holds
-    them in two documents or in one of a thousand, whichever is more."""
+    """The most frequent shingles ``(hash, count)``, at most ``COMMON``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, docs, size = [], 0, 0
+
+        def often() -> pa.RecordBatch:
+            h = np.sort(np.concatenate(held))
+            at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            n = np.diff(np.append(at, len(h)))
+            keep = n >= max(2, docs / 1000)
+            return pa.RecordBatch.from_arrays([pa.array(signed(h[at[keep]])), pa.array(n[keep].astype(np.int64))], names=["h", "n"])
+
         for batch in batches:
-            kept = []
-            for _, _, t in text_slices(batch.column(0), 16_000_000):
-                h, n = np.unique(shingle_sets(t, width)[0], return_counts=True)
-                often = n >= max(2, len(t) / 1000)
-                kept.append((h[often], n[often]))
-            for h, n in kept:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n.astype(np.int64))], names=["h", "n"])
+            for _, _, t in text_slices(batch.column(0)):
+                held.append(shingle_sets(t, width)[0])
+                docs, size = docs + len(t), size + len(t.data)
+                if size >= COUNT_BYTES:
+                    yield often()
+                    held, docs, size = [], 0, 0
+        if held:
+            yield often()
 
     counts = rows.select("__text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     return counts.orderBy(F.col("n").desc(), "h").limit(COMMON).collect()
@@ -79,33 +94,40 @@ def common_shingles(rows: DataFrame, width: int) -> list:
 _SET = T.StructType(
     [
         T.StructField("n", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("gid", T.LongType()),
-        T.StructField("prefix", T.ArrayType(T.LongType())),
+        T.StructField("prefix", T.ArrayType(T.LongType())), *[T.StructField(f"bit{i}", T.LongType()) for i in range(BITMAP)],
     ]
 )
 
 
 def described(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """``__id, __th, n, cid, gid, prefix``: size, class, group and prefix of every document."""
+    """``__id, __th, n, cid, gid, prefix, bit0..``: size, class, group, prefix and bitmap of every document."""
     common = common_shingles(rows, width)
     order = sorted((r["h"] & ((1 << 64) - 1), r["n"]) for r in common)
     keys = np.array([h for h, _ in order], dtype=np.uint64)
-    counts = np.array([n for _, n in order] + [0], dtype=np.int64)
-    sent = rows.sparkSession.sparkContext.broadcast((keys, counts))
+    classes = np.array([int(n).bit_length() for _, n in order], dtype=np.int64)
+    maybe = np.zeros(1 << 20, dtype=bool)
+    maybe[(keys >> np.uint64(44)).astype(np.int64)] = True
+    sent = rows.sparkSession.sparkContext.broadcast((keys, classes, maybe))
 
     @F.arrow_udf(_SET)
     def describe(texts: pa.Array) -> pa.Array:
-        keys, counts = sent.value
-        sizes, cids, gids, prefixes, lengths = [], [], [], [], []
+        keys, classes, maybe = sent.value
+        sizes, cids, gids, prefixes, lengths, bits = [], [], [], [], [], []
         for _, _, t in text_slices(texts):
             h, owner = shingle_sets(t, width)
             n = np.bincount(owner, minlength=len(t))
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ _ODD), dtype=np.uint64)))
             off = np.concatenate(([0], np.cumsum(n)))
             cid = mix(sums[off[1:]] - sums[off[:-1]] + n.astype(np.uint64) * _ODD)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                freq = np.where(keys[at] == h, counts[at], 0)
-                h = h[np.lexsort((h, freq, owner))]
+            places = BITMAP * 64
+            parity = np.bincount(owner * places + (mix(h) % np.uint64(places)).astype(np.int64), minlength=len(t) * places) & 1
+            bits.append(np.packbits(parity.astype(np.uint8).reshape(len(t), places), axis=1).view(np.int64))
+            look = np.flatnonzero(maybe[(h >> np.uint64(44)).astype(np.int64)])
+            if len(look):
+                at = np.minimum(np.searchsorted(keys, h[look]), len(keys) - 1)
+                frequency = np.zeros(len(h), dtype=np.int64)
+                frequency[look] = np.where(keys[at] == h[look], classes[at], 0)
+                h = h[np.argsort(owner * 64 + frequency, kind="stable")]
             p = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
             first = np.concatenate(([0], np.cumsum(p)))
             take = np.arange(first[-1]) + np.repeat(off[:-1] - first[:-1], p)
@@ -113,12 +135,14 @@ def described(rows: DataFrame, width: int, percent: int) -> DataFrame:
             gid = mix(rolling(head, first[:-1], first[1:], WORD_BASES[1]) + n.astype(np.uint64) * _ODD)
             sizes.append(n), cids.append(cid), gids.append(gid), prefixes.append(head), lengths.append(p)
         if not sizes:
-            return pa.array([], pa.struct([("n", pa.int64()), ("cid", pa.int64()), ("gid", pa.int64()), ("prefix", pa.list_(pa.int64()))]))
+            whole = [pa.array([], pa.int64())]
+            return pa.StructArray.from_arrays([*whole * 3, pa.array([], pa.list_(pa.int64())), *whole * BITMAP], names=_SET.names)
         offsets = np.concatenate(([0], np.cumsum(np.concatenate(lengths))))
         return pa.StructArray.from_arrays(
             [
                 pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(signed(np.concatenate(cids))), pa.array(signed(np.concatenate(gids))),
                 list_array(signed(np.concatenate(prefixes)), offsets, pa.int64()),
+                *[pa.array(np.ascontiguousarray(x)) for x in np.concatenate(bits).T],
             ],
             names=_SET.names,
         )
@@ -136,8 +160,10 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
             for k, m, b in text_slices(right.slice(i, j - i)):
                 part = Texts(a.data[a.offsets[k] : a.offsets[m]], a.offsets[k : m + 1] - a.offsets[k])
                 (ha, oa), (hb, ob) = shingle_sets(part, width), shingle_sets(b, width)
-                both = np.isin(mix(ha + oa.astype(np.uint64) * _ODD), mix(hb + ob.astype(np.uint64) * _ODD))
-                shared = np.bincount(oa[both], minlength=m - k)
+                keys = np.concatenate((mix(ha + oa.astype(np.uint64) * _ODD), mix(hb + ob.astype(np.uint64) * _ODD)))
+                order = np.argsort(keys)
+                same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+                shared = np.bincount(np.concatenate((oa, ob))[order[same]], minlength=m - k)
                 union = np.bincount(oa, minlength=m - k) + np.bincount(ob, minlength=m - k) - shared
                 out.append((100 * shared >= percent * union) & (union > 0))
         return pa.array(np.concatenate(out))
@@ -147,14 +173,38 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return pairs.join(left, "a").join(right, "b").filter(similar("ta", "tb")).select("a", "b")
 
 
-def _fits(n: str, m: str, percent: int):
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m))
+def _ceil_share(n, percent: int):
+    return F.floor((F.lit(percent) * n + 99) / 100)
+
+
+def _possible(left: DataFrame, right: DataFrame, on: list[str], condition: Column, percent: int) -> DataFrame:
+    """Pairs ``a < b`` of the members in ``left`` and ``right`` that share keys and can be similar.
+
+    While pairing, sizes must fit and the parity bitmaps must not differ in more places than the sets may:
+    every different place takes an element that only one set has. Then shared prefix hashes are counted.
+    Let x be the set whose prefix ends first in the common order: what its prefix shares with the other set
+    is in the other's prefix too, so the intersection is at most ``c + n_x - len(prefix)`` for c shared
+    hashes. Sets of one group share their whole prefix.
+    """
+    both = F.col("n") + F.col("m")
+    needed = F.floor((F.lit(percent) * both + (99 + percent)) / (100 + percent))
+    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(BITMAP)), F.lit(0))
+    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (differ <= both - 2 * needed)
+    rows = left.join(right, on).filter((F.col("a") != F.col("b")) & condition & fits)
+    ends = [F.struct(F.col("a").alias("id"), F.col("n").alias("size")), F.struct(F.col("b").alias("id"), F.col("m").alias("size"))]
+    each = rows.groupBy(F.least(*ends).alias("x"), F.greatest(*ends).alias("y")).agg(
+        F.count(F.lit(1)).alias("c"), F.max(F.col("ga") == F.col("gb")).alias("same")
+    )
+    each = each.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.size").alias("n"), F.col("y.size").alias("m"), "c", "same")
+    least = needed - F.greatest(_ceil_share(F.col("n"), percent), _ceil_share(F.col("m"), percent)) + 1
+    return each.filter(F.col("same") | (F.col("c") >= least)).select("a", "b")
 
 
 def _prepare(rows: DataFrame, width: int, percent: int):
     """Described documents, class representatives, and members by key (prefix hash or group)."""
     docs = stage(described(rows, width, percent), "sets")
-    classes = docs.filter("n > 0").groupBy("cid", "n", "gid").agg(F.min(F.struct(*KEY)).alias("rep"))
+    bits = [f"bit{i}" for i in range(BITMAP)]
+    classes = docs.filter("n > 0").groupBy("cid", "n", "gid", *bits).agg(F.min(F.struct(*KEY)).alias("rep"))
     classes = stage(classes, "classes")
     groups = classes.groupBy("gid", "n").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("members"))
     # One posting per group: the prefixes of its members are equal, so its first document's will do.
@@ -162,16 +212,25 @@ def _prepare(rows: DataFrame, width: int, percent: int):
     postings = docs.join(lead, [*KEY, "gid"]).dropDuplicates(["gid"]).select("gid", "n", F.explode("prefix").alias("h"))
     postings = stage(postings, "postings")
     several = postings.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
-    shared = stage(postings.join(several, "h"), "shared")
+    shared = postings.join(several, "h")
     own = groups.filter("members > 1").select("gid", "n", F.col("gid").alias("h"))
     keys = shared.unionByName(own.select(*shared.columns))
-    members = keys.join(classes.select("gid", "cid"), "gid").select("h", "cid", "n", "gid")
+    members = keys.join(classes.select("gid", "cid", *bits), "gid").select("h", "cid", "n", "gid", *bits)
     return docs, classes, stage(members, "members")
 
 
-def _texts(rows: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
-    """``cid, __text`` of one document of every class that has a candidate; written once."""
-    used = classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "rep.*")
+def _left() -> list:
+    return ["h", F.col("cid").alias("a"), "n", F.col("gid").alias("ga"), *[F.col(f"bit{i}").alias(f"a{i}") for i in range(BITMAP)]]
+
+
+def _right() -> list:
+    return ["h", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("gid").alias("gb"), *[F.col(f"bit{i}").alias(f"b{i}") for i in range(BITMAP)]]
+
+
+def _texts(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``cid, __text`` of one document of every class in ``pairs``; written once."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    used = stage(classes.join(used, "cid", "left_semi").select("cid", "rep.*"), "used")
     return stage(rows.join(used, KEY).select("cid", "__text"), "texts")
 
 
@@ -183,34 +242,60 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     """
     rows = keyed(docs, doc_id, text)
     described_docs, classes, members = _prepare(rows, width, percent)
-    other = members.select("h", F.col("cid").alias("b"), F.col("n").alias("m"))
-    pairs = members.withColumnRenamed("cid", "a").join(other, "h").filter((F.col("a") < F.col("b")) & _fits("n", "m", percent))
-    links = verified(pairs.select("a", "b").distinct(), _texts(rows, classes, members), width, percent)
+    pairs = _possible(members.select(_left()), members.select(_right()), ["h"], F.col("a") < F.col("b"), percent)
+    pairs = stage(pairs, "pairs")
+    links = verified(pairs, _texts(rows, classes, pairs), width, percent)
     return links, described_docs.select(F.when(F.col("__id") != LAST, F.col("__id")).alias(doc_id), F.col("n").alias("n_shingles"), "cid")
 
 
+def _stars(members: DataFrame, percent: int) -> DataFrame:
+    """Possible pairs of every member and its key's first class in each of ``CENTRES`` orders of classes."""
+    orders = [F.min(F.struct(F.xxhash64(F.lit(i), "cid").alias("o"), "cid")).alias(f"c{i}") for i in range(CENTRES)]
+    centres = members.groupBy("h").agg(*orders)
+    centres = centres.select("h", F.explode(F.array_distinct(F.array(*[F.col(f"c{i}.cid") for i in range(CENTRES)]))).alias("cid"))
+    centres = members.join(centres, ["h", "cid"]).select(_right())
+    return _possible(members.select(_left()), centres, ["h"], F.lit(True), percent)
+
+
+def _across(placed: DataFrame, percent: int) -> DataFrame:
+    """Possible pairs that share a key and ``part`` but not ``root``.
+
+    Of two members with different roots one is outside the key's largest root, so pairs start there.
+    """
+    sizes = placed.groupBy("h", "part", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = sizes.groupBy("h", "part").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "root")).alias("top")).filter("k > 1")
+    open_ = placed.join(mixed.select("h", "part", F.col("top.root").alias("top")), ["h", "part"])
+    few = open_.filter("root <> top").select(*_left(), "part", "root")
+    many = open_.select(*_right(), "part", F.col("root").alias("other"), "top")
+    once = (F.col("root") != F.col("other")) & ((F.col("other") == F.col("top")) | (F.col("a") < F.col("b")))
+    return _possible(few, many, ["h", "part"], once, percent)
+
+
+def _with_roots(members: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    found = roots.select(F.col("node").alias("cid"), F.col("root").alias(name))
+    return members.join(found, "cid", "left").withColumn(name, F.coalesce(name, "cid"))
+
+
 def _rooted(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """``__id, __th, n, cid, root``: the component of every document, by its smallest class."""
+    """``__id, __th, n, cid, root``: the component of every document, by its smallest class.
+
+    The pairs verified first are the stars and all pairs across the components that the stars would give;
+    if stars fail, the pairs across what is left of such a component follow.
+    """
     docs, classes, members = _prepare(rows, width, percent)
-    texts = _texts(rows, classes, members)
-    # Stars: all members of a key against the key's first class.
-    first = members.groupBy("h").agg(F.min(F.struct("cid", "n")).alias("f")).select("h", F.col("f.cid").alias("b"), F.col("f.n").alias("m"))
-    stars = members.join(first, "h").filter((F.col("cid") != F.col("b")) & _fits("n", "m", percent)).select(F.col("cid").alias("a"), "b")
-    links = stage(verified(stars.distinct(), texts, width, percent), "links")
-    roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # The rest: pairs in different components, from outside the largest component of the key.
-    placed = members.join(roots, F.col("cid") == F.col("node"), "left").select("h", "cid", "n", F.coalesce("root", "cid").alias("root"))
-    placed = stage(placed, "placed")
-    parts = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
-    mixed = parts.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "root")).alias("top")).filter("k > 1")
-    open_ = placed.join(mixed.select("h", F.col("top.root").alias("top")), "h")
-    few = open_.filter("root <> top").select("h", F.col("cid").alias("a"), "n", "root")
-    many = open_.select("h", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), "top")
-    pairs = few.join(many, "h").filter((F.col("root") != F.col("other")) & _fits("n", "m", percent))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = stage(verified(pairs, texts, width, percent), "links")
-    links = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = connected_components(links)
+    ends = [F.col("a").alias("u"), F.col("b").alias("v")]
+    stars = stage(_stars(members, percent), "stars")
+    likely = _with_roots(members, connected_components(stars.select(ends)), "likely")
+    likely = stage(likely, "likely")
+    across = _across(likely.select("*", F.lit(0).alias("part"), F.col("likely").alias("root")), percent)
+    pairs = stage(stars.unionByName(across).distinct(), "pairs")
+    links = stage(verified(pairs, _texts(rows, classes, pairs), width, percent), "links")
+    roots = connected_components(links.select(ends))
+    rest = _across(_with_roots(likely.withColumnRenamed("likely", "part"), roots, "root"), percent)
+    rest = stage(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if rest.take(1):
+        more = stage(verified(rest, _texts(rows, classes, rest), width, percent), "links")
+        roots = connected_components(links.unionByName(more).select(ends))
     return docs.join(roots, F.col("cid") == F.col("node"), "left").select(*KEY, "n", "cid", F.coalesce("root", "cid").alias("root"))
 
 
