@@ -1,7 +1,7 @@
 """Hidden Markov language model: Baum-Welch in Spark, exact likelihoods by the scaled forward recursion.
 
 Tokens are lower-cased words, then one end. The model emits token classes: each of the ``CLASSES`` most
-frequent training words is a class of its own, other words share a class by their last byte, the end is a
+frequent training words (with at least ``MIN_SHARE`` of the tokens) is a class of its own, other words share a class by their last byte, the end is a
 class. Inside a shared class a word has probability (count + 1) / (class tokens + class words + 1), all
 unseen words together taking the last share, so the likelihood is that of whole texts over words.
 
@@ -31,6 +31,7 @@ from docframe.llm.arrays import signed, text_slices
 from docframe.plans.stage import fresh_path, stage
 
 CLASSES = 8_000
+MIN_SHARE = 1e-6
 ENDINGS = 256
 PIECE = 128
 BLOCK_BYTES = 32_000_000
@@ -65,7 +66,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, m = len(lengths), len(words)
         texts = pa.RecordBatch.from_arrays(
             [
-                pa.array([block] * rows), ids, pa.array(held),
+                pa.array([block] * rows, pa.string()), ids, pa.array(held),
                 pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(seq)]),
                 pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64()),
             ],
@@ -73,7 +74,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
         vocabulary = pa.RecordBatch.from_arrays(
             [
-                pa.array([block] * m), pa.array(np.arange(m, dtype=np.int64)), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.binary()),
+                pa.array([block] * m, pa.string()), pa.array(np.arange(m, dtype=np.int64)), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.binary()),
                 pa.array(signed(words[order])), pa.array(last[at][order].astype(np.int32)), pa.array(train[order]),
             ],
             names=texts.schema.names,
@@ -102,7 +103,8 @@ class Vocabulary:
         row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
         self.end = texts
         self.tokens, self.kinds = row["n"] + texts, row["v"] + (1 if texts else 0)
-        top = counts.orderBy(F.col("c").desc(), "h").limit(CLASSES).collect()
+        # At most 1 / MIN_SHARE words pass, so the sort that picks the classes stays bounded.
+        top = counts.filter(F.col("c") >= MIN_SHARE * row["n"]).orderBy(F.col("c").desc(), "h").limit(CLASSES).collect()
         top.sort(key=lambda r: r["h"] & ((1 << 64) - 1))
         self.words = np.array([r["h"] for r in top], dtype=np.int64)
         self.class_counts = np.zeros(_TOTAL)

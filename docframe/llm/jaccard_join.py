@@ -39,7 +39,7 @@ from docframe.plans.stage import stage
 COMMON = 100_000
 COUNT_BYTES = 16_000_000
 CENTRES = 3
-BITMAP = 4
+BITMAP = 8
 """64-bit words of a set's parity bitmap."""
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -180,24 +180,19 @@ def _ceil_share(n, percent: int):
 def _possible(left: DataFrame, right: DataFrame, on: list[str], condition: Column, percent: int) -> DataFrame:
     """Pairs ``a < b`` of the members in ``left`` and ``right`` that share keys and can be similar.
 
-    While pairing, sizes must fit and the parity bitmaps must not differ in more places than the sets may:
-    every different place takes an element that only one set has. Then shared prefix hashes are counted.
-    Let x be the set whose prefix ends first in the common order: what its prefix shares with the other set
-    is in the other's prefix too, so the intersection is at most ``c + n_x - len(prefix)`` for c shared
-    hashes. Sets of one group share their whole prefix.
+    Sizes must fit, and the parity bitmaps must not differ in more places than the sets may: every different
+    place takes an element that only one set has. Let x be the set whose prefix ends first in the common
+    order: what its prefix shares with the other set is in the other's prefix too, so similar sets share at
+    least ``least`` prefix hashes, and the first of these lies so far from the end of both prefixes.
     """
-    both = F.col("n") + F.col("m")
-    needed = F.floor((F.lit(percent) * both + (99 + percent)) / (100 + percent))
+    n, m = F.col("n"), F.col("m")
+    needed = F.floor((F.lit(percent) * (n + m) + (99 + percent)) / (100 + percent))
     differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(BITMAP)), F.lit(0))
-    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (differ <= both - 2 * needed)
+    least = needed - F.greatest(_ceil_share(n, percent), _ceil_share(m, percent)) + 1
+    early = (F.col("pa") <= n - _ceil_share(n, percent) + 1 - least) & (F.col("pb") <= m - _ceil_share(m, percent) + 1 - least)
+    fits = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & early & (differ <= n + m - 2 * needed)
     rows = left.join(right, on).filter((F.col("a") != F.col("b")) & condition & fits)
-    ends = [F.struct(F.col("a").alias("id"), F.col("n").alias("size")), F.struct(F.col("b").alias("id"), F.col("m").alias("size"))]
-    each = rows.groupBy(F.least(*ends).alias("x"), F.greatest(*ends).alias("y")).agg(
-        F.count(F.lit(1)).alias("c"), F.max(F.col("ga") == F.col("gb")).alias("same")
-    )
-    each = each.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.size").alias("n"), F.col("y.size").alias("m"), "c", "same")
-    least = needed - F.greatest(_ceil_share(F.col("n"), percent), _ceil_share(F.col("m"), percent)) + 1
-    return each.filter(F.col("same") | (F.col("c") >= least)).select("a", "b")
+    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _prepare(rows: DataFrame, width: int, percent: int):
@@ -209,22 +204,22 @@ def _prepare(rows: DataFrame, width: int, percent: int):
     groups = classes.groupBy("gid", "n").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("members"))
     # One posting per group: the prefixes of its members are equal, so its first document's will do.
     lead = groups.join(classes.select("cid", "rep.*"), F.col("head") == F.col("cid")).select("gid", *KEY)
-    postings = docs.join(lead, [*KEY, "gid"]).dropDuplicates(["gid"]).select("gid", "n", F.explode("prefix").alias("h"))
+    postings = docs.join(lead, [*KEY, "gid"]).dropDuplicates(["gid"]).select("gid", "n", F.posexplode("prefix").alias("p", "h"))
     postings = stage(postings, "postings")
     several = postings.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
     shared = postings.join(several, "h")
-    own = groups.filter("members > 1").select("gid", "n", F.col("gid").alias("h"))
-    keys = shared.unionByName(own.select(*shared.columns))
-    members = keys.join(classes.select("gid", "cid", *bits), "gid").select("h", "cid", "n", "gid", *bits)
+    own = groups.filter("members > 1").select("gid", "n", F.lit(-1).alias("p"), F.col("gid").alias("h"))
+    keys = shared.unionByName(own)
+    members = keys.join(classes.select("gid", "cid", *bits), "gid").select("h", "p", "cid", "n", *bits)
     return docs, classes, stage(members, "members")
 
 
 def _left() -> list:
-    return ["h", F.col("cid").alias("a"), "n", F.col("gid").alias("ga"), *[F.col(f"bit{i}").alias(f"a{i}") for i in range(BITMAP)]]
+    return ["h", F.col("cid").alias("a"), "n", F.col("p").alias("pa"), *[F.col(f"bit{i}").alias(f"a{i}") for i in range(BITMAP)]]
 
 
 def _right() -> list:
-    return ["h", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("gid").alias("gb"), *[F.col(f"bit{i}").alias(f"b{i}") for i in range(BITMAP)]]
+    return ["h", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("p").alias("pb"), *[F.col(f"bit{i}").alias(f"b{i}") for i in range(BITMAP)]]
 
 
 def _texts(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
