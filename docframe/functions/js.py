@@ -32,13 +32,13 @@ def _nfkd(values: pd.Series) -> pd.Series:
 
 
 def nfc(c: Column | str) -> Column:
-    """Canonical composition. Only rows with a character from U+0300 up are sent to Python."""
+    """Canonical composition. Python gets nulls for rows without a character from U+0300 up."""
     c = _col(c)
     return F.coalesce(_nfc(F.when(c.rlike(r"[^\u0000-\u02FF]"), c)), c)
 
 
 def nfkd(c: Column | str) -> Column:
-    """Compatibility decomposition. Only rows with a non-ASCII character are sent to Python."""
+    """Compatibility decomposition. Python gets nulls for ASCII rows."""
     c = _col(c)
     return F.coalesce(_nfkd(F.when(c.rlike(r"[^\u0000-\u007F]"), c)), c)
 

@@ -398,10 +398,3 @@ def inherit_headers(sections: DataFrame) -> DataFrame:
         sections, ["doc_id", "kind", "type"], ["section_no"], bucket_of("section_no"), carry={"effective": F.col("ref")}
     )
     return scanned
-
-
-def compare_visual_ok(width: Column, height: Column, other_w: Column, other_h: Column) -> Column:
-    """Pages can be compared pixel by pixel when both sides differ by less than half a point."""
-    return (F.abs(width - other_w) < 0.5) & (F.abs(height - other_h) < 0.5)
-
-

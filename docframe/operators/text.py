@@ -300,12 +300,11 @@ def substring_filter(items: DataFrame, groups: DataFrame, text: str) -> tuple[Da
 def ordered_lookup(spark: SparkSession, keys: Sequence[str], df: DataFrame, key: str, ord_col: str) -> DataFrame:
     """Rows of ``df`` for a list of keys, numbered in list order (``pos``); misses are dropped.
 
-    The list is a call argument; lists over 100,000 entries are joined without a broadcast.
+    The list is a call argument; how it is joined is left to the optimizer.
     """
     wanted = spark.createDataFrame([(i + 1, k) for i, k in enumerate(keys)], f"pos int, {key} string")
-    small = F.broadcast(wanted) if len(keys) <= 100_000 else wanted
-    hits = df.join(small.select(key).distinct(), key, "left_semi")
-    return dedup_first(hits, key, ord_col).join(small, key)
+    hits = df.join(wanted.select(key).distinct(), key, "left_semi")
+    return dedup_first(hits, key, ord_col).join(wanted, key)
 
 
 # -- scripts and coverage ----------------------------------------------------------------------
@@ -354,9 +353,8 @@ def code_points(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def coverage_join(points: DataFrame, ranges: DataFrame, key: str = "doc_id") -> DataFrame:
     """Faces hit by any used character: distinct ``key, face``.
 
-    Unicode has 1,114,112 code points, so the table "code point -> faces" is bounded by the number
-    of distinct characters and is the side that gets broadcast; the documents are never shuffled
-    by a character.
+    A code point's faces are one row, so the join has one row per character on that side; whether it is
+    broadcast is left to the optimizer's size estimate, and a shuffled join splits frequent characters.
     """
     block = 256
     spread = ranges.withColumn(
@@ -369,7 +367,7 @@ def coverage_join(points: DataFrame, ranges: DataFrame, key: str = "doc_id") ->
         .groupBy("cp")
         .agg(F.collect_set("face").alias("faces"))
     )
-    return points.join(F.broadcast(faces), "cp").select(key, F.explode("faces").alias("face")).distinct()
+    return points.join(faces, "cp").select(key, F.explode("faces").alias("face")).distinct()
 
 
 # -- tokens and masking ------------------------------------------------------------------------

@@ -20,21 +20,24 @@ from pyspark.sql import types as T
 from docframe.plans.scan import BUCKET_ROWS, bucket_of, ordered_scan
 
 SLACK = 0.5
+UNITS = 1_000_000
+"""Sizes and capacities are rounded to millionths and added as whole numbers, so sums are exact and the
+placement does not depend on where a bucket starts."""
 _B = "__bucket"
-_FRESH = -1.0  # the next item starts a new page
+_FRESH = -1  # the next item starts a new page
 
 
-def _turns(size: np.ndarray, brk: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+def _turns(size: np.ndarray, brk: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums and, for a page starting at i, the item that starts the following page."""
     n = len(size)
-    cum = np.concatenate(([0.0], np.cumsum(size)))
+    cum = np.concatenate(([0], np.cumsum(size)))
     full = np.searchsorted(cum, cum[:-1] + limit, side="right") - 1
     nxt = np.maximum(full, np.arange(1, n + 1))
     forced = np.where(brk, np.arange(1, n + 1), n + 1)
     return cum, np.minimum(nxt, np.minimum.accumulate(forced[::-1])[::-1])
 
 
-def _first_turn(cum: np.ndarray, brk: np.ndarray, limit: float, fill: float) -> int:
+def _first_turn(cum: np.ndarray, brk: np.ndarray, limit: int, fill: int) -> int:
     """First item of the bucket that starts a page, given the fill of the open page."""
     if fill < 0:
         return 0
@@ -68,7 +71,7 @@ def whole_groups(batches: Iterator[pd.DataFrame], by: Sequence[str]) -> Iterator
         yield rest, np.array([0, len(rest)])
 
 
-def _summarise(size: np.ndarray, brk: np.ndarray, limit: float) -> dict:
+def _summarise(size: np.ndarray, brk: np.ndarray, limit: int) -> dict:
     n = len(size)
     cum, nxt = _turns(size, brk, limit)
     turn_from, pages = [0] * n, [0] * n
@@ -76,15 +79,15 @@ def _summarise(size: np.ndarray, brk: np.ndarray, limit: float) -> dict:
     for i in range(n - 1, -1, -1):
         j = hops[i]
         turn_from[i], pages[i] = (i, 1) if j >= n else (turn_from[j], pages[j] + 1)
-    last = min(_first_turn(cum, brk, limit, 0.0), n - 1)
+    last = min(_first_turn(cum, brk, limit, 0), n - 1)
     closed = bool(brk[-1])
     marks = np.flatnonzero(brk)
     return {
         "heads": cum[1 : last + 2].tolist(),
-        "ends": [_FRESH if closed else float(cum[n] - cum[turn_from[p]]) for p in range(last + 1)],
+        "ends": [_FRESH if closed else int(cum[n] - cum[turn_from[p]]) for p in range(last + 1)],
         "pages": pages[: last + 1],
         "n": n,
-        "whole": float(cum[n]),
+        "whole": int(cum[n]),
         "forced": int(marks[0]) + 1 if len(marks) else -1,
         "cap": limit,
     }
@@ -113,8 +116,9 @@ def pack_pages(
         *keys,
         F.col(idx).cast("long").alias("idx"),
         F.col(size).cast("double").alias("size"),
+        F.round(F.col(size).cast("double") * UNITS).cast("long").alias("units"),
         brk.alias("brk"),
-        cap.cast("double").alias("cap"),
+        F.round((cap.cast("double") + SLACK) * UNITS).cast("long").alias("cap"),
         bucket_of(F.col(idx), bucket_rows).alias(_B),
     )
     key_fields = [base.schema[k] for k in keys]
@@ -129,19 +133,17 @@ def pack_pages(
 
     summary_schema = T.StructType(
         [*key_fields, T.StructField(_B, T.LongType())]
-        + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("heads", "ends")]
+        + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("heads", "ends")]
         + [T.StructField("pages", T.ArrayType(T.LongType())), T.StructField("n", T.LongType())]
-        + [T.StructField("whole", T.DoubleType()), T.StructField("forced", T.LongType())]
-        + [T.StructField("cap", T.DoubleType())]
+        + [T.StructField("whole", T.LongType()), T.StructField("forced", T.LongType())]
+        + [T.StructField("cap", T.LongType())]
     )
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, cuts in whole_groups(batches, [*keys, _B]):
-            size, brk = pdf["size"].to_numpy(dtype=float), pdf["brk"].to_numpy(dtype=bool)
-            cap = pdf["cap"].to_numpy(dtype=float)
-            rows = [
-                _summarise(size[i:j], brk[i:j], float(cap[i]) + SLACK) for i, j in zip(cuts[:-1], cuts[1:])
-            ]
+            size, brk = pdf["units"].to_numpy(dtype=np.int64), pdf["brk"].to_numpy(dtype=bool)
+            cap = pdf["cap"].to_numpy(dtype=np.int64)
+            rows = [_summarise(size[i:j], brk[i:j], int(cap[i])) for i, j in zip(cuts[:-1], cuts[1:])]
             heads = pdf[[*keys, _B]].iloc[cuts[:-1]].reset_index(drop=True)
             yield pd.concat([heads, pd.DataFrame(rows)], axis=1)[summary_schema.names]
 
@@ -154,7 +156,7 @@ def pack_pages(
         [
             *key_fields,
             T.StructField(_B, T.LongType()),
-            T.StructField("fill", T.DoubleType()),
+            T.StructField("fill", T.LongType()),
             T.StructField("done", T.LongType()),
         ]
     )
@@ -176,7 +178,7 @@ def pack_pages(
                     turn = min(turn, forced) if forced >= 0 else turn
                 if turn < n:
                     done += int(row["pages"][turn])
-                    fill = float(row["ends"][turn])
+                    fill = int(row["ends"][turn])
                 else:
                     fill = _FRESH if forced == n else fill + row["whole"]
             yield pdf[[*keys, _B]].assign(fill=fills, done=dones)
@@ -198,20 +200,20 @@ def pack_pages(
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, cuts in whole_groups(batches, [*keys, _B]):
-            size = pdf["size"].to_numpy(dtype=float)
+            size = pdf["units"].to_numpy(dtype=np.int64)
             brk = pdf["brk"].to_numpy(dtype=bool)
-            cap = pdf["cap"].to_numpy(dtype=float)
+            cap = pdf["cap"].to_numpy(dtype=np.int64)
             done = pdf["done"].to_numpy()
             entry = done >= 0
             seq = np.zeros(len(pdf), dtype=np.int64)
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 fill, base_seq = _FRESH, 0
                 if entry[i]:
-                    fill, base_seq = float(size[i]), int(done[i])
+                    fill, base_seq = int(size[i]), int(done[i])
                     i += 1
-                cum, nxt = _turns(size[i:j], brk[i:j], float(cap[i]) + SLACK)
+                cum, nxt = _turns(size[i:j], brk[i:j], int(cap[i]))
                 starts = np.zeros(j - i, dtype=np.int64)
-                at = _first_turn(cum, brk[i:j], float(cap[i]) + SLACK, fill)
+                at = _first_turn(cum, brk[i:j], int(cap[i]), fill)
                 hops = nxt.tolist()
                 while at < j - i:
                     starts[at] = 1
@@ -222,8 +224,8 @@ def pack_pages(
     # A bucket's entry state travels as one extra row sorted before its items.
     marked = base.withColumn("done", F.lit(-1).cast("long")).withColumn("__first", F.lit(1))
     states = entries.select(
-        *keys, F.lit(0).cast("long").alias("idx"), F.col("fill").alias("size"), F.lit(False).alias("brk"),
-        F.lit(0.0).alias("cap"), _B, "done", F.lit(0).alias("__first"),
+        *keys, F.lit(0).cast("long").alias("idx"), F.lit(0.0).alias("size"), F.col("fill").alias("units"),
+        F.lit(False).alias("brk"), F.lit(0).cast("long").alias("cap"), _B, "done", F.lit(0).alias("__first"),
     )
     return (
         marked.unionByName(states)

@@ -157,7 +157,7 @@ def _autosize(f: Fixtures):
 
 
 _OFF = """
-off AS (SELECT sheet, dim, idx, CASE WHEN hidden THEN 0 ELSE size END AS size,
+off AS MATERIALIZED (SELECT sheet, dim, idx, CASE WHEN hidden THEN 0 ELSE size END AS size,
           coalesce(sum(CASE WHEN hidden THEN 0 ELSE size END) OVER (PARTITION BY sheet, dim ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset"
         FROM axis)
 """

@@ -124,3 +124,17 @@ def test_header_footer_codes(spark):
         ).alias("s")
     ).first().s
     assert (row.l, row.c, row.r) == ("left 3", "plain&more", "right 9 red endQ")
+
+
+@pytest.mark.parametrize("bucket_rows", [3, 64, 65_536])
+def test_pack_pages_adds_fractions_exactly(spark, bucket_rows):
+    items = spark.range(2000).selectExpr("'k' AS k", "id AS idx", "CASE WHEN id % 7 = 0 THEN 0.05 ELSE 19.9 END AS size")
+    got = [r.page_seq for r in pack_pages(items, ["k"], "idx", "size", 596.5, None, bucket_rows).orderBy("idx").collect()]
+    want, page, fill = [], 0, None
+    for i in range(2000):
+        size = 5 if i % 7 == 0 else 1990
+        if fill is None or fill + size > 59_700:
+            page, fill = page + 1, 0
+        fill += size
+        want.append(page)
+    assert got == want
