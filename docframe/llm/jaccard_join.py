@@ -39,6 +39,7 @@ from docframe.plans.stage import stage
 COMMON = 100_000
 COUNT_BYTES = 16_000_000
 CENTRES = 3
+SPARE = 4
 BITMAP = 8
 """64-bit words of a set's parity bitmap."""
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -183,16 +184,23 @@ def _possible(left: DataFrame, right: DataFrame, on: list[str], condition: Colum
     Sizes must fit, and the parity bitmaps must not differ in more places than the sets may: every different
     place takes an element that only one set has. Let x be the set whose prefix ends first in the common
     order: what its prefix shares with the other set is in the other's prefix too, so similar sets share at
-    least ``least`` prefix hashes, and the first of these lies so far from the end of both prefixes.
+    least ``least`` prefix hashes, and ``1 + spare`` of these lie before the last ``least - 1 - spare``
+    places of both prefixes. Only those places are paired, and so many shared hashes are asked for. Sets of
+    one group share their whole prefix and need no count.
     """
     n, m = F.col("n"), F.col("m")
     needed = F.floor((F.lit(percent) * (n + m) + (99 + percent)) / (100 + percent))
     differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(BITMAP)), F.lit(0))
     least = needed - F.greatest(_ceil_share(n, percent), _ceil_share(m, percent)) + 1
-    early = (F.col("pa") <= n - _ceil_share(n, percent) + 1 - least) & (F.col("pb") <= m - _ceil_share(m, percent) + 1 - least)
+    spare = F.greatest(F.floor((least - 1) / SPARE), F.lit(0))
+    behind = least - spare - 1
+    early = (F.col("pa") <= n - _ceil_share(n, percent) - behind) & (F.col("pb") <= m - _ceil_share(m, percent) - behind)
     fits = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & early & (differ <= n + m - 2 * needed)
     rows = left.join(right, on).filter((F.col("a") != F.col("b")) & condition & fits)
-    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    each = rows.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(
+        F.count(F.lit(1)).alias("c"), F.max(spare + 1).alias("asked"), F.min("pa").alias("first")
+    )
+    return each.filter("c >= asked OR first < 0").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def _prepare(rows: DataFrame, width: int, percent: int):
