@@ -231,10 +231,13 @@ def _right() -> list:
 
 
 def _texts(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``cid, __text`` of one document of every class in ``pairs``; written once."""
+    """``cid, __text`` of one document of every class in ``pairs``; written once.
+
+    The list of wanted documents grows with the corpus, so it is never broadcast.
+    """
     used = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     used = stage(classes.join(used, "cid", "left_semi").select("cid", "rep.*"), "used")
-    return stage(rows.join(used, KEY).select("cid", "__text"), "texts")
+    return stage(rows.join(used.hint("merge"), KEY).select("cid", "__text"), "texts")
 
 
 def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80):
@@ -292,12 +295,14 @@ def _rooted(rows: DataFrame, width: int, percent: int) -> DataFrame:
     likely = stage(likely, "likely")
     across = _across(likely.select("*", F.lit(0).alias("part"), F.col("likely").alias("root")), percent)
     pairs = stage(stars.unionByName(across).distinct(), "pairs")
-    links = stage(verified(pairs, _texts(rows, classes, pairs), width, percent), "links")
+    texts = _texts(rows, classes, pairs)
+    links = stage(verified(pairs, texts, width, percent), "links")
     roots = connected_components(links.select(ends))
     rest = _across(_with_roots(likely.withColumnRenamed("likely", "part"), roots, "root"), percent)
     rest = stage(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if rest.take(1):
-        more = stage(verified(rest, _texts(rows, classes, rest), width, percent), "links")
+        # Both ends have a star in their component, so their texts are there already.
+        more = stage(verified(rest, texts, width, percent), "links")
         roots = connected_components(links.unionByName(more).select(ends))
     return docs.join(roots, F.col("cid") == F.col("node"), "left").select(*KEY, "n", "cid", F.coalesce("root", "cid").alias("root"))
 
