@@ -22,20 +22,15 @@ def seconds(n: float) -> Column:
 def job_status(events: DataFrame, timeout: float = PAGE_TIMEOUT) -> DataFrame:
     """Outcome per operation: ``job_id, op_id, start_ts, outcome, code, end_ts``.
 
-    ``events``: ``job_id, op_id, ts, kind, code``. The first terminal event not later than
-    start + ``timeout`` decides. An operation whose job starts another one before that is
+    ``events``: ``job_id, op_id, ts, kind, code``. The first terminal event from the start to
+    start + ``timeout`` decides; one stamped before the start is ignored. An operation whose job starts another one before that is
     ``superseded``; later events are ignored; no decision gives ``timeout``.
     """
-    done = F.col("kind").isin(*TERMINAL)
-    end = F.struct("ts", "kind", "code")
-    ops = (
-        events.groupBy("job_id", "op_id")
-        .agg(
-            F.min(F.when(F.col("kind") == "start", F.col("ts"))).alias("start_ts"),
-            F.min(F.when(done, end)).alias("end"),
-        )
-        .filter("start_ts IS NOT NULL")
-    )
+    op = ["job_id", "op_id"]
+    starts = events.filter("kind = 'start'").groupBy(op).agg(F.min("ts").alias("start_ts"))
+    done = events.filter(F.col("kind").isin(*TERMINAL)).select(*op, F.struct("ts", "kind", "code").alias("end"))
+    ends = done.join(starts, op).filter("end.ts >= start_ts").groupBy(op).agg(F.min("end").alias("end"))
+    ops = starts.join(ends, op, "left")
     after = ordered_scan(ops, ["job_id"], ["op_id"], bucket_of("op_id"), lead={"next_start": F.col("start_ts")})
     deadline = F.col("start_ts") + seconds(timeout)
     in_time = F.col("end.ts") <= deadline

@@ -22,7 +22,8 @@ def job_status_stream(events: DataFrame, timeout: float = PAGE_TIMEOUT, delay: s
     ``events``: ``job_id, op_id, ts, kind, code`` with consecutive ``op_id`` per job. State is kept per
     operation, so a busy job spreads over tasks: the start of operation k is also sent to k - 1 as
     ``supersede``. An operation closes when the watermark passes start + ``timeout``; at that point
-    the earliest of terminal event, next start and deadline decides, as in the batch version.
+    the earliest of terminal event, next start and deadline decides, as in the batch version. Terminal
+    events wait in the state until then, because the start they must follow may arrive after them.
     """
     limit = int(timeout * 1_000_000)
     copies = F.when(
@@ -39,12 +40,14 @@ def job_status_stream(events: DataFrame, timeout: float = PAGE_TIMEOUT, delay: s
         .filter(F.col("kind").isin("start", "supersede", *TERMINAL))
     )
     out = "job_id long, op_id long, start_ts timestamp, outcome string, code string, end_ts timestamp"
-    state = "start long, next long, done long, kind string, code string"
+    state = "start long, next long, done array<long>, kinds array<string>, codes array<string>"
 
     def close(key: tuple, s: tuple) -> Iterator[pd.DataFrame]:
-        start, nxt, done, kind, code = s
+        start, nxt, *ends = s
         if start is None:
             return
+        after = [e for e in zip(*ends, strict=True) if e[0] >= start]
+        done, kind, code = min(after, key=lambda e: e[:2]) if after else (None, None, None)
         in_time = done is not None and done <= start + limit
         end = done if in_time else start + limit
         if nxt is not None and nxt < end:
@@ -70,7 +73,8 @@ def job_status_stream(events: DataFrame, timeout: float = PAGE_TIMEOUT, delay: s
             group.remove()
             yield from close(key, kept)
             return
-        start, nxt, done, kind, code = group.get if group.exists else (None, None, None, None, None)
+        start, nxt, *ends = group.get if group.exists else (None, None, [], [], [])
+        done, kinds, codes = (list(x) for x in ends)
         latest = 0
         for pdf in batches:
             pdf = pdf.assign(us=_micros(pdf["ts"]))
@@ -81,12 +85,11 @@ def job_status_stream(events: DataFrame, timeout: float = PAGE_TIMEOUT, delay: s
             later = pdf.loc[pdf["kind"] == "supersede", "us"]
             if len(later):
                 nxt = min(int(later.min()), nxt if nxt is not None else int(later.min()))
-            ended = pdf[pdf["kind"].isin(TERMINAL)].sort_values(["us", "kind"])
-            if len(ended) and (done is None or int(ended["us"].iloc[0]) < done):
-                first = ended.iloc[0]
-                done, kind = int(first["us"]), first["kind"]
-                code = None if pd.isna(first["code"]) else first["code"]
-        group.update((start, nxt, done, kind, code))
+            ended = pdf[pdf["kind"].isin(TERMINAL)]
+            done += [int(us) for us in ended["us"]]
+            kinds += list(ended["kind"])
+            codes += [None if pd.isna(c) else c for c in ended["code"]]
+        group.update((start, nxt, done, kinds, codes))
         due = ((start if start is not None else latest) + limit) // 1000 + 1
         group.setTimeoutTimestamp(max(due, group.getCurrentWatermarkMs() + 1))
         yield from ()

@@ -89,3 +89,29 @@ def test_job_progress_stream_matches_batch(spark, events):
     out = drain(SJ.job_progress_stream(stream(spark, path, events.schema)), "progress_out", "update")
     latest = out.groupBy("job_id").agg(F.max(F.struct("ts", "completed")).alias("p")).select("job_id", "p.*")
     assert sorted(map(str, latest.collect())) == sorted(map(str, J.job_progress(events).select("job_id", "ts", "completed").collect()))
+
+
+def test_terminal_before_the_start_is_ignored(spark):
+    """Operation 1 ended before it began and again after; operation 2 of another job only before."""
+    rows = [
+        (1, 1, "2024-01-01 00:00:00", "success", None), (1, 1, "2024-01-01 00:10:00", "start", None),
+        (1, 1, "2024-01-01 00:11:00", "error", "code-1"), (2, 2, "2024-01-01 00:05:00", "cancel", None),
+        (2, 2, "2024-01-01 00:06:00", "start", None),
+    ]
+    schema = "job_id long, op_id long, ts string, kind string, code string"
+    events = spark.createDataFrame(rows, schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    late = [(-1, 1, f"20{y}-01-01 00:00:00", "success", None) for y in (30, 31)]
+    late = spark.createDataFrame(late, schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    cols = ["job_id", "op_id", "outcome", "code", F.unix_micros("end_ts").alias("end_us")]
+    want = sorted(map(str, J.job_status(events).select(*cols).collect()))
+    ends = spark.sql("SELECT unix_micros(TIMESTAMP'2024-01-01 00:11:00') AS a, unix_micros(TIMESTAMP'2024-01-01 00:21:00') AS b").first()
+    assert want == [
+        f"Row(job_id=1, op_id=1, outcome='error', code='code-1', end_us={ends['a']})",
+        f"Row(job_id=2, op_id=2, outcome='timeout', code=None, end_us={ends['b']})",
+    ]
+    path = as_files(events, "early", parts=2)
+    for k in range(2):
+        late.filter(F.year("ts") == 2030 + k).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    out = drain(SJ.job_status_stream(stream(spark, path, events.schema)), "early_terminal_out", "append")
+    assert sorted(map(str, out.select(*cols).collect())) == want
