@@ -82,7 +82,8 @@ def inherit_chain(styles: DataFrame, limit: int = CHAIN_LIMIT, default: object =
     """``style_id, effective``: first defined ``value`` along ``based_on`` within ``limit`` styles.
 
     Chains are followed by doubling: walks of 1, 2, 4 … styles are composed, so twenty steps need
-    five joins. Unknown ids, ends of chains and cycles give ``default``.
+    five joins; each doubling is written once, else its plan would double too. Unknown ids, ends of
+    chains and cycles give ``default``.
     """
     one = styles.select("style_id", F.col("based_on").alias("next"), "value")
 
@@ -105,7 +106,7 @@ def inherit_chain(styles: DataFrame, limit: int = CHAIN_LIMIT, default: object =
             walk = powers if walk is None else compose(powers, walk)
         rest >>= 1
         if rest:
-            powers = compose(powers, powers)
+            powers = stage(compose(powers, powers), "chain")
     return walk.select("style_id", F.coalesce("value", F.lit(default)).alias("effective"))
 
 
