@@ -13,6 +13,8 @@ from docframe.plans.stage import stage
 ORACLE_SQL = None
 
 MIN_SCORE = 0.5
+SPARE = 16
+"""At 0.8 the prefixes are long and close pairs share many of their hashes: fewer places are paired."""
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group linked by word-shingle similarity of 0.8 or more."""
     ship(spark)
-    return jaccard_join.drop_near_duplicates(docs).select(*docs.columns)
+    return jaccard_join.drop_near_duplicates(docs, spare=SPARE).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,8 @@ COMMON = 100_000
 COUNT_BYTES = 16_000_000
 CENTRES = 3
 SPARE = 4
+"""One more shared hash is asked for by this many guaranteed ones, and one more place of both prefixes paired.
+A small number means fewer pairs to verify, a large one fewer joined rows; results do not depend on it."""
 BITMAP = 8
 """64-bit words of a set's parity bitmap."""
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -178,7 +180,7 @@ def _ceil_share(n, percent: int):
     return F.floor((F.lit(percent) * n + 99) / 100)
 
 
-def _possible(left: DataFrame, right: DataFrame, on: list[str], condition: Column, percent: int) -> DataFrame:
+def _possible(left: DataFrame, right: DataFrame, on: list[str], condition: Column, percent: int, every: int) -> DataFrame:
     """Pairs ``a < b`` of the members in ``left`` and ``right`` that share keys and can be similar.
 
     Sizes must fit, and the parity bitmaps must not differ in more places than the sets may: every different
@@ -192,7 +194,7 @@ def _possible(left: DataFrame, right: DataFrame, on: list[str], condition: Colum
     needed = F.floor((F.lit(percent) * (n + m) + (99 + percent)) / (100 + percent))
     differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(BITMAP)), F.lit(0))
     least = needed - F.greatest(_ceil_share(n, percent), _ceil_share(m, percent)) + 1
-    spare = F.greatest(F.floor((least - 1) / SPARE), F.lit(0))
+    spare = F.greatest(F.floor((least - 1) / every), F.lit(0))
     behind = least - spare - 1
     early = (F.col("pa") <= n - _ceil_share(n, percent) - behind) & (F.col("pb") <= m - _ceil_share(m, percent) - behind)
     fits = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & early & (differ <= n + m - 2 * needed)
@@ -240,7 +242,7 @@ def _texts(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return stage(rows.join(used.hint("merge"), KEY).select("cid", "__text"), "texts")
 
 
-def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80):
+def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, spare: int = SPARE):
     """All links between different sets: ``(links, documents)``.
 
     ``links`` has ``a, b`` (class ids, a < b); ``documents`` has ``doc_id, n_shingles, cid``. The result
@@ -248,22 +250,22 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     """
     rows = keyed(docs, doc_id, text)
     described_docs, classes, members = _prepare(rows, width, percent)
-    pairs = _possible(members.select(_left()), members.select(_right()), ["h"], F.col("a") < F.col("b"), percent)
+    pairs = _possible(members.select(_left()), members.select(_right()), ["h"], F.col("a") < F.col("b"), percent, spare)
     pairs = stage(pairs, "pairs")
     links = verified(pairs, _texts(rows, classes, pairs), width, percent)
     return links, described_docs.select(F.when(F.col("__id") != LAST, F.col("__id")).alias(doc_id), F.col("n").alias("n_shingles"), "cid")
 
 
-def _stars(members: DataFrame, percent: int) -> DataFrame:
+def _stars(members: DataFrame, percent: int, spare: int) -> DataFrame:
     """Possible pairs of every member and its key's first class in each of ``CENTRES`` orders of classes."""
     orders = [F.min(F.struct(F.xxhash64(F.lit(i), "cid").alias("o"), "cid")).alias(f"c{i}") for i in range(CENTRES)]
     centres = members.groupBy("h").agg(*orders)
     centres = centres.select("h", F.explode(F.array_distinct(F.array(*[F.col(f"c{i}.cid") for i in range(CENTRES)]))).alias("cid"))
     centres = members.join(centres, ["h", "cid"]).select(_right())
-    return _possible(members.select(_left()), centres, ["h"], F.lit(True), percent)
+    return _possible(members.select(_left()), centres, ["h"], F.lit(True), percent, spare)
 
 
-def _across(placed: DataFrame, percent: int) -> DataFrame:
+def _across(placed: DataFrame, percent: int, spare: int) -> DataFrame:
     """Possible pairs that share a key and ``part`` but not ``root``.
 
     Of two members with different roots one is outside the key's largest root, so pairs start there.
@@ -274,7 +276,7 @@ def _across(placed: DataFrame, percent: int) -> DataFrame:
     few = open_.filter("root <> top").select(*_left(), "part", "root")
     many = open_.select(*_right(), "part", F.col("root").alias("other"), "top")
     once = (F.col("root") != F.col("other")) & ((F.col("other") == F.col("top")) | (F.col("a") < F.col("b")))
-    return _possible(few, many, ["h", "part"], once, percent)
+    return _possible(few, many, ["h", "part"], once, percent, spare)
 
 
 def _with_roots(members: DataFrame, roots: DataFrame, name: str) -> DataFrame:
@@ -282,7 +284,7 @@ def _with_roots(members: DataFrame, roots: DataFrame, name: str) -> DataFrame:
     return members.join(found, "cid", "left").withColumn(name, F.coalesce(name, "cid"))
 
 
-def _rooted(rows: DataFrame, width: int, percent: int) -> DataFrame:
+def _rooted(rows: DataFrame, width: int, percent: int, spare: int) -> DataFrame:
     """``__id, __th, n, cid, root``: the component of every document, by its smallest class.
 
     The pairs verified first are the stars and all pairs across the components that the stars would give;
@@ -290,15 +292,15 @@ def _rooted(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """
     docs, classes, members = _prepare(rows, width, percent)
     ends = [F.col("a").alias("u"), F.col("b").alias("v")]
-    stars = stage(_stars(members, percent), "stars")
+    stars = stage(_stars(members, percent, spare), "stars")
     likely = _with_roots(members, connected_components(stars.select(ends)), "likely")
     likely = stage(likely, "likely")
-    across = _across(likely.select("*", F.lit(0).alias("part"), F.col("likely").alias("root")), percent)
+    across = _across(likely.select("*", F.lit(0).alias("part"), F.col("likely").alias("root")), percent, spare)
     pairs = stage(stars.unionByName(across).distinct(), "pairs")
     texts = _texts(rows, classes, pairs)
     links = stage(verified(pairs, texts, width, percent), "links")
     roots = connected_components(links.select(ends))
-    rest = _across(_with_roots(likely.withColumnRenamed("likely", "part"), roots, "root"), percent)
+    rest = _across(_with_roots(likely.withColumnRenamed("likely", "part"), roots, "root"), percent, spare)
     rest = stage(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if rest.take(1):
         # Both ends have a star in their component, so their texts are there already.
@@ -307,9 +309,9 @@ def _rooted(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.join(roots, F.col("cid") == F.col("node"), "left").select(*KEY, "n", "cid", F.coalesce("root", "cid").alias("root"))
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, spare: int = SPARE) -> DataFrame:
     """``doc_id, n_shingles, component_id``: the smallest id that links reach, the document's own included."""
-    found = _rooted(keyed(docs, doc_id, text), width, percent)
+    found = _rooted(keyed(docs, doc_id, text), width, percent, spare)
     lowest = found.filter("n > 0").groupBy("root").agg(F.min("__id").alias("low"))
     out = found.join(lowest, "root", "left")
     component = F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("__id"))
@@ -318,11 +320,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     )
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, spare: int = SPARE) -> DataFrame:
     """``docs`` with one document of every component: the smallest (id, text hash), one row of it.
     Documents without words all stay."""
     rows = with_key(docs, doc_id, text)
-    found = _rooted(keyed(docs, doc_id, text), width, percent)
+    found = _rooted(keyed(docs, doc_id, text), width, percent, spare)
     stay = found.filter("n > 0").groupBy("root").agg(F.min(F.struct(*KEY)).alias("k")).select("k.*")
     empty = found.filter("n = 0").select(*KEY).distinct()
     one = rows.join(stay, KEY).dropDuplicates(KEY)
