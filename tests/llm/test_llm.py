@@ -169,15 +169,15 @@ def near_copies(seed, n=90):
     return out
 
 
-@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80), (2, 60)])
-def test_jaccard_components_and_links(spark, width, percent):
+@pytest.mark.parametrize("width,percent,spare", [(3, 90, 4), (5, 80, 4), (2, 60, 4), (5, 80, 16), (2, 60, 1)])
+def test_jaccard_components_and_links(spark, width, percent, spare):
     ship(spark)
     texts = near_copies(width)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = lowest(texts, linked(texts, width, percent))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, width=width, percent=percent).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, width=width, percent=percent, spare=spare).collect()}
     assert got == {i: (len(shingles(t, width)), want[i]) for i, t in texts.items()}
-    links, members = jaccard_join.jaccard_links(df, width=width, percent=percent)
+    links, members = jaccard_join.jaccard_links(df, width=width, percent=percent, spare=spare)
     of = {r.doc_id: r.cid for r in members.collect()}
     have = {(r.a, r.b) for r in links.collect()}
     assert have == {tuple(sorted((of[a], of[b]))) for a, b in linked(texts, width, percent) if of[a] != of[b]}
