@@ -316,7 +316,7 @@ class Fixtures:
             .agg(F.sum("cents").alias("cents"))
         )
         nations = self.t("nation").join(self.t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        points = per_nation.join(nations, "n_nationkey").filter("(n_nationkey + y) % 6 <> 0").selectExpr(
+        points = per_nation.join(nations, "n_nationkey").selectExpr(
             "r_name AS chart", "n_nationkey AS series_idx", "n_name AS series", "y - 1995 AS idx",
             "CAST(y AS STRING) AS category",
             "CAST(CASE WHEN (n_nationkey + y) % 5 = 0 THEN -cents ELSE cents END AS DOUBLE) / 100 AS value",
@@ -540,8 +540,7 @@ VIEWS: dict[str, str] = {
         FROM (SELECT c_nationkey, year(o_orderdate) AS y,
                      CAST(sum(CAST(round(l_extendedprice * (1 - l_discount) * 100) AS BIGINT)) AS BIGINT) AS cents
               FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)
-        JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
-        WHERE (n_nationkey + y) % 6 <> 0""",
+        JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""",
     "outline": """
         SELECT conv_id AS doc_id, turn AS ord, CAST((turn * 7 + conv_id) % 3 AS INTEGER) AS level,
                CASE (turn + conv_id) % 7 WHEN 0 THEN 'char' WHEN 6 THEN 'none' ELSE 'auto' END AS kind,
