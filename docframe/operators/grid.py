@@ -20,6 +20,8 @@ from docframe.plans.stage import stage
 COL_SPAN_LIMIT = 2_000
 OVERFLOW_LIMIT = 50
 DEFAULT_COL_WIDTH = 9.140625
+# Fixed value: the default width at 7 pixels per digit, rounded.
+DEFAULT_COL_PX = 64.0
 NUMERIC = r"^[-+]?(\d+(\.\d*)?|\.\d+)([eE][-+]?\d+)?$"
 EPOCH_1904 = 1462
 
@@ -249,30 +251,36 @@ def anchor_boxes(anchors: DataFrame, offsets: DataFrame) -> DataFrame:
     ).select(*anchors.columns, "x", "y", "width", "height")
 
 
-def overflow_extent(cells: DataFrame, col_sizes: DataFrame, char_px: float = 0.52 * 96 / 72 * 11) -> DataFrame:
+def overflow_extent(
+    cells: DataFrame, col_sizes: DataFrame, char_px: float = 0.52 * 96 / 72 * 11, default_size: float = DEFAULT_COL_PX
+) -> DataFrame:
     """Last column reached by text that runs into empty neighbours: adds ``end_col``.
 
-    ``cells``: valued, unwrapped text cells and their neighbours as ``sheet, row, col, text, spills``
-    (``spills`` marks text that may overflow); ``col_sizes``: ``sheet, col, size``. A row has at most
-    16,384 columns, so the window per row is bounded.
+    ``cells``: all valued cells as ``sheet, row, col, text, spills`` (``spills`` marks unwrapped text that may
+    overflow; the others only stop it); ``col_sizes``: ``sheet, col, size``, columns without an entry have
+    ``default_size``. A row has at most 16,384 columns, so the window per row is bounded.
     """
     along = Window.partitionBy("sheet", "row").orderBy("col")
-    ahead = Window.partitionBy("sheet").orderBy("col").rowsBetween(0, OVERFLOW_LIMIT)
-    run = col_sizes.select("sheet", "col", F.collect_list("size").over(ahead).alias("__w"))
+    # A listed width counts for the columns up to OVERFLOW_LIMIT before it.
+    ahead = col_sizes.select("sheet", F.col("col").alias("__at"), "size", F.explode(F.sequence(F.lit(0), F.lit(OVERFLOW_LIMIT - 1))).alias("__k"))
+    run = ahead.groupBy("sheet", (F.col("__at") - F.col("__k")).alias("col")).agg(
+        F.map_from_entries(F.collect_list(F.struct("__k", "size"))).alias("__w")
+    )
     fit = cells.withColumn("__next", F.lead("col").over(along)).withColumn(
         "__need", longest_line(F.col("text")) * char_px + 4
     )
     fit = attach(fit, run, ["sheet", "col"], bucket_of("row"), buckets_from=cells)
     # Columns used = how many running widths are still below the needed width.
+    width = lambda k: F.coalesce(F.try_element_at("__w", k), F.lit(default_size))
     reach = F.aggregate(
-        F.coalesce("__w", F.array().cast("array<double>")),
+        F.sequence(F.lit(0), F.lit(OVERFLOW_LIMIT - 1)),
         F.struct(F.lit(0.0).alias("used"), F.lit(0).alias("n")),
-        lambda acc, w: F.struct(
-            (acc["used"] + w).alias("used"), (acc["n"] + F.when(acc["used"] + w < F.col("__need"), 1).otherwise(0)).alias("n")
+        lambda acc, k: F.struct(
+            (acc["used"] + width(k)).alias("used"), (acc["n"] + F.when(acc["used"] + width(k) < F.col("__need"), 1).otherwise(0)).alias("n")
         ),
         lambda acc: acc["n"],
     )
-    end = F.least(F.col("col") + reach, F.col("col") + OVERFLOW_LIMIT, F.col("__next") - 1)
+    end = F.least(F.col("col") + reach, F.col("__next") - 1)
     return fit.withColumn("end_col", F.when(F.col("spills"), F.greatest("col", end)).otherwise(F.col("col"))).drop("__next", "__need", "__w")
 
 
