@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.functions.js import extension, trim
+from docframe.plans.ship import ship
 
 # Header bytes and stream names.
 _ZIP = ("504B03", "504B05")
@@ -48,52 +50,43 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
-def _head(spark: SparkSession, path: str, n: int) -> bytes:
-    """First bytes of one file of a path, through the file system Spark itself uses."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.getFileStatus(target).isDirectory():
-        files = [s.getPath() for s in fs.listStatus(target) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
-        target = sorted(files, key=lambda p: p.getName())[0]
-    stream = fs.open(target)
-    try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, n)))
-    finally:
-        stream.close()
-
-
-def sniff_dialect(head: bytes) -> tuple[str, str]:
-    """``(encoding, delimiter)`` of the first bytes of a delimited file."""
+def sniff_dialect(head: bytes, utf8: bool) -> tuple[str, str]:
+    """``(encoding, delimiter)`` of a delimited file: its first bytes, and whether all of it is UTF-8."""
     if head[:2] == b"\xff\xfe":
-        encoding, text = "UTF-16LE", head.decode("utf-16-le", errors="ignore")
+        encoding, codec = "UTF-16LE", "utf-16-le"
     elif head[:2] == b"\xfe\xff":
-        encoding, text = "UTF-16BE", head.decode("utf-16-be", errors="ignore")
+        encoding, codec = "UTF-16BE", "utf-16-be"
     else:
-        try:
-            # A cut multi-byte character at the end of the sample is not an error.
-            text, encoding = head.decode("utf-8"), "UTF-8"
-        except UnicodeDecodeError as e:
-            cut = e.start >= len(head) - 3 and e.reason == "unexpected end of data"
-            text = head.decode("utf-8", errors="ignore") if cut else head.decode("cp1252", errors="replace")
-            encoding = "UTF-8" if cut else "windows-1252"
+        encoding, codec = ("UTF-8", "utf-8") if utf8 else ("windows-1252", "cp1252")
+    # A cut multi-byte character at the end of the sample is left out.
+    text = head.decode(codec, errors="replace" if codec == "cp1252" else "ignore")
     sample = text.lstrip("\ufeff")[:SNIFF_CHARS]
     # max() keeps the first of equals, i.e. the listed order.
     return encoding, max(DELIMITERS, key=sample.count)
 
 
+def file_dialects(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``path, encoding, sep`` of every file that is not empty, found where the file is read."""
+    files = spark.read.format("binaryFile").load(list(paths)).filter("length > 0")
+    found = F.udf(lambda head, utf8: sniff_dialect(bytes(head), utf8), "encoding string, sep string")
+    seen = files.select("path", found(F.substring("content", 1, 4 * SNIFF_CHARS), F.is_valid_utf8(F.col("content").cast("string"))).alias("d"))
+    return seen.select("path", "d.*")
+
+
 def read_delimited_auto(spark: SparkSession, paths: Sequence[str], header: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
-    """Delimited text whose delimiter and encoding are found per path (one file or directory each).
+    """Delimited text whose delimiter and encoding are found per file (``paths``: files or directories).
 
-    Only the first bytes of one file per path reach the driver. Paths of one dialect are read
-    together. Quoted fields may hold the delimiter, doubled quotes and line breaks. Blank lines are
-    dropped. Files that are not UTF-8 are read as windows-1252.
+    Only names and dialects reach the driver; files of one dialect are read together. Quoted fields may
+    hold the delimiter, doubled quotes and line breaks. Blank lines are dropped. Files that are not UTF-8
+    as a whole are read as windows-1252. A file is checked as one value, so it must be below 2 GB.
     """
+    ship(spark)
     groups: dict[tuple[str, str], list[str]] = {}
-    for path in paths:
-        groups.setdefault(sniff_dialect(_head(spark, path, 4 * SNIFF_CHARS)), []).append(path)
+    for row in file_dialects(spark, paths).collect():
+        # Names are no patterns.
+        groups.setdefault((row["encoding"], row["sep"]), []).append(re.sub(r"([\\{}\[\]*?])", r"\\\1", row["path"]))
     out = None
-    for (encoding, sep), members in groups.items():
+    for (encoding, sep), members in sorted(groups.items()) or [(("UTF-8", ","), list(paths))]:
         reader = spark.read.option("sep", sep).option("multiLine", True).option("quote", '"').option("escape", '"')
         reader = reader.option("header", header).option("encoding", "ISO-8859-1" if encoding == "windows-1252" else encoding)
         if columns is not None:
