@@ -1,17 +1,16 @@
 """Hidden Markov language model: Baum-Welch in Spark, exact likelihoods by the scaled forward recursion.
 
-Tokens are lower-cased words, then one end. The model emits token classes: each of the ``CLASSES`` most
-frequent training words (with at least ``MIN_SHARE`` of the tokens) is a class of its own, other words share a class by their last byte, the end is a
-class. Inside a shared class a word has probability (count + 1) / (class tokens + class words + 1), all
-unseen words together taking the last share, so the likelihood is that of whole texts over words.
+Tokens are lower-cased words, then one end. Every training word has an emission probability of its own in
+every state, whatever the size of the vocabulary; all unseen words together are one more symbol. Emissions
+are smoothed by one count per word, dealt evenly over the states.
 
 Steps: (1) one pass over the texts cuts them into blocks of bounded size and writes, per block, its distinct
 words with their training counts and every text as numbers into that list; (2) counts are summed over all
-blocks and joined back to the blocks' words, so a block learns the global count of its own words only;
-(3) texts become class sequences, written once; (4) every Baum-Welch round sums expected counts per task,
-then over tasks per class, and returns states x classes numbers to the driver; (5) all texts are scored.
-Training sequences are pieces of ``PIECE`` tokens; scoring runs over whole texts. All counts cover all
-training rows.
+blocks; (3) every Baum-Welch round joins the emission table (one row per word, one column per state) to the
+blocks' words, takes whole texts through the forward and backward recursions and sums the expected counts
+per word in Spark; only start, transitions, the end and the states' totals return to the driver; (4) all
+texts are scored the same way. Long texts are computed in spans of ``SPAN`` tokens that hand their forward
+and backward messages on, so nothing is cut. All counts cover all training rows.
 
 Edge cases: null and empty texts are one end token; rows with a null id are trained on as the caller says;
 repeated rows count each; an empty table gives an empty table; without training rows every probability is
@@ -30,15 +29,11 @@ from pyspark.sql import functions as F
 from docframe.llm.arrays import signed, text_slices
 from docframe.plans.stage import fresh_path, stage
 
-CLASSES = 8_000
-MIN_SHARE = 1e-6
-ENDINGS = 256
-PIECE = 128
+SPAN = 4_096
+PLACES = 262_144
 BLOCK_BYTES = 32_000_000
-END = CLASSES + ENDINGS
-_TOTAL = END + 1
 
-_BLOCKS = "block string, id long, held boolean, seq binary, h long, last int, c long"
+_BLOCKS = "block string, id long, held boolean, seq binary, h long, c long"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,12 +44,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def flush():
-        hashed = np.concatenate([w for w, _, _, _, _ in held_rows])
-        last = np.concatenate([x for _, x, _, _, _ in held_rows])
-        lengths = np.concatenate([n for _, _, n, _, _ in held_rows])
-        ids = pa.concat_arrays([x for _, _, _, x, _ in held_rows])
-        held = np.concatenate([x for _, _, _, _, x in held_rows])
-        words, at, number, n = np.unique(hashed, return_index=True, return_inverse=True, return_counts=True)
+        hashed = np.concatenate([w for w, _, _, _ in held_rows])
+        lengths = np.concatenate([n for _, n, _, _ in held_rows])
+        ids = pa.concat_arrays([x for _, _, x, _ in held_rows])
+        held = np.concatenate([x for _, _, _, x in held_rows])
+        words, number, n = np.unique(hashed, return_inverse=True, return_counts=True)
         train = np.bincount(number, weights=np.repeat(~held, lengths), minlength=len(words)).astype(np.int64)
         # Frequent words get small numbers, which compress well.
         rank = np.empty(len(words), dtype=np.uint32)
@@ -68,14 +62,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array([block] * rows, pa.string()), ids, pa.array(held),
                 pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(seq)]),
-                pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64()),
+                pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()),
             ],
-            names=["block", "id", "held", "seq", "h", "last", "c"],
+            names=["block", "id", "held", "seq", "h", "c"],
         )
         vocabulary = pa.RecordBatch.from_arrays(
             [
                 pa.array([block] * m, pa.string()), pa.array(np.arange(m, dtype=np.int64)), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.binary()),
-                pa.array(signed(words[order])), pa.array(last[at][order].astype(np.int32)), pa.array(train[order]),
+                pa.array(signed(words[order])), pa.array(train[order]),
             ],
             names=texts.schema.names,
         )
@@ -87,7 +81,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, t in text_slices(batch.column(2)):
             t = t.lower()
             starts, ends, first = t.words()
-            held_rows.append((t.hashes(starts, ends), t.data[ends - 1], np.diff(first), batch.column(0).slice(i, j - i), flags[i:j]))
+            held_rows.append((t.hashes(starts, ends), np.diff(first), batch.column(0).slice(i, j - i), flags[i:j]))
             size += len(t.data)
             if size >= BLOCK_BYTES:
                 yield from flush()
@@ -96,124 +90,59 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-class Vocabulary:
-    """Totals of the training tokens, the words that are classes, and the shared classes' sizes."""
-
-    def __init__(self, counts: DataFrame, texts: int):
-        row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-        self.end = texts
-        self.tokens, self.kinds = row["n"] + texts, row["v"] + (1 if texts else 0)
-        # At most 1 / MIN_SHARE words pass, so the sort that picks the classes stays bounded.
-        top = counts.filter(F.col("c") >= MIN_SHARE * row["n"]).orderBy(F.col("c").desc(), "h").limit(CLASSES).collect()
-        top.sort(key=lambda r: r["h"] & ((1 << 64) - 1))
-        self.words = np.array([r["h"] for r in top], dtype=np.int64)
-        self.class_counts = np.zeros(_TOTAL)
-        self.class_counts[: len(top)] = [r["c"] for r in top]
-        self.shared = np.ones(ENDINGS)
-        sizes = counts.groupBy("last").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-        tokens, kinds = np.zeros(ENDINGS), np.zeros(ENDINGS)
-        for r in sizes:
-            tokens[r["last"]], kinds[r["last"]] = r["n"], r["v"]
-        for r in top:
-            tokens[r["last"]] -= r["c"]
-            kinds[r["last"]] -= 1
-        self.shared = tokens + kinds + 1
-        self.class_counts[CLASSES:END] = tokens
-        self.class_counts[END] = texts
-
-    def classes(self, h: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Class of every word."""
-        if len(self.words) == 0:
-            return CLASSES + last
-        u = self.words.view(np.uint64)
-        at = np.minimum(np.searchsorted(u, h.view(np.uint64)), len(u) - 1)
-        return np.where(u[at] == h.view(np.uint64), at, CLASSES + last)
-
-
-_SCORED = "id long, held boolean, n_tokens long, n_known long, base double, within double, seq binary"
-
-
-def sequences(texts: DataFrame, known: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Texts of a block meet the global counts of its words: class sequences and the base score."""
-    sent = texts.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def number(left: pa.Table, right: pa.Table) -> pa.Table:
-        v = sent.value
-        n = len(right)
-        at = right.column("at").to_numpy()
-        count, kind, base, within = np.zeros(n, np.int64), np.zeros(n, np.uint16), np.zeros(n), np.zeros(n)
-        c, last = right.column("c").to_numpy(), right.column("last").to_numpy()
-        cls = v.classes(right.column("h").to_numpy(), last)
-        denominator = v.tokens + v.kinds + 1
-        count[at], kind[at], base[at] = c, cls, np.log10((c + 1) / denominator)
-        within[at] = np.where(cls >= CLASSES, np.log10((c + 1) / v.shared[last]), 0.0)
-        rows = {x: [] for x in ("n_tokens", "n_known", "base", "within", "seq")}
-        for seq in left.column("seq"):
-            own = np.frombuffer(seq.as_buffer(), dtype=np.uint32) if seq.as_buffer() is not None else np.zeros(0, np.uint32)
-            rows["n_tokens"].append(len(own) + 1)
-            rows["n_known"].append(int((count[own] > 0).sum()) + (1 if v.end else 0))
-            rows["base"].append(float(base[own].sum() + np.log10((v.end + 1) / denominator)))
-            rows["within"].append(float(within[own].sum()))
-            rows["seq"].append(np.append(kind[own], np.uint16(END)).tobytes())
-        return pa.table(
-            {
-                "id": left.column("id"), "held": left.column("held"), "n_tokens": pa.array(rows["n_tokens"], pa.int64()),
-                "n_known": pa.array(rows["n_known"], pa.int64()), "base": pa.array(rows["base"], pa.float64()),
-                "within": pa.array(rows["within"], pa.float64()), "seq": pa.array(rows["seq"], pa.binary()),
-            }
-        )
-
-    return texts.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(number, _SCORED)
-
-
 class Model:
     """Start, transition and emission probabilities."""
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
 
-    @classmethod
-    def first(cls, states: int, class_counts: np.ndarray, seed: int) -> Model:
-        """Slightly different copies of the class frequencies that prefer to stay where they are."""
-        rng = np.random.default_rng(seed)
-        emit = (class_counts + 0.1)[:, None] * np.exp(rng.normal(0, 0.5, (len(class_counts), states)))
-        move = np.full((states, states), 0.1 / max(1, states - 1))
-        np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
-        return cls(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
-
     @classmethod
     def from_counts(cls, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
         start, move, emit = start + 1.0, move + 1.0, emit + 0.1
         return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
     def expected(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Baum-Welch counts of pieces; ``flat`` is (pieces, length), padded with -1 at the end."""
-        pieces, length = flat.shape
-        states = len(self.start)
-        table = np.vstack([self.emit, np.ones(states)])  # a padded place (-1) says nothing
-        seen = table[flat.T]
-        real = flat.T >= 0
-        alpha = np.empty((length, pieces, states))
-        scale = np.empty((length, pieces, 1))
-        now = self.start * seen[0]
-        for t in range(length):
-            if t:
-                now = (alpha[t - 1] @ self.move) * seen[t]
+        """Baum-Welch counts of whole texts; ``flat`` is (texts, length), padded with -1 at the end."""
+        table = np.vstack([self.emit, np.ones(len(self.start))])  # a padded place (-1) says nothing
+        spans = [flat[:, i : i + SPAN].T for i in range(0, flat.shape[1], SPAN)]
+        borders: list[np.ndarray | None] = [None]
+        for span in spans[:-1]:
+            borders.append(self._forward(table[span], borders[-1])[0][-1].copy())
+        move, emit = np.zeros_like(self.move), np.zeros_like(self.emit)
+        beta = np.ones((len(flat), len(self.start)))
+        for span, before in zip(reversed(spans), reversed(borders)):
+            start, beta = self._backward(span, table[span], before, beta, move, emit)
+        return start, move * self.move, emit
+
+    def _forward(self, seen: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled forward probabilities of a span and their scales, from those of the place before it."""
+        alpha, scale = np.empty_like(seen), np.empty((*seen.shape[:2], 1))
+        for t in range(len(seen)):
+            before = alpha[t - 1] if t else before
+            now = (self.start if before is None else before @ self.move) * seen[t]
             scale[t] = now.sum(axis=1, keepdims=True)
             alpha[t] = now / scale[t]
-        move = np.zeros((states, states))
-        beta = np.ones((pieces, states))
+        return alpha, scale
+
+    def _backward(
+        self, span: np.ndarray, seen: np.ndarray, before: np.ndarray | None, beta: np.ndarray, move: np.ndarray, emit: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Adds a span's counts to ``move`` and ``emit``; start counts and the message to the span before."""
+        alpha, scale = self._forward(seen, before)
+        real = span >= 0
         gamma = np.empty_like(alpha)
-        gamma[-1] = alpha[-1]
-        for t in range(length - 1, 0, -1):
+        for t in range(len(span) - 1, -1, -1):
+            gamma[t] = alpha[t] * beta
             ahead = seen[t] * beta / scale[t]
-            move += (alpha[t - 1] * real[t][:, None]).T @ ahead
+            before_t = alpha[t - 1] if t else before
+            if before_t is not None:
+                move += (before_t * real[t][:, None]).T @ ahead
             beta = ahead @ self.move.T
-            gamma[t - 1] = alpha[t - 1] * beta
         gamma *= real[:, :, None]
-        places = np.where(real, flat.T, 0).ravel()
-        emit = np.stack([np.bincount(places, weights=gamma[:, :, k].ravel(), minlength=len(self.emit)) for k in range(states)], axis=1)
-        return gamma[0].sum(axis=0), move * self.move, emit
+        places = np.where(real, span, 0).ravel()
+        for k in range(len(self.start)):
+            emit[:, k] += np.bincount(places, weights=gamma[:, :, k].ravel(), minlength=len(emit))
+        return gamma[0].sum(axis=0), beta
 
     def log_likelihood(self, flat: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log probability of every class sequence ``flat[first[i]:first[i + 1]]``, all of it."""
@@ -240,59 +169,139 @@ class Model:
         return out
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    parts = [np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in column]
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint16)
-    return flat.astype(np.int64), np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
-
-
-def _pieces(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
-    counts = -(-np.diff(first) // PIECE)
-    offsets = np.concatenate(([0], np.cumsum(counts)))
-    of = np.repeat(np.arange(len(counts)), counts)
-    begin = first[of] + (np.arange(offsets[-1]) - offsets[of]) * PIECE
-    place = begin[:, None] + np.arange(PIECE)
-    inside = place < first[of + 1][:, None]
-    return np.where(inside, flat[np.minimum(place, len(flat) - 1)], -1)
-
-
-def train(rows: DataFrame, class_counts: np.ndarray, states: int, rounds: int, seed: int) -> Model:
-    """Baum-Welch over all of ``rows`` (``seq``); one row per class crosses the shuffle from each task."""
-    model = Model.first(states, class_counts, seed)
+def _numbers(table: pa.Table, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts of a block as local word numbers, each closed by ``end``, and where they start."""
+    parts = []
+    for seq in table.column("seq"):
+        own = np.frombuffer(seq.as_buffer(), dtype=np.uint32) if seq.as_buffer() is not None else np.zeros(0, np.uint32)
+        parts.append(np.append(own.astype(np.int64), end))
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return flat, np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
+
+
+def _padded(flat: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+    """Whole texts of similar length as (texts, length) arrays of about ``PLACES`` places."""
+    lengths = np.diff(first)
+    order = np.argsort(-lengths, kind="stable")
+    i = 0
+    while i < len(order):
+        longest = int(lengths[order[i]])
+        some = order[i : i + max(1, PLACES // longest)]
+        place = np.arange(longest)
+        inside = place < lengths[some][:, None]
+        yield np.where(inside, flat[np.minimum(first[some][:, None] + place, len(flat) - 1)], -1)
+        i += len(some)
+
+
+def _noise(h: np.ndarray, states: int, seed: int) -> np.ndarray:
+    """Normal numbers that depend on word and state only."""
+
+    def mix(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53
+
+    step = np.uint64(0x9E3779B97F4A7C15)
+    x = h.astype(np.int64).view(np.uint64)[:, None] + step * np.arange(1 + seed, 1 + seed + 2 * states, dtype=np.uint64)
+    u, v = mix(x[:, :states]), mix(x[:, states:])
+    return np.sqrt(-2 * np.log(1 - u)) * np.cos(2 * np.pi * v)
+
+
+class Shared:
+    """What every worker needs: start, transitions, the end's emission weight and the states' weight sums."""
+
+    def __init__(self, start: np.ndarray, move: np.ndarray, end: np.ndarray, words: np.ndarray):
+        self.start, self.move, self.end, self.unseen = start, move, end, 1 / len(start)
+        self.total = words + end + self.unseen
+
+    def model(self, weights: np.ndarray) -> Model:
+        """Model of a block: the emissions of its own words (NaN = unseen), then the end."""
+        weights = np.where(np.isnan(weights), self.unseen, weights)
+        return Model(self.start, self.move, np.vstack([weights, self.end]) / self.total)
+
+
+def _local(table: pa.Table, names: list[str]) -> np.ndarray:
+    """Emission weights of a block's words in the order of their numbers."""
+    if len(table) == 0:  # a block of empty texts
+        return np.zeros((0, len(names)))
+    at = table.column("at").to_numpy()
+    out = np.full((int(at.max()) + 1, len(names)), np.nan)
+    for k, x in enumerate(names):
+        out[at, k] = table.column(x).to_numpy()
+    return out
+
+
+def _sums(weights: DataFrame, names: list[str]) -> np.ndarray:
+    return np.array([x or 0.0 for x in weights.agg(*[F.sum(x).alias(x) for x in names]).first()])
+
+
+def _counter(sent, names: list[str]):
+    """Expected counts of a block's texts, by word."""
+    states = len(names)
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        local = _local(right, names)
+        model = sent.value.model(local)
+        start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape)
+        for some in _padded(*_numbers(left, len(local))):
+            a, b, c = model.expected(some)
+            start, move, emit = start + a, move + b, emit + c
+        h = np.zeros(len(local), np.int64)
+        if len(local):
+            h[right.column("at").to_numpy()] = right.column("h").to_numpy()
+        # Kind 0: words; 1: the start; 2: the end; 3 + k: transitions of state k.
+        own = np.flatnonzero(emit[:-1].sum(axis=1) > 0)
+        table = np.vstack([emit[own], start, emit[-1], move])
+        kind = np.concatenate((np.zeros(len(own)), np.arange(1, 3 + states))).astype(np.int32)
+        hashes = np.concatenate((h[own], np.zeros(2 + states, np.int64)))
+        return pa.table({"kind": pa.array(kind), "h": pa.array(hashes)} | {x: pa.array(table[:, k]) for k, x in enumerate(names)})
+
+    return count
+
+
+def train(texts: DataFrame, words: DataFrame, counts: DataFrame, n_texts: int, states: int, rounds: int, seed: int) -> tuple[DataFrame, Shared]:
+    """Baum-Welch over ``texts`` (``block, seq``): the emission weights (``h, s0, s1, ...``) and the rest of the model.
+
+    ``words``: ``of, at, h`` of every block; ``counts``: ``h, c`` of the training words.
+    """
+    spark = texts.sparkSession
     names = [f"s{k}" for k in range(states)]
-    schema = "cls int, " + ", ".join(f"{x} double" for x in names)
+    columns = ", ".join(f"{x} double" for x in names)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slightly different copies of the word frequencies."""
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            w = ((batch.column(1).to_numpy() + 1) / states)[:, None] * np.exp(0.5 * _noise(h, states, seed))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(w[:, k]) for k in range(states)]], names=["h", *names])
+
+    weights = stage(counts.select("h", "c").mapInArrow(first, f"h long, {columns}"), "weights")
+    move = np.full((states, states), 0.1 / max(1, states - 1))
+    np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
+    end = (n_texts + 1) / states * np.exp(np.random.default_rng(seed).normal(0, 0.5, states))
+    shared = Shared(np.full(states, 1 / states), move, end, _sums(weights, names))
     for _ in range(rounds):
-        sent = rows.sparkSession.sparkContext.broadcast(model)
-
-        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            model = sent.value
-            start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((_TOTAL, states))
-            for batch in batches:
-                flat, first = _flat(batch.column(0))
-                pieces = _pieces(flat, first) if len(flat) else np.zeros((0, PIECE), np.int64)
-                for i in range(0, len(pieces), 1024):
-                    a, b, c = model.expected(pieces[i : i + 1024])
-                    start, move, emit = start + a, move + b, emit + c
-            # Start counts travel as row -1, the transitions of state k as row -2 - k.
-            table = np.vstack([start[None, :], move, emit])
-            at = np.concatenate(([-1], -2 - np.arange(states), np.arange(_TOTAL)))
-            keep = table.sum(axis=1) > 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at[keep].astype(np.int32)), *[pa.array(table[keep, k]) for k in range(states)]], names=["cls", *names]
-            )
-
-        sums = rows.select("seq").mapInArrow(count, schema).groupBy("cls").agg(*[F.sum(x).alias(x) for x in names]).collect()
-        start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((_TOTAL, states))
-        for r in sums:
+        sent = spark.sparkContext.broadcast(shared)
+
+        met = words.join(weights, "h").select("of", "at", "h", *names)
+        found = texts.groupBy("block").cogroup(met.groupBy("of")).applyInArrow(_counter(sent, names), f"kind int, h long, {columns}")
+        sums = stage(found.groupBy("kind", "h").agg(*[F.sum(x).alias(x) for x in names]), "expected")
+        start, end, move = np.zeros(states), np.zeros(states), np.zeros((states, states))
+        for r in sums.filter("kind > 0").collect():
             value = [r[x] for x in names]
-            if r["cls"] == -1:
+            if r["kind"] == 1:
                 start[:] = value
-            elif r["cls"] < -1:
-                move[-2 - r["cls"]] = value
+            elif r["kind"] == 2:
+                end[:] = value
             else:
-                emit[r["cls"]] = value
-        model = Model.from_counts(start, move, emit)
-    return model
+                move[r["kind"] - 3] = value
+        weights = sums.filter("kind = 0").select("h", *[(F.col(x) + 1 / states).alias(x) for x in names])
+        start, move = start + 1.0, move + 1.0
+        shared = Shared(start / start.sum(), move / move.sum(axis=1, keepdims=True), end + 1 / states, _sums(weights, names))
+    return weights, shared
+
+
+_SCORED = "id long, held boolean, n_tokens long, n_known long, base double, score double"
 
 
 def score_texts(
@@ -314,23 +323,36 @@ def score_texts(
     blocks.write.option("compression", "zstd").parquet(path)
     blocks = docs.sparkSession.read.schema(blocks.schema).parquet(path)
     texts = blocks.filter("seq IS NOT NULL").select("block", "id", "held", "seq")
-    words = blocks.filter("h IS NOT NULL").select(F.col("block").alias("of"), F.col("id").alias("at"), "h", "last", "c")
-    counts = stage(words.groupBy("h").agg(F.sum("c").alias("c"), F.first("last").alias("last")), "counts")
-    vocabulary = Vocabulary(counts.filter("c > 0"), texts.filter("NOT held").count())
-    known = words.select("of", "at", "h", "last").join(counts.select("h", "c"), "h")
-    path = fresh_path(docs.sparkSession, "sequences")
-    numbered = sequences(texts, known, vocabulary)
-    numbered.write.option("compression", "zstd").parquet(path)
-    numbered = docs.sparkSession.read.schema(numbered.schema).parquet(path)
-    model = train(numbered.filter("NOT held"), vocabulary.class_counts, states, rounds, seed)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.arrow_udf("double")
-    def likelihood(seq: pa.Array) -> pa.Array:
-        flat, first = _flat(seq)
-        return pa.array(sent.value.log_likelihood(flat, first) / np.log(10))
-
-    return numbered.select(
-        F.col("id").alias(doc_id), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
-        F.col("base").alias("base_score"), (likelihood("seq") + F.col("within")).alias("score"),
+    words = blocks.filter("h IS NOT NULL").select(F.col("block").alias("of"), F.col("id").alias("at"), "h", "c")
+    counts = stage(words.filter("c > 0").groupBy("h").agg(F.sum("c").alias("c")), "counts")
+    trained = texts.filter("NOT held")
+    ends = trained.count()
+    row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    tokens, kinds = row["n"] + ends, row["v"] + (1 if ends else 0)
+    weights, shared = train(trained.select("block", "seq"), words.filter("c > 0").select("of", "at", "h"), counts, ends, states, rounds, seed)
+    names = [f"s{k}" for k in range(states)]
+    sent = docs.sparkSession.sparkContext.broadcast(shared)
+
+    def likelihood(left: pa.Table, right: pa.Table) -> pa.Table:
+        local = _local(right, names)
+        seen = np.zeros(len(local) + 1)
+        if len(local):
+            seen[right.column("at").to_numpy()] = right.column("c").to_numpy()
+        seen[-1] = ends
+        flat, first = _numbers(left, len(local))
+        total = lambda x: np.add.reduceat(x[flat], first[:-1]) if len(flat) else np.zeros(0)
+        return pa.table(
+            {
+                "id": left.column("id"), "held": left.column("held"), "n_tokens": pa.array(np.diff(first)),
+                "n_known": pa.array(total((seen > 0).astype(np.int64)).astype(np.int64)), "base": pa.array(total(np.log10((seen + 1) / (tokens + kinds + 1)))),
+                "score": pa.array(sent.value.model(local).log_likelihood(flat, first) / np.log(10)),
+            }
+        )
+
+    known = counts.join(weights, "h", "left")
+    met = words.select("of", "at", "h").join(known, "h", "left").select("of", "at", F.coalesce("c", F.lit(0)).alias("c"), *names)
+    scored = texts.groupBy("block").cogroup(met.groupBy("of")).applyInArrow(likelihood, _SCORED)
+    return scored.select(
+        F.col("id").alias(doc_id), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"), "score",
     )
