@@ -10,13 +10,18 @@ DataFrame functions only. The lookup is a plain equi-join of document shingles w
 Spark broadcasts that table while its written size is below the session's threshold and shuffles otherwise.
 A shingle that occurs in many documents is one row on the item side, and such joins split where skewed.
 
-Edge cases: null and empty texts and documents or items with fewer than ``width`` words have no shingle and
-match nothing; rows equal in id and text are one document; repeated items are one item; a null id stays
+Items of fewer than ``width`` words are one shingle of their own length if ``short_items`` is set: documents are
+then also looked up by their runs of the lengths that occur among the items. Else such items match nothing.
+
+Edge cases: null and empty texts have no shingle and match nothing, and documents with fewer than ``width``
+words hold only short items; rows equal in id and text are one document; repeated items are one item; a null id stays
 null in the pairs; empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +51,18 @@ def shingle_texts(words: str, width: int) -> Column:
     )
 
 
-def item_sketches(items: DataFrame, item_id: str, text: str, width: int, threshold: float) -> DataFrame:
+def item_shingles(shingles: Callable[[str, int], Column], words: str, width: int, short_items: bool) -> Column:
+    """Shingles of an item; a short one is a single shingle of all its words."""
+    out = shingles(words, width)
+    for n in range(1, width) if short_items else ():
+        out = F.when(F.size(words) == n, shingles(words, n)).otherwise(out)
+    return out
+
+
+def item_sketches(items: DataFrame, item_id: str, text: str, width: int, threshold: float, short_items: bool = False) -> DataFrame:
     """``h, item, __it``: the bottom-k sketch of every item, k by size partition."""
     words = items.select(id_of(item_id), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__it"), word_array(text).alias("w"))
-    sets = words.select("__id", "__it", F.array_sort(F.array_distinct(shingle_hashes("w", width))).alias("s")).filter(F.size("s") > 0)
+    sets = words.select("__id", "__it", F.array_sort(F.array_distinct(item_shingles(shingle_hashes, "w", width, short_items))).alias("s")).filter(F.size("s") > 0)
     largest = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("s").cast("double"))))
     k = (F.floor((1 - threshold) * largest + 1e-9) + 1).cast("int")
     return sets.select(F.col("__id").alias("item"), "__it", F.explode(F.slice("s", F.lit(1), k)).alias("h")).distinct()
@@ -65,21 +78,31 @@ def contaminated(
     width: int = 5,
     threshold: float = 0.8,
     keep_key: bool = False,
+    short_items: bool = False,
 ) -> DataFrame:
     """``doc_id, item_id, n_shared, n_item, containment``: documents holding at least ``threshold`` of an
     item's distinct shingles. ``keep_key`` adds the row key of the document."""
-    sketches = stage(item_sketches(items, item_id, item_text, width, threshold), "sketches")
+    sketches = stage(item_sketches(items, item_id, item_text, width, threshold, short_items), "sketches")
+    lengths = [width]
+    if short_items:
+        sizes = items.select(F.size(word_array(item_text)).alias("n")).filter((F.col("n") > 0) & (F.col("n") < width)).distinct()
+        lengths += sorted(r["n"] for r in sizes.collect())
     rows = keyed(docs, doc_id, text)
-    hashes = rows.select(*KEY, word_array("__text").alias("w")).select(*KEY, F.explode(shingle_hashes("w", width)).alias("h"))
+    hashes = rows.select(*KEY, word_array("__text").alias("w")).select(*KEY, F.explode(F.concat(*[shingle_hashes("w", n) for n in lengths])).alias("h"))
     pairs = stage(hashes.join(sketches, "h").select(*KEY, "item", "__it").distinct(), "candidates")
 
     full = items.select(id_of(item_id), F.xxhash64(F.coalesce(F.col(item_text), F.lit(""))).alias("__it"), word_array(item_text).alias("w"))
-    full = full.select(F.col("__id").alias("item"), "__it", shingle_texts("w", width).alias("wanted")).dropDuplicates(["item", "__it"])
+    short = (F.size("w") < width).alias("short")
+    full = full.select(F.col("__id").alias("item"), "__it", short, item_shingles(shingle_texts, "w", width, short_items).alias("wanted")).dropDuplicates(["item", "__it"])
     asked = pairs.select(*KEY).distinct()
     found = rows.join(asked, KEY).dropDuplicates(KEY).select(*KEY, word_array("__text").alias("w"))
-    found = found.select(*KEY, shingle_texts("w", width).alias("held"))
+    spaced = [F.concat(F.lit(" "), F.concat_ws(" ", "w"), F.lit(" ")).alias("spaced")] if len(lengths) > 1 else []
+    found = found.select(*KEY, shingle_texts("w", width).alias("held"), *spaced)
     both = found.join(pairs, KEY).join(full, ["item", "__it"])
     shared = F.size(F.array_intersect("held", "wanted")).cast("long")
+    if spaced:
+        whole = F.contains(F.col("spaced"), F.concat(F.lit(" "), F.get("wanted", F.lit(0)), F.lit(" ")))
+        shared = F.when(F.col("short"), whole.cast("long")).otherwise(shared)
     both = both.select(*KEY, "item", shared.alias("n_shared"), F.size("wanted").cast("long").alias("n_item"))
     both = both.filter(F.col("n_shared") >= threshold * F.col("n_item") - 1e-9)
     extra = KEY if keep_key else []

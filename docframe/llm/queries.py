@@ -103,7 +103,7 @@ def op5_source_mix(spark, sf_dir):
 
 @_query(decontaminate.contaminated_sql())
 def op6_decontamination(spark, sf_dir):
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 _JOIN_SQL = f"""
