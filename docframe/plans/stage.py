@@ -4,6 +4,9 @@ A result that several branches of a plan read is written once as parquet, which
 and survives the loss of executors. The folder is ``spark.checkpoint.dir``, else the folder given to
 ``SparkContext.setCheckpointDir``. A session in one process (``local[n]``) that has neither gets a
 temporary one; on a cluster that is an error, since executors do not share local folders.
+
+Shuffle files of such a write are removed once it is complete. ``release`` removes a table that nothing
+reads any more, as a loop does with the table of the round before.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -38,8 +42,27 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+def stage(df: DataFrame, label: str = "stage", compression: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def release(*staged: DataFrame) -> None:
+    """Remove tables written by ``stage``; a result that still reads them can't be computed any more."""
+    for df in staged:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
