@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm import decontaminate, hmm, jaccard_join, language_id, line_dedup, mixing, pii, quality_rules, substring_dedup, token_counts
+from docframe.llm import (
+    decontaminate,
+    hadamard_clusters,
+    hmm,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    mixing,
+    pii,
+    quality_rules,
+    substring_dedup,
+    suffix_dedup,
+    token_counts,
+    whitening,
+)
 from docframe.plans.ship import ship
 from docframe.plans.stage import stage
 
@@ -48,7 +62,10 @@ def op1_token_counts(spark, sf_dir):
 @_query()
 def op2_personal_data(spark, sf_dir):
     found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("found", lambda c, k=k: c["base"] & (c["kind"] == k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    def count(kind: int, name: str):
+        return F.size(F.filter("found", lambda c: c["base"] & (c["kind"] == kind))).cast("long").alias(f"n_{name}")
+
+    counts = [count(k, name) for k, name in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.span_list(F.col("found"), True), 256).alias("base_sha256"), pii.span_list(F.col("found")).alias("spans"))
 
 
@@ -150,3 +167,35 @@ def op9_language_id(spark, sf_dir):
 def op10_quality_rules(spark, sf_dir):
     found = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@_query()
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+_BYTES_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+part AS (SELECT doc_id, k, substr(x, 1000 * k + 1, 1098) AS y FROM (SELECT doc_id, x, unnest(range(0, (len(x) + 999) // 1000)) AS k FROM d)),
+byte AS (SELECT doc_id, 500 * k + j AS i, substr(y, 2 * j - 1, 2) AS c, CASE WHEN 2 * j + 98 <= len(y) THEN md5_number(substr(y, 2 * j - 1, 100)) END AS h
+         FROM (SELECT doc_id, k, y, unnest(range(1, least(500, len(y) // 2) + 1)) AS j FROM part)),
+low AS (SELECT h, min(doc_id) AS lo FROM byte WHERE h IS NOT NULL GROUP BY h),
+late AS (SELECT doc_id, i, c, coalesce(lo < doc_id, false) AS late FROM byte LEFT JOIN low USING (h)),
+cut AS (SELECT doc_id, i, c, bool_or(late) OVER (PARTITION BY doc_id ORDER BY i ROWS 49 PRECEDING) AS gone FROM late),
+edge AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM cut),
+total AS (SELECT doc_id, count(*) FILTER (gone) AS n, count(*) FILTER (opens) AS k, string_agg(c, '' ORDER BY i) FILTER (NOT gone) AS t FROM edge GROUP BY doc_id)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256
+FROM d LEFT JOIN total USING (doc_id)"""
+
+
+@_query(_BYTES_SQL)
+def op12_suffix_dedup(spark, sf_dir):
+    kept = suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query(hadamard_clusters.clusters_sql())
+def op13_hadamard_clusters(spark, sf_dir):
+    found = hadamard_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda c: c.cast("string")), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
