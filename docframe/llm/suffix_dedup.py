@@ -296,11 +296,11 @@ def dedup_bytes(
     single = late_suffixes(open_windows(rows, 1), sampled_splitters(sample, n_buckets), False)
 
     covered = found.filter("NOT open").select("id", "tag", "at").unionByName(single.select("id", "tag", "at"))
-    covered = stage(covered.groupBy("id", "tag").agg(F.collect_list("at").alias("__runs")), "covered")
+    covered = stage(covered.groupBy(F.col("id").alias("__of"), F.col("tag").alias("__of_tag")).agg(F.collect_list("at").alias("__runs")), "covered")
     release(found, still)
     others = [c for c in docs.columns if c not in (text, "n_bytes", "n_removed", "n_spans", "kept")]
     whole = docs.select(*others, id_of(doc_id).alias("__id"), tag.alias("__tag"), body.alias("__text"))
-    met = whole.join(covered, (F.col("__id") == F.col("id")) & (F.col("__tag") == F.col("tag")), "left")
+    met = whole.join(covered, (F.col("__id") == F.col("__of")) & (F.col("__tag") == F.col("__of_tag")), "left")
     met = met.select(*[whole[c] for c in others], "__text", "__runs")
     counts = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
     schema = T.StructType([*[docs.schema[c] for c in others], *counts, T.StructField("kept", T.BinaryType())])

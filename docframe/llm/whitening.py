@@ -1,8 +1,8 @@
 """Embedding whitening by shifted CholeskyQR.
 
 Method: entries become ``x = floor(scale * c)``; every distinct vector counts once. With ``A`` the centred
-distinct rows, each pass over them forms the Gram matrix of ``A T`` in Spark, where ``T`` solves the triangular
-factors found so far, and its Cholesky factor ``R`` orthogonalises the rows further: ``A = Q R`` with ``R`` the
+distinct rows, each pass over them solves the triangular factors found so far, row by row, and forms the Gram matrix
+of the result in Spark; its Cholesky factor ``R`` orthogonalises the rows further: ``A = Q R`` with ``R`` the
 product of all factors. The first factor is shifted, ``chol(G + s I)``, so that it exists however badly the
 rows are conditioned; a later one is shifted only where it does not exist otherwise. Passes end when ``Q' Q``
 is the identity up to rounding (two or three passes as a rule). The SVD of ``R`` gives the components (right
@@ -77,8 +77,11 @@ def _centred(x: np.ndarray, n: int, sums: list[int]) -> np.ndarray:
     return np.array([[(n * int(v) - s) / n for v, s in zip(row, sums)] for row in x], float).reshape(x.shape)
 
 
-def _gram(fit: DataFrame, n: int, sums: list[int], basis: np.ndarray) -> np.ndarray:
-    """Gram matrix of the centred rows times ``basis``; upper halves are added up in Spark."""
+def _gram(fit: DataFrame, n: int, sums: list[int], basis: np.ndarray, factors: list[np.ndarray]) -> np.ndarray:
+    """Gram matrix of the centred rows times ``basis``, solved by ``factors`` one after the other; Spark adds the upper halves.
+
+    Rows are solved, not multiplied by an inverse: the error then does not grow with the factors' condition.
+    """
     size = basis.shape[1]
     upper = np.triu_indices(size)
 
@@ -86,6 +89,8 @@ def _gram(fit: DataFrame, n: int, sums: list[int], basis: np.ndarray) -> np.ndar
         total = np.zeros((size, size))
         for batch in batches:
             q = _centred(_rows(batch.column(0)), n, sums) @ basis if len(batch) else np.zeros((0, size))
+            for r in factors:
+                q = _solved(r, q)
             total += q.T @ q
         yield pa.record_batch({"at": pa.array(np.arange(len(upper[0]), dtype=np.int32)), "v": pa.array(total[upper])})
 
@@ -135,9 +140,9 @@ def fit_whitening(fit: DataFrame, components: int = 4) -> Whitening:
     nothing = Whitening(n, sums, np.zeros((d, 0)), np.zeros(0), 0.0, 0.0)
     if n == 0:
         return nothing
-    basis, factor, total = np.eye(d), np.eye(d), 0.0
+    basis, factors, factor, total = np.eye(d), [], np.eye(d), 0.0
     for k in range(PASSES):
-        gram = _gram(fit, n, sums, basis)
+        gram = _gram(fit, n, sums, basis, factors)
         if k == 0:
             total = float(np.trace(gram)) / n
             live = np.flatnonzero(np.diag(gram) > 0)  # a constant dimension is zero in every component
@@ -146,15 +151,15 @@ def fit_whitening(fit: DataFrame, components: int = 4) -> Whitening:
             gram, basis, factor = gram[np.ix_(live, live)], basis[:, live], np.eye(len(live))
         elif np.abs(gram - np.eye(len(gram))).max() <= SETTLED * d:
             break
-        r = shifted_factor(gram, n, shift=k == 0)
-        basis, factor = _solved(r, basis), r @ factor
+        factors.append(shifted_factor(gram, n, shift=k == 0))
+        factor = factors[-1] @ factor
     _, sizes, right = np.linalg.svd(factor)
     kept = min(components, len(sizes), int((sizes > sizes[0] * 1e-13 * d).sum()))
     vectors = np.zeros((d, kept))
     vectors[live] = right[:kept].T
     vectors *= np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(kept)] < 0, -1.0, 1.0)
     values = sizes[:kept] ** 2 / n
-    covariance = _gram(fit, n, sums, vectors / np.sqrt(values)) / n
+    covariance = _gram(fit, n, sums, vectors / np.sqrt(values), []) / n
     whole = np.diag(covariance) > 0.5  # a direction made of rounding only has no variance of its own
     kept = kept if whole.all() else int(whole.argmin())
     error = float(np.abs(covariance[:kept, :kept] - np.eye(kept)).max(initial=0.0))
