@@ -27,7 +27,7 @@ an empty table gives an empty table; input columns named like output columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,13 @@ SAMPLE = 200_000
 THIN = 8
 """Of a sampled document every so many suffixes enter the sample."""
 _LOW = np.uint64(0xFFFFFFFF)
-SUFFIXES = "t1 long, t2 long, id long, tag long, at long"
+SLICE_BYTES = 500_000
+BLOCK = 400_000
+"""Suffixes that a task holds before it deals them out, a row per bucket."""
+NAMES = ["t1", "t2", "id", "tag", "at"]
+SUFFIXES = ", ".join(f"{x} long" for x in NAMES)
+Part = tuple[np.ndarray, ...]
+Find = Callable[[Iterator[pa.RecordBatch]], Iterator[Part]]
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -129,11 +135,39 @@ def sampled_splitters(sample: DataFrame, n_buckets: int) -> Splitters:
     return Splitters(t1[order][cut], t2[order][cut], ids[order][cut])
 
 
+def dealt(parts: Iterator[Part], borders: Splitters) -> Iterator[pa.RecordBatch]:
+    """Suffixes as one row per block and bucket, whose binary holds the columns one after the other."""
+    held: list[Part] = []
+
+    def flush() -> pa.RecordBatch:
+        columns = np.stack([np.concatenate(x) for x in zip(*held)])
+        held.clear()
+        bucket = borders.bucket(*columns[:3])
+        order = np.argsort(bucket, kind="stable")
+        some, first = np.unique(bucket[order], return_index=True)
+        blocks = [columns[:, rows].tobytes() for rows in np.split(order, first[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+
+    for part in parts:
+        held.append(part)
+        if sum(len(x[0]) for x in held) >= BLOCK:
+            yield flush()
+    if sum(len(x[0]) for x in held):
+        yield flush()
+
+
+def listed(parts: Iterator[Part]) -> Iterator[pa.RecordBatch]:
+    """Suffixes as plain rows."""
+    for part in parts:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in part], names=NAMES)
+
+
 def _sorter(sent, with_open: bool):
     """Sorts a bucket and tells of every suffix that matters whether it is late, open or has to be compared across a border."""
 
     def sort(table: pa.Table) -> pa.Table:
-        t1, t2, ids, tags, at = (table.column(c).to_numpy() for c in ("t1", "t2", "id", "tag", "at"))
+        blocks = [np.frombuffer(x.as_buffer(), np.int64).reshape(len(NAMES), -1) for x in table.column("block")]
+        t1, t2, ids, tags, at = np.concatenate(blocks, axis=1)
         order = multikey_order([t1, t2, ids])
         t1, t2, ids, tags, at = t1[order], t2[order], ids[order], tags[order], at[order]
         new1 = np.concatenate(([True], t1[1:] != t1[:-1]))
@@ -158,20 +192,14 @@ def _sorter(sent, with_open: bool):
     return sort
 
 
-def late_suffixes(suffixes: DataFrame, splitters: Splitters, with_open: bool) -> DataFrame:
+def late_suffixes(rows: DataFrame, find: Find, splitters: Splitters, with_open: bool) -> DataFrame:
     """``id, tag, at, open`` of suffixes whose tokens occur in a smaller document, and of those that stay open.
 
     Open are first documents of a content whose first token also begins other contents of other documents.
     """
-    sent = suffixes.sparkSession.sparkContext.broadcast(splitters)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            b = sent.value.bucket(*(batch.column(k).to_numpy() for k in range(3)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(b.astype(np.int32))], names=[*batch.schema.names, "bucket"])
-
-    placed = suffixes.mapInArrow(place, SUFFIXES + ", bucket int")
-    found = stage(placed.groupBy("bucket").applyInArrow(_sorter(sent, with_open), "kind byte, " + SUFFIXES), "sorted-suffixes")
+    sent = rows.sparkSession.sparkContext.broadcast(splitters)
+    blocks = rows.mapInArrow(lambda batches: dealt(find(batches), sent.value), "bucket int, block binary")
+    found = stage(blocks.groupBy("bucket").applyInArrow(_sorter(sent, with_open), "kind byte, " + SUFFIXES), "sorted-suffixes")
     edge = found.filter("kind = 2")
     least = edge.groupBy("t1", "t2").agg(F.min("id").alias("first"))
     compared = edge.join(least, ["t1", "t2"])
@@ -185,19 +213,19 @@ def late_suffixes(suffixes: DataFrame, splitters: Splitters, with_open: bool) ->
     return out
 
 
-def _run_suffixes(rows: DataFrame, width: int, gram: int, thin: int = 1) -> DataFrame:
+def run_suffixes(width: int, gram: int, thin: int = 1) -> Find:
     """One suffix per run of every text; ``at`` packs the first window and the number of further ones."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, _, t in text_slices(batch.column(2)):
+            for i, _, t in text_slices(batch.column(2), SLICE_BYTES):
                 first, last, t1, t2 = (x[::thin] for x in runs(t, width, gram))
                 who = np.searchsorted(t.offsets, first, "right") - 1
                 at = (first - t.offsets[who]) * 64 + (last - first)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.ascontiguousarray(t1))), pa.array(signed(np.ascontiguousarray(t2))), pa.array(ids[i + who]), pa.array(tags[i + who]), pa.array(at)], names=["t1", "t2", "id", "tag", "at"])
+                yield signed(np.ascontiguousarray(t1)), signed(np.ascontiguousarray(t2)), ids[i + who], tags[i + who], at
 
-    return rows.mapInArrow(find, SUFFIXES)
+    return find
 
 
 def _covered(packed: np.ndarray, width: int, length: int) -> np.ndarray:
@@ -209,26 +237,25 @@ def _covered(packed: np.ndarray, width: int, length: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _window_suffixes(rows: DataFrame, width: int, thin: int = 1) -> DataFrame:
+def window_suffixes(width: int, thin: int = 1) -> Find:
     """The single windows of the runs in column ``runs``; ``at`` packs the window alone."""
     half = width // 2
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
         for batch in batches:
             ids, tags, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             packed, ends = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
-            for i, j, t in text_slices(batch.column(2)):
+            for i, j, t in text_slices(batch.column(2), SLICE_BYTES):
                 some = packed[ends[i] : ends[j]]
                 who = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
                 n = (some & 63) + 1
                 within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at, who = np.repeat(some >> 6, n) + within, np.repeat(who, n)
-                at, who = at[::thin], who[::thin]
+                at, who = (np.repeat(some >> 6, n) + within)[::thin], np.repeat(who, n)[::thin]
                 start = t.offsets[who] + at
                 t1, t2 = t.hashes(start, start + half), t.hashes(start + half, start + width)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(t1)), pa.array(signed(t2)), pa.array(ids[i + who]), pa.array(tags[i + who]), pa.array(at * 64)], names=["t1", "t2", "id", "tag", "at"])
+                yield signed(t1), signed(t2), ids[i + who], tags[i + who], at * 64
 
-    return rows.mapInArrow(find, SUFFIXES)
+    return find
 
 
 def _cut(width: int):
@@ -257,10 +284,9 @@ def _cut(width: int):
     return cut
 
 
-def _few(rows: DataFrame, n_bytes: int, wanted: int) -> DataFrame:
-    """Documents that hold about ``wanted`` bytes in all, the same ones in every run."""
-    share = min(1.0, wanted / max(1, n_bytes))
-    return rows.filter(F.pmod(F.xxhash64("id", "tag", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+def _few(rows: DataFrame, share: float) -> DataFrame:
+    """About this share of the documents, the same ones in every run."""
+    return rows.filter(F.pmod(F.xxhash64("id", "tag", F.lit("sample")), F.lit(1 << 20)) < int(min(1.0, share) * (1 << 20)) + 1)
 
 
 def dedup_bytes(
@@ -276,24 +302,32 @@ def dedup_bytes(
     tag = F.lit(0).cast("long") if (about["n"] or 0) <= 1 else F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(id_of(doc_id).alias("id"), tag.alias("tag"), body)
 
+    def splitters(part: DataFrame, find: Callable[[int], Find], n: int) -> Splitters:
+        thin = THIN if n > n_sampled(n) else 1
+        sample = part.mapInArrow(lambda batches: listed(find(thin)(batches)), SUFFIXES)
+        return sampled_splitters(sample, n_buckets(n))
+
+    def n_buckets(n: int) -> int:
+        return int(min(max(1, n // bucket_rows), MOST_BUCKETS))
+
+    def n_sampled(n: int) -> int:
+        return max(SAMPLE, 8 * n_buckets(n)) * THIN
+
     n_runs = 2 * n_bytes // (width - gram + 2)
-    n_buckets = int(min(max(1, n_runs // bucket_rows), MOST_BUCKETS))
-    drawn = max(SAMPLE, 8 * n_buckets) * THIN
-    sample = _run_suffixes(_few(rows, n_bytes, drawn * (width - gram + 2) // 2), width, gram, THIN if n_runs > drawn else 1)
-    found = stage(late_suffixes(_run_suffixes(rows, width, gram), sampled_splitters(sample, n_buckets), True), "runs")
+    few = _few(rows, n_sampled(n_runs) / max(1, n_runs))
+    borders = splitters(few, lambda thin: run_suffixes(width, gram, thin), n_runs)
+    found = stage(late_suffixes(rows, run_suffixes(width, gram), borders, True), "runs")
 
     still = found.filter("open").groupBy(F.col("id").alias("of"), F.col("tag").alias("of_tag")).agg(F.collect_list("at").alias("runs"))
     still = stage(still, "open-runs")
-    size = still.agg(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda s, a: s + F.pmod(a, F.lit(64)) + 1)).alias("n")).first()["n"] or 0
+    n_windows = still.agg(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda s, a: s + F.pmod(a, F.lit(64)) + 1)).alias("n")).first()["n"] or 0
 
-    def open_windows(part: DataFrame, thin: int) -> DataFrame:
-        joined = part.join(still, (F.col("id") == F.col("of")) & (F.col("tag") == F.col("of_tag"))).select("id", "tag", "text", "runs")
-        return _window_suffixes(joined, width, thin)
+    def with_runs(part: DataFrame) -> DataFrame:
+        return part.join(still, (F.col("id") == F.col("of")) & (F.col("tag") == F.col("of_tag"))).select("id", "tag", "text", "runs")
 
-    n_buckets = int(min(max(1, size // bucket_rows), MOST_BUCKETS))
-    drawn = max(SAMPLE, 8 * n_buckets) * THIN
-    sample = open_windows(_few(rows, size, drawn), THIN if size > drawn else 1)
-    single = late_suffixes(open_windows(rows, 1), sampled_splitters(sample, n_buckets), False)
+    few = with_runs(_few(rows, n_sampled(n_windows) / max(1, n_windows)))
+    borders = splitters(few, lambda thin: window_suffixes(width, thin), n_windows)
+    single = late_suffixes(with_runs(rows), window_suffixes(width), borders, False)
 
     covered = found.filter("NOT open").select("id", "tag", "at").unionByName(single.select("id", "tag", "at"))
     covered = stage(covered.groupBy(F.col("id").alias("__of"), F.col("tag").alias("__of_tag")).agg(F.collect_list("at").alias("__runs")), "covered")
