@@ -187,15 +187,17 @@ def _sorter(sent, with_open: bool):
             open_ = ~late & ~across & ((contents > 1) & (low < high))[np.cumsum(new1) - 1]
         kind = np.where(late, 0, np.where(across, 2, 1)).astype(np.int8)
         keep = late | across | open_
+        t1, t2 = np.where(across, t1, 0), np.where(across, t2, 0)  # only compared across borders
         return pa.table({c: pa.array(v[keep]) for c, v in (("kind", kind), ("t1", t1), ("t2", t2), ("id", ids), ("tag", tags), ("at", at))})
 
     return sort
 
 
-def late_suffixes(rows: DataFrame, find: Find, splitters: Splitters, with_open: bool) -> DataFrame:
+def late_suffixes(rows: DataFrame, find: Find, splitters: Splitters, with_open: bool) -> tuple[DataFrame, DataFrame]:
     """``id, tag, at, open`` of suffixes whose tokens occur in a smaller document, and of those that stay open.
 
-    Open are first documents of a content whose first token also begins other contents of other documents.
+    Open are first documents of a content whose first token also begins other contents of other documents. Also
+    returned: the staged table that the result reads.
     """
     sent = rows.sparkSession.sparkContext.broadcast(splitters)
     blocks = rows.mapInArrow(lambda batches: dealt(find(batches), sent.value), "bucket int, block binary")
@@ -210,7 +212,7 @@ def late_suffixes(rows: DataFrame, find: Find, splitters: Splitters, with_open:
         mixed = contents.filter("n > 1 AND low < high").select("t1")
         still = compared.filter("id = first").join(mixed, "t1", "left_semi").select("id", "tag", "at", F.lit(True).alias("open"))
         out = out.unionByName(still)
-    return out
+    return out, found
 
 
 def run_suffixes(width: int, gram: int, thin: int = 1) -> Find:
@@ -316,7 +318,7 @@ def dedup_bytes(
     n_runs = 2 * n_bytes // (width - gram + 2)
     few = _few(rows, n_sampled(n_runs) / max(1, n_runs))
     borders = splitters(few, lambda thin: run_suffixes(width, gram, thin), n_runs)
-    found = stage(late_suffixes(rows, run_suffixes(width, gram), borders, True), "runs")
+    found, sorted_runs = late_suffixes(rows, run_suffixes(width, gram), borders, True)
 
     still = found.filter("open").groupBy(F.col("id").alias("of"), F.col("tag").alias("of_tag")).agg(F.collect_list("at").alias("runs"))
     still = stage(still, "open-runs")
@@ -327,11 +329,11 @@ def dedup_bytes(
 
     few = with_runs(_few(rows, n_sampled(n_windows) / max(1, n_windows)))
     borders = splitters(few, lambda thin: window_suffixes(width, thin), n_windows)
-    single = late_suffixes(with_runs(rows), window_suffixes(width), borders, False)
+    single, sorted_windows = late_suffixes(with_runs(rows), window_suffixes(width), borders, False)
 
     covered = found.filter("NOT open").select("id", "tag", "at").unionByName(single.select("id", "tag", "at"))
     covered = stage(covered.groupBy(F.col("id").alias("__of"), F.col("tag").alias("__of_tag")).agg(F.collect_list("at").alias("__runs")), "covered")
-    release(found, still)
+    release(sorted_runs, sorted_windows, still)
     others = [c for c in docs.columns if c not in (text, "n_bytes", "n_removed", "n_spans", "kept")]
     whole = docs.select(*others, id_of(doc_id).alias("__id"), tag.alias("__tag"), body.alias("__text"))
     met = whole.join(covered, (F.col("__id") == F.col("__of")) & (F.col("__tag") == F.col("__of_tag")), "left")
