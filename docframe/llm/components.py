@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.plans.stage import stage
+from docframe.plans.stage import release, stage
 
 
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -21,10 +21,12 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = stage(large, "large-star")
+        release(now)  # the edges of the round before
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         now = stage(small, "small-star")
+        release(large)
         before, state = state, _state(now)
         if state == before:
             break

@@ -27,13 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docframe.llm.arrays import signed, text_slices
-from docframe.plans.stage import fresh_path, stage
+from docframe.plans.stage import release, stage
 
 SPAN = 4_096
 PLACES = 262_144
 BLOCK_BYTES = 32_000_000
 
-_BLOCKS = "block string, id long, held boolean, seq binary, h long, c long"
+_BLOCKS = "block long, id long, held boolean, seq binary, h long, c long"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,11 +56,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank[order] = np.arange(len(words), dtype=np.uint32)
         seq = rank[number].tobytes()
         ends = np.concatenate(([0], np.cumsum(lengths))) * 4
-        block = uuid.uuid4().hex
+        block = uuid.uuid4().int >> 65
         rows, m = len(lengths), len(words)
         texts = pa.RecordBatch.from_arrays(
             [
-                pa.array([block] * rows, pa.string()), ids, pa.array(held),
+                pa.array([block] * rows, pa.int64()), ids, pa.array(held),
                 pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(seq)]),
                 pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()),
             ],
@@ -68,7 +68,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
         vocabulary = pa.RecordBatch.from_arrays(
             [
-                pa.array([block] * m, pa.string()), pa.array(np.arange(m, dtype=np.int64)), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.binary()),
+                pa.array([block] * m, pa.int64()), pa.array(np.arange(m, dtype=np.int64)), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.binary()),
                 pa.array(signed(words[order])), pa.array(train[order]),
             ],
             names=texts.schema.names,
@@ -275,7 +275,7 @@ def train(texts: DataFrame, words: DataFrame, counts: DataFrame, n_texts: int, s
             w = ((batch.column(1).to_numpy() + 1) / states)[:, None] * np.exp(0.5 * _noise(h, states, seed))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(w[:, k]) for k in range(states)]], names=["h", *names])
 
-    weights = stage(counts.select("h", "c").mapInArrow(first, f"h long, {columns}"), "weights")
+    held = weights = stage(counts.select("h", "c").mapInArrow(first, f"h long, {columns}"), "weights")
     move = np.full((states, states), 0.1 / max(1, states - 1))
     np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
     end = (n_texts + 1) / states * np.exp(np.random.default_rng(seed).normal(0, 0.5, states))
@@ -286,6 +286,8 @@ def train(texts: DataFrame, words: DataFrame, counts: DataFrame, n_texts: int, s
         met = words.join(weights, "h").select("of", "at", "h", *names)
         found = texts.groupBy("block").cogroup(met.groupBy("of")).applyInArrow(_counter(sent, names), f"kind int, h long, {columns}")
         sums = stage(found.groupBy("kind", "h").agg(*[F.sum(x).alias(x) for x in names]), "expected")
+        release(held)  # the tables of the round before
+        held = sums
         start, end, move = np.zeros(states), np.zeros(states), np.zeros((states, states))
         for r in sums.filter("kind > 0").collect():
             value = [r[x] for x in names]
@@ -318,10 +320,7 @@ def score_texts(
     Rows where ``held_out`` is not true train the model. Scores are log10 probabilities of whole texts.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    path = fresh_path(docs.sparkSession, "blocks")
-    blocks = rows.mapInArrow(_blocks, _BLOCKS)
-    blocks.write.option("compression", "zstd").parquet(path)
-    blocks = docs.sparkSession.read.schema(blocks.schema).parquet(path)
+    blocks = stage(rows.mapInArrow(_blocks, _BLOCKS), "blocks", compression="zstd")
     texts = blocks.filter("seq IS NOT NULL").select("block", "id", "held", "seq")
     words = blocks.filter("h IS NOT NULL").select(F.col("block").alias("of"), F.col("id").alias("at"), "h", "c")
     counts = stage(words.filter("c > 0").groupBy("h").agg(F.sum("c").alias("c")), "counts")

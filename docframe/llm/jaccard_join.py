@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from docframe.llm.arrays import WORD_BASES, Texts, list_array, mix, owners, rolling, signed, text_slices, windows
 from docframe.llm.components import connected_components
 from docframe.llm.keys import KEY, LAST, keyed, with_key
-from docframe.plans.stage import stage
+from docframe.plans.stage import release, stage
 
 COMMON = 100_000
 COUNT_BYTES = 16_000_000
@@ -221,7 +221,9 @@ def _prepare(rows: DataFrame, width: int, percent: int):
     own = groups.filter("members > 1").select("gid", "n", F.lit(-1).alias("p"), F.col("gid").alias("h"))
     keys = shared.unionByName(own)
     members = keys.join(classes.select("gid", "cid", *bits), "gid").select("h", "p", "cid", "n", *bits)
-    return docs, classes, stage(members, "members")
+    members = stage(members, "members")
+    release(postings)
+    return docs, classes, members
 
 
 def _left() -> list:
@@ -295,13 +297,16 @@ def _rooted(rows: DataFrame, width: int, percent: int, spare: int) -> DataFrame:
     stars = stage(_stars(members, percent, spare), "stars")
     likely = _with_roots(members, connected_components(stars.select(ends)), "likely")
     likely = stage(likely, "likely")
+    release(members)
     across = _across(likely.select("*", F.lit(0).alias("part"), F.col("likely").alias("root")), percent, spare)
     pairs = stage(stars.unionByName(across).distinct(), "pairs")
+    release(stars)
     texts = _texts(rows, classes, pairs)
     links = stage(verified(pairs, texts, width, percent), "links")
     roots = connected_components(links.select(ends))
     rest = _across(_with_roots(likely.withColumnRenamed("likely", "part"), roots, "root"), percent, spare)
     rest = stage(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    release(likely, pairs)
     if rest.take(1):
         # Both ends have a star in their component, so their texts are there already.
         more = stage(verified(rest, texts, width, percent), "links")
