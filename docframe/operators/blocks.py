@@ -1,123 +1,295 @@
-"""Packing of paragraphs, headings and tables with keep-together rules."""
+"""Packing of paragraphs, headings and tables with keep-together rules, split across tasks inside one section.
+
+A page is a function of the place where it starts: the same start gives the same page and the same next start.
+So a section is cut into buckets of blocks; each bucket is reduced to a transition table "fill of the page that is
+open at its first block -> pages started, fill and state at its end", the tables are composed in bucket
+order, and every bucket is then placed on its own. A bucket never begins right after a heading, since headings
+may still move to the next page with what follows them.
+"""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docframe.plans.packing import SLACK
-
-
-class _Section:
-    """Open page of one section: fill, blocks so far and the headings that may still move."""
-
-    def __init__(self, capacity: float):
-        self.limit = capacity + SLACK
-        self.page, self.fill, self.count = 1, 0.0, 0
-        self.closed = False
-        self.loose: list[tuple] = []
-        self.out: list[tuple] = []
-
-    def _emit(self, block: tuple, first: int, last: int, repeated: int) -> None:
-        self.out.append((block[0], self.page, first, last, repeated))
-
-    def _settle(self) -> None:
-        for block in self.loose:
-            self._emit(block, 1, block[2], 0)
-        self.loose = []
-
-    def _turn(self) -> None:
-        self.page, self.fill, self.count, self.closed = self.page + 1, 0.0, 0, False
-
-    def add(self, block: tuple) -> None:
-        """``block``: ord, kind, units (lines or rows), unit height, header rows."""
-        _, kind, units, height, header = block
-        start, repeated = 1, 0
-        while True:
-            if self.closed:
-                self._turn()
-            rows = units - start + 1 + repeated
-            first = self.count == 0
-            if rows * height <= 0 or self.fill + rows * height <= self.limit:
-                if kind == "heading" and not first and start == 1:
-                    self.loose.append(block)
-                else:
-                    self._settle()
-                    self._emit(block, start, units, repeated)
-                self.fill += rows * height
-                self.count += 1
-                return
-            fits = math.floor((self.limit - self.fill) / height)
-            cut = 0
-            if kind in ("para", "heading"):
-                cut = fits if fits >= (1 if first else 2) else 0
-            elif kind == "table":
-                held = header if start == 1 else repeated
-                cut = fits if fits > held else (max(held + 1, 1) if first else 0)
-                cut = cut if cut < rows else 0
-            if cut > 0:
-                self._settle()
-                last = start + cut - 1 - repeated
-                self._emit(block, start, last, repeated)
-                start = last + 1
-                repeated = header if kind == "table" else 0
-                self._turn()
-            elif first:
-                # Taller than a page and not divisible: it stays here, the next block turns the page.
-                self._emit(block, start, units, repeated)
-                self.count += 1
-                self.closed = True
-                return
-            else:
-                moving, self.loose = self.loose, []
-                self._turn()
-                for heading in moving:
-                    self.add(heading)
-
-    def finish(self) -> list[tuple]:
-        self._settle()
-        done, self.out = self.out, []
-        return done
-
-    def drain(self) -> list[tuple]:
-        done, self.out = self.out, []
-        return done
-
-
-def pack_blocks(blocks: DataFrame, capacity: float) -> DataFrame:
-    """Pages per section: ``doc_id, section, ord, page_no, first_unit, last_unit, repeated_rows``.
-
-    ``blocks``: ``doc_id, section, ord, kind (heading/para/table/other), units, unit_height,
-    header_rows``. A paragraph breaks between lines, with at least two lines left on a page it does
-    not start; a table breaks between rows and repeats its header rows; headings move with the block
-    that follows them; anything else stays whole. A section starts on a new page, so sections are
-    packed in parallel; inside one, blocks stream through with one open page in memory.
+from docframe.plans.packing import SLACK, UNITS, whole_groups
+from docframe.plans.scan import bucket_of, ordered_scan
+
+BUCKET_BLOCKS = 16_384
+LEAST_ROOM = 12
+"""A table row is divided only where this much of the page is left at its top."""
+_SLACK, _ROOM = round(SLACK * UNITS), LEAST_ROOM * UNITS
+_FRESH = -1  # the next block starts a page
+_B = "__bucket"
+_COLUMNS = ("ord", "kind", "units", "height", "header", "lines", "whole")
+
+Block = tuple[int, str, int, int, int, int, bool]
+Start = tuple[int, int, int, int]
+"""Block, first unit, first line of it, header rows repeated above."""
+
+
+class Page:
+    """What one page holds: its parts, the start of the next page (if one follows), and its state at the end."""
+
+    def __init__(self, parts: list[tuple], following: Start | None, fill: int):
+        self.parts, self.following, self.fill = parts, following, fill
+
+
+def _divided(block: Block, start: Start, room: int, first: bool) -> tuple[int, int, Start] | None:
+    """Last unit, last line of what stays of a block that does not fit, and where the rest starts."""
+    _, kind, units, height, header, lines, whole = block
+    i, unit, line, repeated = start
+    if kind in ("para", "heading"):
+        fits = room // height
+        return (unit + fits - 1, lines, (i, unit + fits, 1, 0)) if fits >= (1 if first else 2) else None
+    if kind != "table":
+        return None
+    held = header if (unit, line) == (1, 1) else repeated
+    rest = height - (line - 1) * height // lines  # of the first row
+    if room // height < repeated:
+        over, top = room // height, room // height * height
+    elif repeated * height + rest > room:
+        over, top = repeated, repeated * height
+    else:
+        more = (room - repeated * height - rest) // height
+        over, top = repeated + 1 + more, repeated * height + rest + more * height
+    if not whole and lines > 1 and over >= max(held, repeated) and room - top - _SLACK >= _ROOM:
+        row, from_line = unit + over - repeated, line if over == repeated else 1
+        done = (from_line - 1) * height // lines
+        last = ((room - top + done + 1) * lines - 1) // height
+        if last >= from_line:
+            return row, last, (i, row, last + 1, header)
+    if over <= held:
+        over = max(held + 1, 1)
+        if not first or over >= repeated + units - unit + 1:
+            return None
+    last = unit + over - 1 - repeated
+    return last, lines, (i, last + 1, 1, header)
+
+
+def lay_page(blocks: list[Block], limit: int, start: Start, fill: int = _FRESH) -> Page:
+    """The page that starts at ``start``, or goes on there with ``fill`` used by blocks before ``blocks``."""
+    first_block = start[0] if fill == _FRESH else -1
+    i, unit, line, repeated = start
+    count, fill = (0, 0) if fill == _FRESH else (1, fill)
+    parts: list[tuple] = []
+    while i < len(blocks):
+        ord_, kind, units, height, _, lines, _ = blocks[i]
+        size = (repeated + units - unit + 1) * height - (line - 1) * height // lines
+        if size <= 0 or fill + size <= limit:
+            parts.append((ord_, unit, units, repeated, line, lines))
+            fill, count = fill + size, count + 1
+            i, unit, line, repeated = i + 1, 1, 1, 0
+            continue
+        cut = _divided(blocks[i], (i, unit, line, repeated), limit - fill, count == 0)
+        if cut is not None:
+            parts.append((ord_, unit, cut[0], repeated, line, cut[1]))
+            return Page(parts, cut[2], fill)
+        if count == 0:
+            # Taller than a page and not divisible: it stays here, the next block turns the page.
+            parts.append((ord_, unit, units, repeated, line, lines))
+            return Page(parts, (i + 1, 1, 1, 0), _FRESH)
+        j = i
+        while j - 1 > first_block and blocks[j - 1][1] == "heading":
+            j -= 1
+        return Page(parts[: len(parts) - (i - j)], (j, 1, 1, 0), fill)
+    return Page(parts, None, fill)
+
+
+def _ends(blocks: list[Block], limit: int, start: Start, known: dict[Start, tuple[int, int]]) -> tuple[int, int]:
+    """Pages started from ``start`` on, and the fill at the end of the bucket (``_FRESH``: the next block turns)."""
+    path, at = [], start
+    while at not in known:
+        if at[0] >= len(blocks):
+            known[at] = (0, _FRESH)
+            break
+        page = lay_page(blocks, limit, at)
+        if page.following is None:
+            known[at] = (1, page.fill)
+            break
+        path.append(at)
+        at = page.following
+    for n, earlier in enumerate(reversed(path), 1):
+        known[earlier] = (known[at][0] + n, known[at][1])
+    return known[start]
+
+
+def transitions(blocks: list[Block], limit: int) -> dict:
+    """The bucket as a table: for an open page filled up to ``fills[k]``, ``pages[k]`` pages start and ``ends[k]`` is filled.
+
+    The last entry stands for a page that turns before the first block; ``total`` is added where no page turns.
     """
-    keys = ["doc_id", "section"]
-    schema = T.StructType(
-        [blocks.schema[k] for k in keys]
-        + [T.StructField(c, T.LongType()) for c in ("ord", "page_no", "first_unit", "last_unit", "repeated_rows")]
+    known: dict[Start, tuple[int, int]] = {}
+    borders, top = {limit}, 0
+    for _, kind, units, height, _, lines, _ in blocks:
+        left = limit - top
+        if left < 0:
+            break
+        borders.add(left)
+        if height > 0:
+            n = min(units, left // height)
+            for k in range(n + 1):
+                borders.add(left - k * height)
+                if kind == "table" and lines > 1:
+                    borders.update(left - k * height - e * height // lines for e in range(1, lines))
+                    borders.add(left - k * height - _SLACK - _ROOM)
+        top += units * height
+    total = sum(b[2] * b[3] for b in blocks)
+    fills, pages, ends = [], [], []
+    for fill in sorted(b for b in borders if 0 <= b <= limit):
+        if fill + total <= limit:
+            continue
+        page = lay_page(blocks, limit, (0, 1, 1, 0), fill)
+        n, end = (0, page.fill) if page.following is None else _ends(blocks, limit, page.following, known)
+        if fills and (pages[-1], ends[-1]) == (n, end):
+            fills[-1] = fill
+        else:
+            fills.append(fill), pages.append(n), ends.append(end)
+    n, end = _ends(blocks, limit, (0, 1, 1, 0), known)
+    return {"fills": [*fills, _FRESH], "pages": [*pages, n], "ends": [*ends, end], "total": total}
+
+
+def _followed(table, fill: int, limit: int) -> tuple[int, int]:
+    """Pages that start in a bucket entered with ``fill``, and the fill behind it."""
+    if fill != _FRESH:
+        if fill + table["total"] <= limit:
+            return 0, fill + int(table["total"])
+        for k, most in enumerate(table["fills"][:-1]):
+            if fill <= most:
+                return int(table["pages"][k]), int(table["ends"][k])
+    return int(table["pages"][-1]), int(table["ends"][-1])
+
+
+def _bucketed(blocks: DataFrame, keys: list[str], bucket_blocks: int) -> DataFrame:
+    """``blocks`` with a bucket that never begins behind a heading."""
+    raw = bucket_of("ord", bucket_blocks)
+    seen = ordered_scan(blocks, keys, ["ord"], raw, lag={"__before": F.col("kind")}).withColumn("__raw", raw)
+    begins = F.min(F.when(F.col("__before").isNull() | (F.col("__before") != "heading"), F.col("ord")))
+    heads = seen.groupBy(*keys, "__raw").agg(begins.alias("__from"))
+    earlier = Window.partitionBy(*keys).orderBy("__raw").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumn("__last", F.last(F.when(F.col("__from").isNotNull(), F.col("__raw")), ignorenulls=True).over(earlier))
+    placed = seen.join(heads, [*keys, "__raw"]).withColumn(_B, F.when(F.col("ord") >= F.col("__from"), F.col("__raw")).otherwise(F.col("__last")))
+    return placed.drop("__raw", "__before", "__from", "__last")
+
+
+def pack_blocks(blocks: DataFrame, capacity: float, bucket_blocks: int = BUCKET_BLOCKS) -> DataFrame:
+    """Pages per section: ``doc_id, section, ord, page_no, first_unit, last_unit, repeated_rows, first_line, last_line``.
+
+    ``blocks``: ``doc_id, section, ord, kind (heading/para/table/other), units, unit_height, header_rows`` and
+    optionally ``row_lines`` (lines of every table row, 1 if missing) and ``cant_split`` (rows stay whole). A
+    paragraph breaks between lines, with at least two lines left on a page it does not start; a table breaks
+    between rows and repeats its header rows; the row at the page end is divided between its lines unless it
+    is a header, can't be split, or less than ``LEAST_ROOM`` is left at its top; headings move with the
+    block that follows them; anything else stays whole. A section starts on a new page. No task holds a section:
+    only transition tables, one per bucket, are read in a row. A run of headings is not cut into buckets.
+    """
+    keys, limit = ["doc_id", "section"], round((capacity + SLACK) * UNITS)
+    optional = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in blocks.columns else F.lit(default)
+    base = blocks.select(
+        *keys, F.col("ord").cast("long").alias("ord"), "kind", F.col("units").cast("long").alias("units"),
+        F.round(F.col("unit_height").cast("double") * UNITS).cast("long").alias("height"), F.col("header_rows").cast("long").alias("header"),
+        F.greatest(optional("row_lines", 1).cast("long"), F.lit(1)).alias("lines"), optional("cant_split", False).alias("whole"),
     )
-    names = schema.names
+    rows = _bucketed(base, keys, bucket_blocks)
+    key_fields = [base.schema[k] for k in keys]
+    place = [F.col(c) for c in (*keys, _B)]
+    longs = lambda *names: [T.StructField(c, T.LongType()) for c in names]
+    lists = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("fills", "pages", "ends")]
+
+    def listed(pdf: pd.DataFrame) -> list[Block]:
+        return list(zip(*(pdf[c].tolist() for c in _COLUMNS)))
+
+    # Sections of one bucket start with it and need no table.
+    several = rows.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("n")).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    several = several.filter("of > 1").select(*keys, _B)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, open_section = None, None
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, cuts in whole_groups(batches, [*keys, _B]):
+            tables = pd.DataFrame([transitions(listed(pdf.iloc[i:j]), limit) for i, j in zip(cuts[:-1], cuts[1:])])
+            yield pd.concat([pdf[[*keys, _B]].iloc[cuts[:-1]].reset_index(drop=True), tables], axis=1)
+
+    schema = T.StructType([*key_fields, *longs(_B), *lists, *longs("total")])
+    ordered = rows.join(several, [*keys, _B], "left_semi").repartition(*place).sortWithinPartitions(*keys, _B, "ord")
+    tables = ordered.mapInPandas(reduced, schema)
+
+    def composed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, fill, done = None, _FRESH, 0
         for pdf in batches:
-            rows: list[tuple] = []
-            columns = ("doc_id", "section", "ord", "kind", "units", "unit_height", "header_rows")
-            for doc, section, *block in zip(*(pdf[c].tolist() for c in columns)):
-                if (doc, section) != current:
-                    if open_section is not None:
-                        rows += [(*current, *r) for r in open_section.finish()]
-                    current, open_section = (doc, section), _Section(capacity)
-                open_section.add(tuple(block))
-                rows += [(*current, *r) for r in open_section.drain()]
-            yield pd.DataFrame(rows, columns=names)
-        if open_section is not None:
-            yield pd.DataFrame([(*current, *r) for r in open_section.finish()], columns=names)
-
-    return blocks.repartition(*keys).sortWithinPartitions(*keys, "ord").mapInPandas(run, schema)
+            fills, dones = [], []
+            for table in pdf.to_dict("records"):
+                key = tuple(table[k] for k in keys)
+                if key != current:
+                    current, fill, done = key, _FRESH, 0
+                fills.append(fill), dones.append(done)
+                started, fill = _followed(table, fill, limit)
+                done += started
+            yield pdf[[*keys, _B]].assign(fill=fills, done=dones)
+
+    entries = tables.repartition(*keys).sortWithinPartitions(*keys, _B).mapInPandas(composed, T.StructType([*key_fields, *longs(_B, "fill", "done")]))
+
+    def laid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, cuts in whole_groups(batches, [*keys, _B]):
+            out: list[tuple] = []
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                key, fill, done = [pdf[k].iat[i] for k in keys], _FRESH, 0
+                if pdf["done"].iat[i] >= 0:  # the entry state
+                    fill, done, i = int(pdf["units"].iat[i]), int(pdf["done"].iat[i]), i + 1
+                some, at = listed(pdf.iloc[i:j]), (0, 1, 1, 0)
+                while at is not None and at[0] < len(some):
+                    page = lay_page(some, limit, at, fill)
+                    done += fill == _FRESH
+                    out += [(*key, p[0], done, *p[1:]) for p in page.parts]
+                    at, fill = page.following, _FRESH
+            yield pd.DataFrame(out, columns=result.names)
+
+    result = T.StructType([*key_fields, *longs("ord", "page_no", "first_unit", "last_unit", "repeated_rows", "first_line", "last_line")])
+    states = entries.select(
+        *keys, F.lit(-1).cast("long").alias("ord"), F.lit("").alias("kind"), F.col("fill").alias("units"), *[F.lit(0).cast("long").alias(c) for c in ("height", "header", "lines")],
+        F.lit(False).alias("whole"), _B, "done", F.lit(0).alias("__first"),
+    )
+    marked = rows.withColumn("done", F.lit(-1).cast("long")).withColumn("__first", F.lit(1))
+    return marked.unionByName(states).repartition(*place).sortWithinPartitions(*keys, _B, "__first", "ord").mapInPandas(laid, result)
+
+
+def blocks_sql(blocks: str, capacity: float) -> str:
+    """The same as one walk per section, a block or a page turn per step (``blocks``: a query with all columns)."""
+    return f"""
+SELECT * FROM (WITH RECURSIVE b AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY ord) AS i FROM ({blocks})),
+walk AS (
+  SELECT doc_id, section, 1::BIGINT AS i, 1::BIGINT AS s, 1::BIGINT AS l, 0::BIGINT AS r, 0::DOUBLE AS fill, 0::BIGINT AS c, 0::BIGINT AS h, 1::BIGINT AS page,
+         NULL::BIGINT AS p_ord, NULL::BIGINT AS p_page, NULL::BIGINT AS p_first, NULL::BIGINT AS p_last, NULL::BIGINT AS p_rep, NULL::BIGINT AS p_fl, NULL::BIGINT AS p_ll
+  FROM (SELECT DISTINCT doc_id, section FROM b)
+  UNION ALL
+  SELECT doc_id, section,
+         CASE WHEN fits THEN i + 1 WHEN part OR cut > 0 THEN i WHEN c = 0 THEN i + 1 ELSE i - h END,
+         CASE WHEN fits THEN 1 WHEN part THEN s + si - r WHEN cut > 0 THEN s + cut - r ELSE 1 END,
+         CASE WHEN NOT fits AND part THEN e + 1 ELSE 1 END,
+         CASE WHEN NOT fits AND (part OR cut > 0) AND kind = 'table' THEN header_rows ELSE 0 END,
+         CASE WHEN fits THEN fill + size ELSE 0 END,
+         CASE WHEN fits THEN c + 1 ELSE 0 END,
+         CASE WHEN fits AND kind = 'heading' AND c > 0 THEN h + 1 ELSE 0 END,
+         CASE WHEN fits THEN page ELSE page + 1 END,
+         CASE WHEN fits OR part OR cut > 0 OR c = 0 THEN ord END, page, s,
+         CASE WHEN fits THEN units WHEN part THEN s + si - r WHEN cut > 0 THEN s + cut - r - 1 ELSE units END, r, l,
+         CASE WHEN NOT fits AND part THEN e ELSE row_lines END
+  FROM (SELECT *, kind = 'table' AND NOT cant_split AND row_lines > 1 AND si >= greatest(held, r) AND room - top - {SLACK} >= {LEAST_ROOM} AND e >= fl AS part,
+               CASE WHEN kind IN ('para', 'heading') THEN CASE WHEN f >= (CASE WHEN c = 0 THEN 1 ELSE 2 END) THEN f ELSE 0 END
+                    WHEN kind <> 'table' THEN 0 WHEN si > held THEN si WHEN c > 0 OR greatest(held + 1, 1) >= r + units - s + 1 THEN 0 ELSE greatest(held + 1, 1) END AS cut
+        FROM (SELECT *, fl - 1 + floor((room - top) / (unit_height / row_lines))::BIGINT AS e
+              FROM (SELECT *, CASE WHEN si <= r THEN si * unit_height ELSE r * unit_height + rest + (si - r - 1) * unit_height END AS top, CASE WHEN si = r THEN l ELSE 1 END AS fl
+                    FROM (SELECT *, CASE WHEN f < r THEN f WHEN rest > room - r * unit_height THEN r ELSE r + 1 + floor((room - r * unit_height - rest) / unit_height)::BIGINT END AS si,
+                                 size <= 0 OR fill + size <= {capacity + SLACK} AS fits
+                          FROM (SELECT w.* EXCLUDE (p_ord, p_page, p_first, p_last, p_rep, p_fl, p_ll), b.ord, b.kind, b.units, b.unit_height, b.header_rows, b.row_lines, b.cant_split,
+                                       (r + units - s + 1) * unit_height - (l - 1) * unit_height / row_lines AS size, {capacity + SLACK} - fill AS room,
+                                       floor(({capacity + SLACK} - fill) / unit_height)::BIGINT AS f, unit_height - (l - 1) * unit_height / row_lines AS rest,
+                                       CASE WHEN s = 1 AND l = 1 THEN header_rows ELSE r END AS held
+                                FROM walk w JOIN b USING (doc_id, section, i))))))
+)
+SELECT doc_id, section, p_ord AS ord, max(p_page) AS page_no, p_first AS first_unit, last(p_last ORDER BY p_page) AS last_unit, last(p_rep ORDER BY p_page) AS repeated_rows,
+       p_fl AS first_line, last(p_ll ORDER BY p_page) AS last_line
+FROM walk WHERE p_ord IS NOT NULL GROUP BY doc_id, section, p_ord, p_first, p_fl)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docframe.operators.blocks import pack_blocks
+from docframe.operators.blocks import blocks_sql, pack_blocks
 from docframe.operators.text import extract_receipt
 from docframe.plans.registry import query
 from docframe.plans.stage import fresh_path
@@ -93,12 +93,20 @@ def _reviewed(f: Fixtures):
     return S.reviewed_json(got, ["total"]).select("doc_id", "json")
 
 
-@query("pack_blocks")
+_BLOCKS_SQL = """SELECT doc_id, 0 AS section, line_no AS ord,
+  CASE WHEN line_no % 9 IN (1, 2) THEN 'heading' WHEN line_no % 9 = 5 THEN 'table' WHEN line_no % 9 = 7 THEN 'other' ELSE 'para' END AS kind,
+  1 + length(text) // 60 AS units, 12.0::DOUBLE * CASE WHEN line_no % 9 = 5 THEN 1 + line_no % 4 ELSE 1 END AS unit_height,
+  line_no % 3 AS header_rows, CASE WHEN line_no % 9 = 5 THEN 1 + line_no % 4 ELSE 1 END AS row_lines, line_no % 2 = 0 AS cant_split FROM lines"""
+
+
+@query("pack_blocks", blocks_sql(_BLOCKS_SQL, 240.0))
 def _pack_blocks(f: Fixtures):
-    """Lines as blocks; checked against a brute-force walk in the tests."""
+    """Every document is one section; small buckets, so that long documents are chained."""
     blocks = f.lines().selectExpr(
-        "doc_id", "CAST(floor(line_no / 60) AS INT) AS section", "CAST(line_no AS BIGINT) AS ord",
-        "CASE WHEN line_no % 9 = 1 THEN 'heading' WHEN line_no % 9 = 5 THEN 'table' WHEN line_no % 9 = 7 THEN 'other' ELSE 'para' END AS kind",
-        "CAST(1 + floor(length(text) / 60) AS BIGINT) AS units", "12.0D AS unit_height", "CAST(line_no % 3 AS BIGINT) AS header_rows",
+        "doc_id", "0 AS section", "CAST(line_no AS BIGINT) AS ord",
+        "CASE WHEN line_no % 9 IN (1, 2) THEN 'heading' WHEN line_no % 9 = 5 THEN 'table' WHEN line_no % 9 = 7 THEN 'other' ELSE 'para' END AS kind",
+        "CAST(1 + floor(length(text) / 60) AS BIGINT) AS units", "12.0D * CASE WHEN line_no % 9 = 5 THEN 1 + line_no % 4 ELSE 1 END AS unit_height",
+        "CAST(line_no % 3 AS BIGINT) AS header_rows", "CAST(CASE WHEN line_no % 9 = 5 THEN 1 + line_no % 4 ELSE 1 END AS BIGINT) AS row_lines",
+        "line_no % 2 = 0 AS cant_split",
     )
-    return pack_blocks(blocks, 240.0)
+    return pack_blocks(blocks, 240.0, bucket_blocks=32)

@@ -4,6 +4,7 @@ import io
 import random
 from contextlib import redirect_stdout
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -96,27 +97,41 @@ def test_admit_batch_edges(spark):
 
 
 def brute_blocks(blocks, cap):
-    """Lay everything on one page, find the first block past the limit, move the tail, repeat."""
+    """Lay everything on one page, find the first block past the limit, move the tail, repeat; heights row by row."""
     page, out = 1, []
-    current = [dict(ord=o, kind=k, a=1, n=n, h=h, head=hd, rep=0) for o, k, n, h, hd in blocks]
+    current = [dict(ord=o, kind=k, a=1, n=n, h=h, head=hd, rep=0, lines=ln, whole=w, fl=1, ll=ln) for o, k, n, h, hd, ln, w in blocks]
     while current:
         y, moved = 0.0, None
         for i, b in enumerate(current):
-            rows = b["n"] - b["a"] + 1 + b["rep"]
-            if rows * b["h"] == 0 or y + rows * b["h"] <= cap + 0.5:
-                y += rows * b["h"]
+            rows = [(None, b["h"])] * b["rep"] + [(u, b["h"] * (b["lines"] - (b["fl"] - 1 if u == b["a"] else 0)) / b["lines"]) for u in range(b["a"], b["n"] + 1)]
+            if sum(r[1] for r in rows) <= 0 or y + sum(r[1] for r in rows) <= cap + 0.5:
+                y += sum(r[1] for r in rows)
                 continue
-            fits, cut, first = int((cap + 0.5 - y) // b["h"]), 0, i == 0
+            kept, tail, first = None, None, i == 0
             if b["kind"] in ("para", "heading"):
-                cut = fits if fits >= (1 if first else 2) else 0
+                fits = int((cap + 0.5 - y) // b["h"])
+                if fits >= (1 if first else 2):
+                    kept, tail = dict(b, n=b["a"] + fits - 1), dict(b, a=b["a"] + fits)
             elif b["kind"] == "table":
-                held = b["head"] if b["a"] == 1 else b["rep"]
-                cut = fits if fits > held else (max(held + 1, 1) if first else 0)
-                cut = 0 if cut >= rows else cut
-            if cut > 0:
-                last = b["a"] + cut - 1 - b["rep"]
-                tail = dict(b, a=last + 1, rep=b["head"] if b["kind"] == "table" else 0)
-                moved = current[:i] + [dict(b, n=last)], [tail] + current[i + 1:]
+                held = b["head"] if (b["a"], b["fl"]) == (1, 1) else b["rep"]
+                top, k = y, 0
+                while top + rows[k][1] <= cap + 0.5:
+                    top, k = top + rows[k][1], k + 1
+                unit = rows[k][0]
+                if unit is not None and not b["whole"] and b["lines"] > 1 and k >= held and top <= cap - 12:
+                    line = start = b["fl"] if unit == b["a"] else 1
+                    while top + b["h"] / b["lines"] * (line - start + 1) <= cap + 0.5:
+                        line += 1
+                    if line > start:
+                        kept, tail = dict(b, n=unit, ll=line - 1), dict(b, a=unit, fl=line, rep=b["head"])
+                if kept is None:
+                    if k <= held:
+                        k = max(held + 1, 1) if first else 0
+                    if 0 < k < len(rows):
+                        last = b["a"] + k - 1 - b["rep"]
+                        kept, tail = dict(b, n=last), dict(b, a=last + 1, fl=1, rep=b["head"])
+            if kept is not None:
+                moved = current[:i] + [kept], [tail] + current[i + 1:]
             elif first:
                 moved = current[:1], current[1:]
             else:
@@ -125,24 +140,87 @@ def brute_blocks(blocks, cap):
                     j -= 1
                 moved = current[:j], current[j:]
             break
-        kept, current = moved if moved else (current, [])
-        out += [(b["ord"], page, b["a"], b["n"], b["rep"]) for b in kept]
+        done, current = moved if moved else (current, [])
+        out += [(b["ord"], page, b["a"], b["n"], b["rep"], b["fl"], b["ll"]) for b in done]
         page += 1
     return out
 
 
-def test_pack_blocks_matches_page_by_page_walk(spark):
-    rng = random.Random(11)
+BLOCKS = "doc_id long, section int, ord long, kind string, units long, unit_height double, header_rows long, row_lines long, cant_split boolean"
+
+
+def random_blocks(rng, n):
+    for o in range(n):
+        kind = rng.choice(["para", "para", "heading", "heading", "table", "table", "other"])
+        lines = rng.choice([1, 1, 2, 3, 5]) if kind == "table" else 1
+        units = rng.choice([1, 1, 2]) if kind == "heading" else rng.randint(0 if kind == "other" else 1, 9)
+        yield (o, kind, units, 10.0 * lines if rng.random() < 0.8 else 6.0 * lines, rng.randint(0, 2) if kind == "table" else 0, lines, rng.random() < 0.3)
+
+
+@pytest.mark.parametrize("bucket", [1, 4, 16_384])
+def test_pack_blocks_matches_page_by_page_walk(spark, bucket):
+    rng = random.Random(11 + bucket)
     rows, want = [], []
     for doc in range(60):
-        blocks = [
-            (i, rng.choice(["para", "para", "heading", "table", "other"]), rng.randint(1, 9), 10.0, rng.randint(0, 2)) for i in range(rng.randint(1, 25))
-        ]
-        blocks = [(o, k, 1 if k == "heading" else n, h, hd if k == "table" else 0) for o, k, n, h, hd in blocks]
+        blocks = list(random_blocks(rng, rng.randint(1, 60)))
+        if doc % 10 == 0:
+            blocks = [(o, "heading" if 5 < o < 25 else k, *rest) for o, k, *rest in blocks]
         rows += [(doc, 0, *b) for b in blocks]
-        want += [(doc, 0, *r) for r in brute_blocks(blocks, 50.0)]
-    df = spark.createDataFrame(rows, "doc_id long, section int, ord long, kind string, units long, unit_height double, header_rows long")
-    assert sorted(map(tuple, pack_blocks(df, 50.0).collect())) == sorted(want)
+        want += [(doc, 0, *r) for r in brute_blocks(blocks, 55.0)]
+    df = spark.createDataFrame(rows, BLOCKS)
+    assert sorted(map(tuple, pack_blocks(df, 55.0, bucket_blocks=bucket).collect())) == sorted(want)
+
+
+def test_block_tables_compose_to_the_walk():
+    """Every bucket's table, entered with any fill, gives the pages and the fill of the walk."""
+    from docframe.operators import blocks as B
+
+    rng, limit = random.Random(3), 55_500_000
+    for _ in range(60):
+        some = [(o, k, u, round(h * 10**6), hd, ln, w) for o, k, u, h, hd, ln, w in random_blocks(rng, rng.randint(1, 12))]
+        table = B.transitions(some, limit)
+        assert len(table["fills"]) <= 400
+        for fill in [-1, 0, limit, *[rng.randrange(0, 56) * 10**6 for _ in range(20)], *[f for f in table["fills"] if f >= 0]]:
+            page, pages = B.lay_page(some, limit, (0, 1, 1, 0), fill), 0 if fill >= 0 else 1
+            while page.following is not None and page.following[0] < len(some):
+                page, pages = B.lay_page(some, limit, page.following), pages + 1
+            assert B._followed(table, fill, limit) == (pages, -1 if page.following is not None else page.fill)
+
+
+def test_pack_blocks_one_section_of_many_buckets(spark):
+    """A single section of 30,000 blocks: no task but the one that reads tables sees more than a bucket."""
+    n = 30_000
+    df = spark.range(n).selectExpr(
+        "1L AS doc_id", "0 AS section", "id AS ord", "IF(id % 7 = 0, 'heading', 'para') AS kind", "1 + id % 3 AS units", "10D AS unit_height", "0L AS header_rows"
+    )
+    got = pack_blocks(df, 300.0, bucket_blocks=500).orderBy("ord", "first_unit").collect()
+    want = brute_pages([("heading" if o % 7 == 0 else "para", 1 + o % 3) for o in range(n)], 30)
+    assert [(r.ord, r.page_no, r.first_unit, r.last_unit) for r in got] == want
+
+
+def brute_pages(blocks, lines):
+    """Blocks of lines of height one: a plain walk with one page in memory."""
+    out, page, used, held, queue = [], 1, 0, [], [(o, k, 1, n) for o, (k, n) in enumerate(blocks)][::-1]
+    while queue:
+        o, k, a, n = queue.pop()
+        if used + n - a + 1 <= lines:
+            if k == "heading" and used and a == 1:
+                held.append((o, k, a, n))
+            else:
+                held = []
+            out.append((o, page, a, n))
+            used += n - a + 1
+            continue
+        fits = lines - used
+        if fits >= (2 if used else 1):
+            out.append((o, page, a, a + fits - 1))
+            queue.append((o, k, a + fits, n))
+        else:
+            queue.append((o, k, a, n))
+            queue += held[::-1]
+            out = out[: len(out) - len(held)]
+        page, used, held = page + 1, 0, []
+    return out
 
 
 def test_counters(spark):
