@@ -7,13 +7,14 @@ Rows and columns count from 1.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docframe.functions.js import trim
 from docframe.plans.packing import pack_pages, page_segments
-from docframe.plans.scan import attach, bucket_of, explode_span, ordered_scan
+from docframe.plans.scan import attach, bucket_of, explode_span, last_before, ordered_scan
 from docframe.plans.stage import stage
 
 # Reference defaults.
@@ -191,64 +192,86 @@ def axis_offsets(axis: DataFrame) -> DataFrame:
     )
 
 
+def _axis_ends(offsets: DataFrame) -> DataFrame:
+    """``sheet, dim, __last, __end``: last index and total size of every axis."""
+    return offsets.groupBy("sheet", "dim").agg(F.max("idx").alias("__last"), F.max(F.col("offset") + F.col("size")).alias("__end"))
+
+
 def span_size(offsets: DataFrame, ranges: DataFrame, dim: str, first: str, last: str, out: str) -> DataFrame:
-    """Width or height of ``first..last`` as a difference of two offsets."""
+    """Width or height of ``first..last`` as a difference of two offsets; what lies past the axis has no size."""
     side = offsets.filter(F.col("dim") == dim)
     lo = side.select("sheet", F.col("idx").alias(first), F.col("offset").alias("__lo"))
     hi = side.select("sheet", F.col("idx").alias(last), (F.col("offset") + F.col("size")).alias("__hi"))
+    ends = _axis_ends(side).select("sheet", "__end")
+    end = F.coalesce("__end", F.lit(0.0))
     return (
         ranges.join(lo, ["sheet", first], "left")
         .join(hi, ["sheet", last], "left")
-        .withColumn(out, F.col("__hi") - F.col("__lo"))
-        .drop("__lo", "__hi")
+        .join(ends, "sheet", "left")
+        .withColumn(out, F.coalesce("__hi", end) - F.coalesce("__lo", end))
+        .drop("__lo", "__hi", "__end")
     )
 
 
-def locate(points: DataFrame, offsets: DataFrame, band: float = 256.0) -> DataFrame:
+def locate(points: DataFrame, offsets: DataFrame) -> DataFrame:
     """Index that contains a position: ``points`` (``sheet, dim, pos``) + ``idx``.
 
-    Axis entries and points meet on a position band, so the range test runs on few candidates.
-    Positions past the end get the last index + 1, positions before 0 the first.
+    An as-of search over the offsets of shown rows and columns. Positions past the end get the last index + 1,
+    positions before 0 the first shown one.
     """
-    seen = offsets.filter("size > 0")
-    spread = seen.withColumn(
-        "__band",
-        F.explode(F.sequence(F.floor(F.col("offset") / band), F.floor((F.col("offset") + F.col("size")) / band))),
-    ).select("sheet", "dim", "__band", "idx", F.col("offset").alias("__lo"), (F.col("offset") + F.col("size")).alias("__hi"))
-    ends = offsets.groupBy("sheet", "dim").agg(F.max("idx").alias("__last"), F.min("idx").alias("__first"))
-    # Points have no ordinal; hashing the position spreads a crowded axis over many buckets.
-    clamped = attach(points, ends, ["sheet", "dim"], F.pmod(F.xxhash64("pos"), F.lit(1024)))
-    clamped = clamped.withColumn("__p", F.greatest(F.lit(0.0), "pos")).withColumn("__band", F.floor(F.col("__p") / band))
-    spread = spread.withColumnsRenamed({"sheet": "__s", "dim": "__d", "__band": "__b"})
-    hit = (
-        (F.col("sheet") == F.col("__s")) & (F.col("dim") == F.col("__d")) & (F.col("__band") == F.col("__b"))
-        & (F.col("__lo") <= F.col("__p")) & (F.col("__p") < F.col("__hi"))
-    )
-    return clamped.join(spread, hit, "left").select(
-        *points.columns, F.coalesce("idx", F.col("__last") + 1).alias("idx")
+    steps = offsets.filter("size > 0").select(
+        "sheet", "dim", F.col("offset").alias("__at"), F.struct("idx", (F.col("offset") + F.col("size")).alias("hi")).alias("__step")
     )
+    # Points have no ordinal; hashing the position spreads a crowded axis over many buckets.
+    placed = attach(points, _axis_ends(offsets), ["sheet", "dim"], F.pmod(F.xxhash64("pos"), F.lit(1024)))
+    placed = last_before(placed.withColumn("__p", F.greatest(F.lit(0.0), "pos")), steps, ["sheet", "dim"], "__p", "__at", "__step")
+    inside = F.when(F.col("__p") < F.col("__step.hi"), F.col("__step.idx"))
+    return placed.select(*points.columns, F.coalesce(inside, F.col("__last") + 1).alias("idx"))
 
 
 def anchor_boxes(anchors: DataFrame, offsets: DataFrame) -> DataFrame:
     """Drawing rectangles: adds ``x, y, width, height``.
 
     ``anchors``: ``sheet, anchor_id, c1, dx1, r1, dy1, c2, dx2, r2, dy2`` (``c2`` null = sized by
-    ``ext_w, ext_h``). Offsets inside a cell are clamped to the cell.
+    ``ext_w, ext_h``), unique by ``sheet, anchor_id``. Offsets inside a cell are clamped to the cell; cells past
+    the axis lie at its end. The corners are stacked, so the offsets are joined once.
     """
-    out = anchors
-    for dim, idx, delta, name in (("col", "c1", "dx1", "x"), ("row", "r1", "dy1", "y"), ("col", "c2", "dx2", "x2"), ("row", "r2", "dy2", "y2")):
-        side = offsets.filter(F.col("dim") == dim).select(
-            "sheet", F.col("idx").alias(idx), F.col("offset").alias("__o"), F.col("size").alias("__s")
-        )
-        at = F.coalesce("__o", F.lit(0.0)) + F.least(F.col(delta), F.coalesce("__s", F.lit(0.0)))
-        out = out.join(side, ["sheet", idx], "left").withColumn(name, at).drop("__o", "__s")
+    corners = (("x", "col", "c1", "dx1"), ("y", "row", "r1", "dy1"), ("x2", "col", "c2", "dx2"), ("y2", "row", "r2", "dy2"))
+    stacked = anchors.select(
+        "sheet", "anchor_id",
+        F.inline(F.array(*[F.struct(F.lit(n).alias("corner"), F.lit(d).alias("dim"), F.col(i).cast("long").alias("idx"), F.col(delta).cast("double").alias("delta")) for n, d, i, delta in corners])),
+    ).filter("idx IS NOT NULL")
+    at = F.coalesce(F.col("offset") + F.least("delta", "size"), "__end", F.lit(0.0))
+    met = stacked.join(offsets.select("sheet", "dim", "idx", "offset", "size"), ["sheet", "dim", "idx"], "left").join(_axis_ends(offsets), ["sheet", "dim"], "left")
+    boxes = met.groupBy("sheet", "anchor_id").agg(*[F.max(F.when(F.col("corner") == n, at)).alias(f"__{n}") for n, _, _, _ in corners])
     sized = F.col("c2").isNull()
-    return out.withColumns(
-        {
-            "width": F.when(sized, F.coalesce("ext_w", F.lit(0.0))).otherwise(F.greatest(F.lit(1.0), F.col("x2") - F.col("x"))),
-            "height": F.when(sized, F.coalesce("ext_h", F.lit(0.0))).otherwise(F.greatest(F.lit(1.0), F.col("y2") - F.col("y"))),
-        }
-    ).select(*anchors.columns, "x", "y", "width", "height")
+    return anchors.join(boxes, ["sheet", "anchor_id"]).select(
+        *[anchors[c] for c in anchors.columns], F.col("__x").alias("x"), F.col("__y").alias("y"),
+        F.when(sized, F.coalesce("ext_w", F.lit(0.0))).otherwise(F.greatest(F.lit(1.0), F.col("__x2") - F.col("__x"))).alias("width"),
+        F.when(sized, F.coalesce("ext_h", F.lit(0.0))).otherwise(F.greatest(F.lit(1.0), F.col("__y2") - F.col("__y"))).alias("height"),
+    )
+
+
+def box_cells(boxes: DataFrame, offsets: DataFrame) -> DataFrame:
+    """First and last cell under every drawing rectangle: adds ``r1, c1, r2, c2``."""
+    sides = (("c1", "col", F.col("x")), ("r1", "row", F.col("y")), ("c2", "col", F.col("x") + F.col("width") - 1), ("r2", "row", F.col("y") + F.col("height") - 1))
+    points = boxes.select(
+        "sheet", "anchor_id", F.inline(F.array(*[F.struct(F.lit(n).alias("side"), F.lit(d).alias("dim"), p.cast("double").alias("pos")) for n, d, p in sides]))
+    )
+    at = locate(points, offsets).groupBy("sheet", "anchor_id").agg(*[F.max(F.when(F.col("side") == n, F.col("idx"))).alias(n) for n, _, _ in sides])
+    return boxes.join(at, ["sheet", "anchor_id"])
+
+
+def printed_cells(cells: DataFrame, styles: DataFrame) -> DataFrame:
+    """Cells with something to print: a value (``text`` not empty), or a style with a fill or a border.
+
+    ``styles``: ``style, fill, b_left, b_right, b_top, b_bottom``. A style may be shared by a third of all cells and
+    has one row here, so the join is left to AQE, which broadcasts or splits it.
+    """
+    marks = [F.coalesce(c, F.lit(False)) for c in ("fill", "b_left", "b_right", "b_top", "b_bottom")]
+    marked = styles.select("style", reduce(lambda a, b: a | b, marks).alias("__marked"))
+    out = cells.join(marked, "style", "left")
+    return out.filter((F.coalesce("text", F.lit("")) != "") | F.coalesce("__marked", F.lit(False))).select(*[cells[c] for c in cells.columns])
 
 
 def overflow_extent(
@@ -290,16 +313,22 @@ def valued_merges(cells: DataFrame, merges: DataFrame) -> DataFrame:
     return merges.join(heads, ["sheet", "r1", "c1"], "left_semi")
 
 
-def used_range(cells: DataFrame, merges: DataFrame, overflow: DataFrame | None = None) -> DataFrame:
-    """Bounding box per sheet of valued cells, valued merges and overflowing text: ``r1, c1, r2, c2``."""
-    parts = cells.select("sheet", "row", "col")
-    parts = parts.unionByName(
-        valued_merges(cells, merges).select(
-            "sheet", F.inline(F.array(F.struct(F.col("r1").alias("row"), F.col("c1").alias("col")), F.struct(F.col("r2").alias("row"), F.col("c2").alias("col"))))
-        )
-    )
+def used_range(
+    cells: DataFrame, merges: DataFrame, overflow: DataFrame | None = None, marked: DataFrame | None = None, boxes: DataFrame | None = None
+) -> DataFrame:
+    """Bounding box per sheet: ``r1, c1, r2, c2``.
+
+    It holds valued cells, valued merges and, where given, overflowing text, cells that only have a fill or a border
+    (``marked``, see :func:`printed_cells`) and drawings (``boxes``, see :func:`box_cells`).
+    """
+    corners = F.inline(F.array(*[F.struct(F.col(r).alias("row"), F.col(c).alias("col")) for r, c in (("r1", "c1"), ("r2", "c2"))]))
+    parts = cells.select("sheet", "row", "col").unionByName(valued_merges(cells, merges).select("sheet", corners))
     if overflow is not None:
         parts = parts.unionByName(overflow.select("sheet", "row", F.col("end_col").alias("col")))
+    if marked is not None:
+        parts = parts.unionByName(marked.select("sheet", "row", "col"))
+    if boxes is not None:
+        parts = parts.unionByName(boxes.select("sheet", corners))
     return parts.groupBy("sheet").agg(
         F.min("row").alias("r1"), F.min("col").alias("c1"), F.max("row").alias("r2"), F.max("col").alias("c2")
     )
@@ -424,34 +453,76 @@ def segment_index(segments: DataFrame, dim: str) -> DataFrame:
     )
 
 
-def touched_regions(cells: DataFrame, segments: DataFrame, merges: DataFrame | None = None) -> DataFrame:
-    """Distinct ``sheet, row_seg, col_seg`` that hold a valued cell or meet a valued merge.
+def drawn_regions(boxes: DataFrame, segments: DataFrame, offsets: DataFrame) -> DataFrame:
+    """``sheet, row_seg, col_seg`` that a drawing rectangle overlaps.
+
+    Each side of a rectangle becomes a range of segments by two as-of searches among the segment starts; only the
+    segments inside both ranges are listed.
+    """
+    edge = offsets.select("sheet", "dim", "idx", "offset", (F.col("offset") + F.col("size")).alias("__hi"))
+    starts = segments.join(edge.select("sheet", "dim", F.col("idx").alias("first_idx"), F.col("offset").alias("__at")), ["sheet", "dim", "first_idx"])
+    starts = starts.join(edge.select("sheet", "dim", F.col("idx").alias("last_idx"), "__hi"), ["sheet", "dim", "last_idx"])
+    steps = starts.select("sheet", "dim", "__at", F.struct(F.col("seg_no").alias("seg"), F.col("__hi").alias("hi")).alias("__step"))
+    sides = boxes.select(
+        "sheet", "anchor_id",
+        F.inline(
+            F.array(
+                F.struct(F.lit("row").alias("dim"), F.col("y").alias("__lo"), (F.col("y") + F.col("height")).alias("__up")),
+                F.struct(F.lit("col").alias("dim"), F.col("x").alias("__lo"), (F.col("x") + F.col("width")).alias("__up")),
+            )
+        ),
+    )
+    found = last_before(sides, steps, ["sheet", "dim"], "__lo", "__at", "__step")
+    first = F.when(F.col("__step").isNull(), F.lit(1).cast("long")).when(F.col("__lo") < F.col("__step.hi"), F.col("__step.seg")).otherwise(F.col("__step.seg") + 1)
+    found = last_before(found.withColumn("__first", first).drop("__step"), steps, ["sheet", "dim"], "__up", "__at", "__step", strict=True)
+    found = found.withColumn("__to", F.col("__step.seg")).filter("__first <= __to")
+    rows, cols = (
+        found.filter(F.col("dim") == d).select("sheet", "anchor_id", F.col("__first").alias(f"__{d}1"), F.col("__to").alias(f"__{d}2")) for d in ("row", "col")
+    )
+    spans = rows.join(cols, ["sheet", "anchor_id"])
+    return explode_span(explode_span(spans, "__row1", "__row2", "row_seg"), "__col1", "__col2", "col_seg").select("sheet", "row_seg", "col_seg").distinct()
+
+
+def touched_regions(
+    cells: DataFrame, segments: DataFrame, merges: DataFrame | None = None, marked: DataFrame | None = None,
+    boxes: DataFrame | None = None, offsets: DataFrame | None = None,
+) -> DataFrame:
+    """Distinct ``sheet, row_seg, col_seg`` that hold a valued or ``marked`` cell or meet a valued merge or a drawing.
 
     Empty page rectangles are never formed: pages come from the content, not from a product of
     row and column segments.
     """
     rows, cols = segment_index(segments, "row"), segment_index(segments, "col")
+    held = cells.select("sheet", "row", "col")
+    if marked is not None:
+        held = held.unionByName(marked.select("sheet", "row", "col"))
     # Columns per sheet are few and rows many, so rows are reduced to segments first.
-    placed = cells.select("sheet", "row", "col").join(rows, ["sheet", "row"]).groupBy("sheet", "row_seg", "col").agg(F.count(F.lit(1)).alias("n"))
+    placed = held.join(rows, ["sheet", "row"]).groupBy("sheet", "row_seg", "col").agg(F.count(F.lit(1)).alias("n"))
     hit = placed.join(cols, ["sheet", "col"]).select("sheet", "row_seg", "col_seg")
     if merges is not None:
         m = valued_merges(cells, merges)
         by_row = explode_span(m, "r1", "r2", "row").join(rows, ["sheet", "row"]).select("sheet", "r1", "c1", "c2", "row_seg").distinct()
         by_col = explode_span(by_row, "c1", "c2", "col").select("sheet", "row_seg", "col").distinct()
         hit = hit.unionByName(by_col.join(cols, ["sheet", "col"]).select("sheet", "row_seg", "col_seg"))
+    if boxes is not None:
+        hit = hit.unionByName(drawn_regions(boxes, segments, offsets))
     return hit.distinct()
 
 
-def nonempty_regions(regions: DataFrame, cells: DataFrame, segments: DataFrame, merges: DataFrame | None = None) -> DataFrame:
+def nonempty_regions(
+    regions: DataFrame, cells: DataFrame, segments: DataFrame, merges: DataFrame | None = None, marked: DataFrame | None = None,
+    boxes: DataFrame | None = None, offsets: DataFrame | None = None,
+) -> DataFrame:
     """Given page rectangles (``sheet, row_seg, col_seg``) that have something to print."""
-    return regions.join(touched_regions(cells, segments, merges), ["sheet", "row_seg", "col_seg"], "left_semi")
+    return regions.join(touched_regions(cells, segments, merges, marked, boxes, offsets), ["sheet", "row_seg", "col_seg"], "left_semi")
 
 
 def paginate_grid(
-    cells: DataFrame, segments: DataFrame, merges: DataFrame | None = None, order: str = "downThenOver"
+    cells: DataFrame, segments: DataFrame, merges: DataFrame | None = None, order: str = "downThenOver", marked: DataFrame | None = None,
+    boxes: DataFrame | None = None, offsets: DataFrame | None = None,
 ) -> DataFrame:
     """Pages per sheet in print order: ``sheet, page_no, row_seg, col_seg, r1, r2, c1, c2``."""
-    pages = stage(touched_regions(cells, segments, merges), "regions")
+    pages = stage(touched_regions(cells, segments, merges, marked, boxes, offsets), "regions")
     major, minor = ("col_seg", "row_seg") if order == "downThenOver" else ("row_seg", "col_seg")
     # Bucket numbers grow along (major, minor): at most 1,024 buckets of the minor axis per major.
     bucket = F.col(major) * 1_048_576 + bucket_of(minor, 1024)

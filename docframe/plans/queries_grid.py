@@ -8,6 +8,7 @@ from docframe.functions import refs as R
 from docframe.operators import grid as G
 from docframe.plans.queries_pages import PACK_SQL
 from docframe.plans.registry import query
+from docframe.plans.stage import stage
 from docframe.sources.fixtures import Fixtures
 
 _REFS = r"""refs AS (SELECT p_partkey, CASE p_partkey % 7
@@ -170,13 +171,12 @@ def _offsets(f: Fixtures):
 
 @query(
     "span_size",
-    """SELECT m.sheet, r1, r2, (SELECT sum(size) FROM off WHERE off.sheet = m.sheet AND dim = 'row' AND idx BETWEEN r1 AND r2) AS height
-       FROM merges m WHERE r2 <= (SELECT max("row") FROM sheet_rows s WHERE s.sheet = m.sheet)""",
+    """SELECT m.sheet, r1, r2, coalesce((SELECT sum(size) FROM off WHERE off.sheet = m.sheet AND dim = 'row' AND idx BETWEEN r1 AND r2), 0) AS height
+       FROM merges m""",
     _OFF,
 )
 def _span_size(f: Fixtures):
-    sized = G.span_size(G.axis_offsets(f.axis()), f.merges(), "row", "r1", "r2", "height")
-    return sized.filter("height IS NOT NULL").select("sheet", "r1", "r2", "height")
+    return G.span_size(G.axis_offsets(f.axis()), f.merges(), "row", "r1", "r2", "height").select("sheet", "r1", "r2", "height")
 
 
 _POINTS = """points AS (SELECT sheet, 'row' AS dim, "row" AS id, CAST("row" * 37 % 20000 AS DOUBLE) AS pos FROM sheet_rows
@@ -196,42 +196,59 @@ def _locate(f: Fixtures):
     return G.locate(rows.unionByName(cols), G.axis_offsets(f.axis()))
 
 
-@query(
-    "anchor_boxes",
-    """SELECT a.sheet, x1."offset" + least(dx1, x1.size) AS x, y1."offset" + least(dy1, y1.size) AS y,
-              CASE WHEN c2 IS NULL THEN 120 ELSE greatest(1, x2."offset" + least(dx2, x2.size) - (x1."offset" + least(dx1, x1.size))) END::DOUBLE AS width,
-              CASE WHEN c2 IS NULL THEN 80 ELSE greatest(1, y2."offset" + least(dy2, y2.size) - (y1."offset" + least(dy1, y1.size))) END::DOUBLE AS height
-       FROM (SELECT s_suppkey AS sheet, 1 + s_suppkey % 4 AS c1, CAST(s_suppkey % 200 AS DOUBLE) AS dx1, 1 + s_suppkey % 50 AS r1, 25::DOUBLE AS dy1,
-                    CASE WHEN s_suppkey % 3 > 0 THEN 2 + s_suppkey % 4 END AS c2, 5::DOUBLE AS dx2, CASE WHEN s_suppkey % 3 > 0 THEN 4 + s_suppkey % 50 END AS r2, 7::DOUBLE AS dy2
-             FROM supplier) a
-       JOIN off x1 ON x1.sheet = a.sheet AND x1.dim = 'col' AND x1.idx = c1 JOIN off y1 ON y1.sheet = a.sheet AND y1.dim = 'row' AND y1.idx = r1
-       LEFT JOIN off x2 ON x2.sheet = a.sheet AND x2.dim = 'col' AND x2.idx = c2 LEFT JOIN off y2 ON y2.sheet = a.sheet AND y2.dim = 'row' AND y2.idx = r2""",
-    _OFF,
-)
-def _anchors(f: Fixtures):
-    anchors = f.t("supplier").selectExpr(
-        "s_suppkey AS sheet", "1 + s_suppkey % 4 AS c1", "CAST(s_suppkey % 200 AS DOUBLE) AS dx1", "1 + s_suppkey % 50 AS r1", "CAST(25 AS DOUBLE) AS dy1",
-        "CASE WHEN s_suppkey % 3 > 0 THEN 2 + s_suppkey % 4 END AS c2", "CAST(5 AS DOUBLE) AS dx2",
+_CORNERS = """
+anchors AS (SELECT s_suppkey AS sheet, s_suppkey AS anchor_id, 1 + s_suppkey % 4 AS c1, CAST(s_suppkey % 200 AS DOUBLE) AS dx1, 1 + s_suppkey % 50 AS r1, 25::DOUBLE AS dy1,
+              CASE WHEN s_suppkey % 3 > 0 THEN 2 + s_suppkey % 4 END AS c2, 5::DOUBLE AS dx2, CASE WHEN s_suppkey % 3 > 0 THEN 4 + s_suppkey % 50 END AS r2, 7::DOUBLE AS dy2
+       FROM supplier),
+corners AS (SELECT sheet, anchor_id, 'x' AS corner, 'col' AS dim, c1 AS idx, dx1 AS delta FROM anchors UNION ALL SELECT sheet, anchor_id, 'y', 'row', r1, dy1 FROM anchors
+  UNION ALL SELECT sheet, anchor_id, 'x2', 'col', c2, dx2 FROM anchors UNION ALL SELECT sheet, anchor_id, 'y2', 'row', r2, dy2 FROM anchors),
+placed AS (SELECT c.sheet, anchor_id, corner, coalesce("offset" + least(delta, size), ends) AS spot FROM corners c
+  LEFT JOIN off o ON o.sheet = c.sheet AND o.dim = c.dim AND o.idx = c.idx
+  LEFT JOIN (SELECT sheet, dim, max("offset" + size) AS ends FROM off GROUP BY sheet, dim) e ON e.sheet = c.sheet AND e.dim = c.dim WHERE c.idx IS NOT NULL),
+drawn AS (SELECT sheet, anchor_id, x, y, CASE WHEN x2 IS NULL THEN 120 ELSE greatest(1, x2 - x) END::DOUBLE AS width, CASE WHEN y2 IS NULL THEN 80 ELSE greatest(1, y2 - y) END::DOUBLE AS height
+  FROM (SELECT sheet, anchor_id, coalesce(max(spot) FILTER (corner = 'x'), 0) AS x, coalesce(max(spot) FILTER (corner = 'y'), 0) AS y,
+               max(spot) FILTER (corner = 'x2') AS x2, max(spot) FILTER (corner = 'y2') AS y2 FROM placed GROUP BY sheet, anchor_id))
+"""
+
+
+def _drawings(f: Fixtures):
+    return f.t("supplier").selectExpr(
+        "s_suppkey AS sheet", "s_suppkey AS anchor_id", "1 + s_suppkey % 4 AS c1", "CAST(s_suppkey % 200 AS DOUBLE) AS dx1", "1 + s_suppkey % 50 AS r1",
+        "CAST(25 AS DOUBLE) AS dy1", "CASE WHEN s_suppkey % 3 > 0 THEN 2 + s_suppkey % 4 END AS c2", "CAST(5 AS DOUBLE) AS dx2",
         "CASE WHEN s_suppkey % 3 > 0 THEN 4 + s_suppkey % 50 END AS r2", "CAST(7 AS DOUBLE) AS dy2",
         "CAST(120 AS DOUBLE) AS ext_w", "CAST(80 AS DOUBLE) AS ext_h",
     )
-    return G.anchor_boxes(anchors, G.axis_offsets(f.axis())).select("sheet", "x", "y", "width", "height")
 
 
-_SPILL = """
+@query("anchor_boxes", "SELECT sheet, x, y, width, height FROM drawn", f"{_OFF}, {_CORNERS}")
+def _anchors(f: Fixtures):
+    return G.anchor_boxes(_drawings(f), G.axis_offsets(f.axis())).select("sheet", "x", "y", "width", "height")
+
+
+_SPILL = f"""
+written AS (
+  SELECT sheet, "row", col, CASE WHEN col < 4 AND "row" % 2 = 0 THEN repeat(text, 15) ELSE text END AS text
+  FROM valued WHERE NOT (col IN (2, 3) AND "row" % 3 = 0)),
 spill AS (
-  SELECT v.sheet, v."row", v.col, v.text, length(v.text) * (0.52::DOUBLE * 96 / 72 * 11) + 4 AS need,
-         lead(v.col) OVER (PARTITION BY v.sheet, v."row" ORDER BY v.col) AS nxt
-  FROM (SELECT sheet, "row", col, text FROM valued WHERE col IN (1, 5)) v),
+  SELECT sheet, "row", col, length(text) * (0.52::DOUBLE * 96 / 72 * 11) + 4 AS need, lead(col) OVER (PARTITION BY sheet, "row" ORDER BY col) AS nxt FROM written),
+runs AS (
+  SELECT col, k, sum(CASE WHEN col + k <= 12 THEN 64 + 10 * (col + k) ELSE {G.DEFAULT_COL_PX} END) OVER (PARTITION BY col ORDER BY k) AS run
+  FROM (SELECT unnest(range(1, 6)) AS col) CROSS JOIN (SELECT unnest(range(0, 50)) AS k)),
 reach AS (
-  SELECT *, CASE WHEN col = 5 OR "row" % 2 = 0 THEN greatest(col, least(col + 50, coalesce(nxt - 1, col + 50), col + (
-      SELECT count(*) FROM (SELECT sum(64 + 10 * k) OVER (ORDER BY k) AS run FROM (SELECT unnest(range(spill.col, 13)) AS k)) WHERE run < need))) ELSE col END AS end_col
-  FROM spill)
+  SELECT s.sheet, s."row", s.col, CASE WHEN s.col = 5 OR s."row" % 2 = 0
+      THEN greatest(s.col, least(coalesce(s.nxt - 1, s.col + 50), s.col + count(*) FILTER (r.run < s.need))) ELSE s.col END AS end_col
+  FROM spill s JOIN runs r ON r.col = s.col GROUP BY s.sheet, s."row", s.col, s.nxt)
 """
 
 
+def _written(f: Fixtures):
+    """Rows where text of columns 1 to 3 is long, and rows where columns 2 and 3 are empty, in all four combinations."""
+    cells = f.valued().filter("NOT (col IN (2, 3) AND row % 3 = 0)")
+    return cells.withColumn("text", F.expr("CASE WHEN col < 4 AND row % 2 = 0 THEN repeat(text, 15) ELSE text END"))
+
+
 def _overflow(f: Fixtures):
-    cells = f.valued().withColumn("spills", F.expr("col = 5 OR row % 2 = 0"))
+    cells = _written(f).withColumn("spills", F.expr("col = 5 OR row % 2 = 0"))
     sizes = f.t("supplier").selectExpr("s_suppkey AS sheet", "explode(sequence(1, 12)) AS col").selectExpr(
         "sheet", "col", "CAST(64 + 10 * col AS DOUBLE) AS size"
     )
@@ -240,19 +257,18 @@ def _overflow(f: Fixtures):
 
 @query("overflow_extent", """SELECT sheet, "row", col, CAST(end_col AS INTEGER) AS end_col FROM reach""", _SPILL)
 def _overflow_query(f: Fixtures):
-    # All cells are judged; the SQL lists the extents of columns 1 and 5 only.
-    return _overflow(f).filter("col IN (1, 5)").select("sheet", "row", "col", F.col("end_col").cast("int").alias("end_col"))
+    return _overflow(f).select("sheet", "row", "col", F.col("end_col").cast("int").alias("end_col"))
 
 
 @query(
     "used_range",
     """SELECT sheet, min(r) AS r1, CAST(min(c) AS BIGINT) AS c1, max(r) AS r2, CAST(max(c) AS BIGINT) AS c2 FROM (
-         SELECT sheet, "row" AS r, col AS c FROM valued UNION ALL SELECT sheet, r1, c1 FROM merges UNION ALL SELECT sheet, r2, c2 FROM merges
+         SELECT sheet, "row" AS r, col AS c FROM written UNION ALL SELECT sheet, r1, c1 FROM merges UNION ALL SELECT sheet, r2, c2 FROM merges
          UNION ALL SELECT sheet, "row", end_col FROM reach) GROUP BY sheet""",
     _SPILL,
 )
 def _used(f: Fixtures):
-    out = G.used_range(f.valued().withColumn("col", F.col("col").cast("long")), f.merges(), _overflow(f).withColumn("end_col", F.col("end_col").cast("long")))
+    out = G.used_range(_written(f).withColumn("col", F.col("col").cast("long")), f.merges(), _overflow(f).withColumn("end_col", F.col("end_col").cast("long")))
     return out
 
 
@@ -357,21 +373,95 @@ def _paginate(f: Fixtures):
     return G.paginate_grid(f.valued(), _segments(f), f.merges())
 
 
-@query(
-    "nonempty_regions",
-    """SELECT sheet, row_seg, col_seg FROM hits WHERE (row_seg + col_seg) % 2 = 0""",
-    f"{_SEGMENTS}, {_REGIONS}",
-)
+def _rectangles(segments):
+    """Every pair of a row and a column segment of a sheet."""
+    rows, cols = (segments.filter(F.col("dim") == d) for d in ("row", "col"))
+    counts = cols.groupBy("sheet").agg(F.max("seg_no").alias("n"))
+    return rows.select("sheet", F.col("seg_no").alias("row_seg")).join(counts, "sheet").select(
+        "sheet", "row_seg", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("col_seg")
+    )
+
+
+@query("nonempty_regions", "SELECT sheet, row_seg, col_seg FROM hits", f"{_SEGMENTS}, {_REGIONS}")
 def _regions(f: Fixtures):
     segments = _segments(f)
-    rows, cols = (segments.filter(F.col("dim") == d) for d in ("row", "col"))
-    # Candidate rectangles: a checkerboard over row and column segments of each sheet.
-    cand = rows.select("sheet", F.col("seg_no").alias("row_seg")).join(
-        cols.groupBy("sheet").agg(F.max("seg_no").alias("n")), "sheet"
-    ).select("sheet", "row_seg", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("col_seg")).filter(
-        (F.col("row_seg") + F.col("col_seg")) % 2 == 0
+    return G.nonempty_regions(_rectangles(segments), f.valued(), segments, f.merges())
+
+
+# Further sheets without any value: one cell that has a style only, or a drawing only.
+_PRINTED = """
+axis2 AS (SELECT * FROM axis UNION ALL
+  SELECT s_suppkey + k, 'row', i, CAST(20 AS DOUBLE), i % 17 = 0 FROM supplier, (VALUES (1000000), (2000000)) e(k), range(1, 61) t(i) UNION ALL
+  SELECT s_suppkey + k, 'col', i, CAST(64 + 10 * i AS DOUBLE), false FROM supplier, (VALUES (1000000), (2000000)) e(k), range(1, 9) t(i)),
+looks AS (SELECT 0 AS style, false AS shown UNION ALL SELECT 1, true UNION ALL SELECT 2, true UNION ALL SELECT 3, false UNION ALL SELECT 4, true),
+marked AS (SELECT sheet, "row", col FROM (
+    SELECT sheet, "row", col, raw, ("row" + col) % 5 AS style FROM cells
+    UNION ALL SELECT s_suppkey + 1000000, 5 + s_suppkey % 40, 2 + s_suppkey % 6, '', s_suppkey % 5 FROM supplier) JOIN looks USING (style) WHERE raw <> '' OR shown)
+"""
+_OFF2, _SEGMENTS2 = _OFF.replace("FROM axis", "FROM axis2"), _SEGMENTS.replace("FROM axis", "FROM axis2")
+_CORNERS2 = _CORNERS.replace("FROM supplier)", "FROM supplier UNION ALL SELECT s_suppkey + 2000000, s_suppkey, 2 + s_suppkey % 4, 10, 3 + s_suppkey % 20, 4, 4 + s_suppkey % 4, 9, 12 + s_suppkey % 40, 3 FROM supplier)")
+_HITS2 = """
+ext AS (SELECT s.sheet, s.dim, seg_no, a."offset" AS lo, b."offset" + b.size AS hi FROM segments s
+  JOIN off a ON a.sheet = s.sheet AND a.dim = s.dim AND a.idx = first_idx JOIN off b ON b.sheet = s.sheet AND b.dim = s.dim AND b.idx = last_idx),
+hits2 AS (
+  SELECT m.sheet, r.seg_no AS row_seg, c.seg_no AS col_seg FROM marked m
+  JOIN segments r ON r.sheet = m.sheet AND r.dim = 'row' AND m."row" BETWEEN r.first_idx AND r.last_idx
+  JOIN segments c ON c.sheet = m.sheet AND c.dim = 'col' AND m.col BETWEEN c.first_idx AND c.last_idx
+  UNION SELECT * FROM hits
+  UNION SELECT b.sheet, r.seg_no, c.seg_no FROM drawn b
+  JOIN ext r ON r.sheet = b.sheet AND r.dim = 'row' AND y < r.hi AND y + height > r.lo JOIN ext c ON c.sheet = b.sheet AND c.dim = 'col' AND x < c.hi AND x + width > c.lo)
+"""
+
+
+def _printed(f: Fixtures):
+    """Axes, printed cells and drawing boxes of all sheets, those without values included."""
+    more = f.t("supplier").selectExpr("s_suppkey", "explode(array(1000000, 2000000)) AS k")
+    rows = more.selectExpr("s_suppkey + k AS sheet", "'row' AS dim", "explode(sequence(1L, 60L)) AS idx").selectExpr("*", "20D AS size", "idx % 17 = 0 AS hidden")
+    cols = more.selectExpr("s_suppkey + k AS sheet", "'col' AS dim", "explode(sequence(1L, 8L)) AS idx").selectExpr("*", "CAST(64 + 10 * idx AS DOUBLE) AS size", "false AS hidden")
+    axis = f.axis().unionByName(rows).unionByName(cols)
+    styled = f.cells().selectExpr("sheet", "row", "CAST(col AS BIGINT) AS col", "raw AS text", "(row + col) % 5 AS style").unionByName(
+        f.t("supplier").selectExpr("s_suppkey + 1000000 AS sheet", "5 + s_suppkey % 40 AS row", "2 + s_suppkey % 6 AS col", "'' AS text", "s_suppkey % 5 AS style")
+    )
+    looks = f.t("region").sparkSession.createDataFrame(
+        [(0, None, None, None, None, None), (1, None, None, None, None, True), (2, True, None, None, None, None), (3, False, False, False, False, False), (4, None, True, None, True, None)],
+        "style long, fill boolean, b_left boolean, b_right boolean, b_top boolean, b_bottom boolean",
     )
-    return G.nonempty_regions(cand, f.valued(), segments, f.merges())
+    drawings = _drawings(f).unionByName(
+        f.t("supplier").selectExpr(
+            "s_suppkey + 2000000 AS sheet", "s_suppkey AS anchor_id", "2 + s_suppkey % 4 AS c1", "10D AS dx1", "3 + s_suppkey % 20 AS r1", "4D AS dy1",
+            "4 + s_suppkey % 4 AS c2", "9D AS dx2", "12 + s_suppkey % 40 AS r2", "3D AS dy2", "CAST(NULL AS DOUBLE) AS ext_w", "CAST(NULL AS DOUBLE) AS ext_h",
+        )
+    )
+    offsets = stage(G.axis_offsets(axis), "offsets")
+    boxes = stage(G.anchor_boxes(drawings, offsets).select("sheet", "anchor_id", "x", "y", "width", "height"), "boxes")
+    return axis, G.printed_cells(styled, looks), offsets, boxes
+
+
+@query(
+    "used_range_printed",
+    """SELECT sheet, min(r) AS r1, CAST(min(c) AS BIGINT) AS c1, max(r) AS r2, CAST(max(c) AS BIGINT) AS c2 FROM (
+         SELECT sheet, "row" AS r, col AS c FROM marked UNION ALL SELECT sheet, r1, c1 FROM merges UNION ALL SELECT sheet, r2, c2 FROM merges
+         UNION ALL SELECT sheet, at_row, at_col FROM (SELECT sheet, unnest([y, y + height - 1]) AS py, unnest([x, x + width - 1]) AS px FROM drawn) p
+           JOIN LATERAL (SELECT coalesce(max(idx) FILTER (size > 0 AND "offset" <= greatest(0, p.py) AND greatest(0, p.py) < "offset" + size), max(idx) + 1) AS at_row FROM off WHERE off.sheet = p.sheet AND dim = 'row') ON true
+           JOIN LATERAL (SELECT coalesce(max(idx) FILTER (size > 0 AND "offset" <= greatest(0, p.px) AND greatest(0, p.px) < "offset" + size), max(idx) + 1) AS at_col FROM off WHERE off.sheet = p.sheet AND dim = 'col') ON true
+       ) GROUP BY sheet""",
+    f"{_PRINTED}, {_OFF2}, {_CORNERS2}",
+)
+def _used_printed(f: Fixtures):
+    _, marked, offsets, boxes = _printed(f)
+    return G.used_range(f.valued().withColumn("col", F.col("col").cast("long")), f.merges(), marked=marked, boxes=G.box_cells(boxes, offsets))
+
+
+@query(
+    "paginate_printed",
+    "SELECT sheet, row_number() OVER (PARTITION BY sheet ORDER BY col_seg, row_seg) AS page_no, row_seg, col_seg FROM hits2",
+    f"{_PRINTED}, {_OFF2}, {_SEGMENTS2}, {_REGIONS}, {_CORNERS2}, {_HITS2}",
+)
+def _paginate_printed(f: Fixtures):
+    axis, marked, offsets, boxes = _printed(f)
+    segments = G.grid_segments(axis, G.sheet_scale(axis, "fit-width", 300.0, 400.0), 300.0, 400.0, f.breaks(), f.titles())
+    pages = G.paginate_grid(f.valued(), segments, f.merges(), marked=marked, boxes=boxes, offsets=offsets)
+    return pages.select("sheet", "page_no", "row_seg", "col_seg")
 
 
 @query(

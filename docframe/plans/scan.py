@@ -154,6 +154,25 @@ def attach(
     return df.withColumn(_B, bucket).join(spread, [*keys, _B]).drop(_B)
 
 
+def last_before(
+    points: DataFrame, steps: DataFrame, keys: Sequence[str], pos: str, at: str, value: str, *, strict: bool = False, band: float = 65_536.0
+) -> DataFrame:
+    """As-of search: adds ``value`` of the step with the greatest ``at`` that is not above ``pos`` (``strict``: below it).
+
+    Distinct positions and steps are put in one order, cut into ranges of ``band``, and the latest step is carried
+    along; nothing is repeated for long steps, and many points at one place are looked up once. Null without a step.
+    """
+    keys = list(keys)
+    ours, theirs = (0, 1) if strict else (1, 0)  # who comes first at one place
+    asked = points.select(*keys, F.col(pos).alias("__x")).distinct().filter("__x IS NOT NULL")
+    line = steps.select(*keys, F.col(at).alias("__x"), F.lit(theirs).alias("__kind"), F.col(value).alias("__v"))
+    line = line.unionByName(asked.withColumn("__kind", F.lit(ours)), allowMissingColumns=True)
+    order = F.floor(F.col("__x") / F.lit(band)).cast("long")
+    found = ordered_scan(line, keys, ["__x", "__kind"], order, carry={"__found": F.col("__v")}).filter(F.col("__kind") == ours)
+    found = found.select(*keys, F.col("__x").alias(pos), F.col("__found").alias(value))
+    return points.join(found, [*keys, pos], "left")
+
+
 def explode_span(df: DataFrame, first: str, last: str, name: str, width: int = BUCKET_ROWS) -> DataFrame:
     """One row per integer in ``first..last``; no array is longer than ``width`` elements.
 

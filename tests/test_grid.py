@@ -1,7 +1,10 @@
 """Text overflow over whole rows, against a cell-by-cell walk."""
 
+import random
+
 from docframe.operators import grid as G
 from docframe.plans import queries_grid as Q
+from docframe.plans.scan import last_before
 from docframe.sources.fixtures import Fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -36,5 +39,71 @@ def test_overflow_goes_on_with_the_default_width(spark):
 
 def test_overflow_queries_judge_all_cells(spark):
     f = Fixtures(spark, SF)
-    want = {(r.sheet, r.row, r.col) for r in f.valued().collect()}
+    want = {(r.sheet, r.row, r.col) for r in Q._written(f).collect()}
     assert {(r.sheet, r.row, r.col) for r in Q._overflow(f).collect()} == want
+
+
+def test_as_of_search_against_a_scan_of_all_steps(spark):
+    rng = random.Random(5)
+    steps = [(k, float(rng.randrange(60)), f"{k}-{i}") for k in range(3) for i in range(25)]
+    steps = list({(k, at): (k, at, v) for k, at, v in steps}.values()) + [(9, 2.0, "one")]
+    points = [(rng.randrange(4), rng.choice([float(rng.randrange(-5, 70)), None, 7.5])) for _ in range(300)] + [(9, 1e9), (9, 2.0)]
+    left = spark.createDataFrame(points, "k long, x double")
+    right = spark.createDataFrame(steps, "k long, at double, v string")
+    for strict in (False, True):
+        for band in (4.0, 1e6):
+            got = sorted((r.k, str(r.x), str(r.v)) for r in last_before(left, right, ["k"], "x", "at", "v", strict=strict, band=band).collect())
+            want = []
+            for k, x in points:
+                below = [(at, v) for j, at, v in steps if j == k and x is not None and (at < x or at == x and not strict)]
+                want.append((k, str(x), str(max(below)[1] if below else None)))
+            assert got == sorted(want)
+
+
+def sheet_offsets(spark, sizes):
+    rows = [(1, dim, i + 1, float(s), s == 0) for dim, some in sizes.items() for i, s in enumerate(some)]
+    return G.axis_offsets(spark.createDataFrame(rows, "sheet long, dim string, idx long, size double, hidden boolean"))
+
+
+def test_drawings_reach_segments_and_cells(spark):
+    """Boxes on edges, over hidden rows, past the axis, and one over everything."""
+    sizes = {"row": [10, 0, 10, 10, 0, 20, 10], "col": [30, 30, 0, 30]}
+    offsets = sheet_offsets(spark, sizes)
+    segments = [(1, "row", 1, 1, 3), (1, "row", 2, 4, 5), (1, "row", 3, 6, 7), (1, "col", 1, 1, 1), (1, "col", 2, 2, 4)]
+    edges = {("row", 1): (0, 20), ("row", 2): (20, 30), ("row", 3): (30, 60), ("col", 1): (0, 30), ("col", 2): (30, 90)}
+    rng = random.Random(2)
+    boxes = [(1, k, float(rng.randrange(0, 100)), float(rng.randrange(0, 70)), float(rng.choice([1, 10, 30, 200])), float(rng.choice([1, 10, 25, 200]))) for k in range(120)]
+    df = spark.createDataFrame(boxes, "sheet long, anchor_id long, x double, y double, width double, height double")
+    for _, k, x, y, w, h in boxes[:6]:
+        one = df.filter(f"anchor_id = {k}")
+        want = {(r, c) for (d, r), (y1, y2) in edges.items() if d == "row" for (e, c), (x1, x2) in edges.items() if e == "col" and x < x2 and x + w > x1 and y < y2 and y + h > y1}
+        got = G.drawn_regions(one, spark.createDataFrame(segments, "sheet long, dim string, seg_no long, first_idx long, last_idx long"), offsets)
+        assert {(r.row_seg, r.col_seg) for r in got.collect()} == want
+    ends = {d: [sum(s[:i]) for i in range(len(s) + 1)] for d, s in sizes.items()}
+
+    def at(dim, pos):
+        i = 1
+        while i <= len(sizes[dim]) and ends[dim][i] <= max(0, pos):
+            i += 1
+        return i
+
+    got = {r.anchor_id: (r.r1, r.c1, r.r2, r.c2) for r in G.box_cells(df, offsets).collect()}
+    assert got == {k: (at("row", y), at("col", x), at("row", y + h - 1), at("col", x + w - 1)) for _, k, x, y, w, h in boxes}
+
+
+def test_styles_and_drawings_alone_make_a_range(spark):
+    cells = spark.createDataFrame([(1, 4, 2, "", 1), (1, 9, 3, None, 0), (2, 1, 1, "v", 0), (3, 1, 1, "", None), (4, 2, 2, "", 7)], "sheet long, row long, col long, text string, style long")
+    styles = spark.createDataFrame([(0, None, None, None, None, None), (1, False, None, True, None, None), (7, True, None, None, None, None)], "style long, fill boolean, b_left boolean, b_right boolean, b_top boolean, b_bottom boolean")
+    marked = G.printed_cells(cells, styles)
+    assert sorted((r.sheet, r.row, r.col) for r in marked.collect()) == [(1, 4, 2), (2, 1, 1), (4, 2, 2)]
+    boxes = spark.createDataFrame([(5, 1, 2, 3, 4, 6)], "sheet long, anchor_id long, r1 long, c1 long, r2 long, c2 long")
+    merges = spark.createDataFrame([], "sheet long, r1 long, c1 long, r2 long, c2 long")
+    got = G.used_range(cells.filter("text <> ''"), merges, marked=marked, boxes=boxes)
+    assert {r.sheet: tuple(r)[1:] for r in got.collect()} == {1: (4, 2, 4, 2), 2: (1, 1, 1, 1), 4: (2, 2, 2, 2), 5: (2, 3, 4, 6)}
+
+
+def test_sizes_past_the_axis(spark):
+    offsets = sheet_offsets(spark, {"row": [10, 0, 10]})
+    ranges = spark.createDataFrame([(1, 2, 3), (1, 3, 9), (1, 7, 9), (2, 1, 2)], "sheet long, r1 long, r2 long")
+    got = G.span_size(offsets, ranges, "row", "r1", "r2", "height")
+    assert sorted((r.sheet, r.r1, r.height) for r in got.collect()) == [(1, 2, 10.0), (1, 3, 10.0), (1, 7, 0.0), (2, 1, 0.0)]
