@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docframe.functions.js import extension, trim
 from docframe.plans.ship import ship
+from docframe.plans.stage import stage
 
 # Header bytes and stream names.
 _ZIP = ("504B03", "504B05")
@@ -20,8 +23,9 @@ PDF_HEAD = 1_024
 SNIFF_CHARS = 5_000
 DELIMITERS = (",", ";", "\t", "|")
 
-# Characters of windows-1252 in place of the Latin-1 control range 0x80-0x9F.
-_CP1252 = bytes(range(0x80, 0xA0)).decode("cp1252", errors="replace")
+_C1 = "".join(map(chr, range(0x80, 0xA0)))
+# Characters of windows-1252 in place of the Latin-1 control range; its five undefined bytes stand for themselves.
+_CP1252 = "".join(bytes([ord(c)]).decode("cp1252", errors="ignore") or c for c in _C1)
 
 
 def sniff_magic(name: Column, content: Column, kind: str) -> Column:
@@ -57,49 +61,213 @@ def sniff_dialect(head: bytes, utf8: bool) -> tuple[str, str]:
     elif head[:2] == b"\xfe\xff":
         encoding, codec = "UTF-16BE", "utf-16-be"
     else:
-        encoding, codec = ("UTF-8", "utf-8") if utf8 else ("windows-1252", "cp1252")
+        encoding, codec = ("UTF-8", "utf-8") if utf8 else ("windows-1252", "latin-1")
     # A cut multi-byte character at the end of the sample is left out.
-    text = head.decode(codec, errors="replace" if codec == "cp1252" else "ignore")
-    sample = text.lstrip("\ufeff")[:SNIFF_CHARS]
+    sample = head.decode(codec, errors="ignore").lstrip("\ufeff")[:SNIFF_CHARS]
     # max() keeps the first of equals, i.e. the listed order.
     return encoding, max(DELIMITERS, key=sample.count)
 
 
-def file_dialects(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """``path, encoding, sep`` of every file that is not empty, found where the file is read."""
-    files = spark.read.format("binaryFile").load(list(paths)).filter("length > 0")
+def _decoded(content: Column, encoding: Column) -> Column:
+    """Bytes as text by the file's encoding, without a byte order mark."""
+    latin = F.translate(F.decode(content, "ISO-8859-1"), _C1, _CP1252)
+    return F.when(encoding == "UTF-8", content.cast("string")).otherwise(latin)
+
+
+def _decoded_wide(content: bytes, encoding: str) -> str:
+    """UTF-16 bytes as text; a last line feed byte was taken for a line end and is put back."""
+    data = bytes(content) + (b"\n" if len(content) % 2 else b"")
+    return data.decode(encoding, errors="replace")
+
+
+def line_steps(text: str, sep: str) -> Iterator[tuple[int, bool]]:
+    """Places in a line, entered outside quotes, where a quoted part begins or ends, and lone returns that end a record."""
+    at, quoted, fresh = 0, False, True
+    for m in re.finditer(f'["\\r{re.escape(sep)}]', text):
+        c, i = m[0], m.start()
+        if i < at:
+            continue
+        if quoted:
+            if c == '"':
+                if text[i + 1 : i + 2] == '"':
+                    at = i + 2
+                else:
+                    quoted, fresh, at = False, False, i + 1
+                    yield i, False
+            continue
+        fresh = fresh and i == at
+        if c == '"':
+            if fresh:
+                quoted = True
+                yield i, True
+            at = i + 1
+        else:
+            fresh, at = True, i + 1
+
+
+def _leaves_quoted(text: str, sep: str, quoted: bool) -> bool:
+    """Whether the line ends inside a quoted field. A quote opens a field only at the field's start."""
+    if '"' not in text:
+        return quoted
+    for _, quoted in line_steps('"' + text if quoted else text, sep):
+        pass
+    return quoted
+
+
+def _cut_returns(text: str, sep: str) -> list[str]:
+    """A whole record and its line end, cut at returns outside quotes."""
+    if "\r" not in text:
+        return [text]
+    out, start, quoted, marks = [], 0, False, dict(line_steps(text, sep))
+    for m in re.finditer('["\r]', text):
+        quoted = marks.get(m.start(), quoted)
+        if m[0] == "\r" and not quoted:
+            out.append(text[start : m.start()])
+            start = m.end()
+    return [*out, text[start:]]
+
+
+def physical_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``path, block, seq, line`` (bytes): files cut at line feeds, a large file read by many tasks."""
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(list(paths))
+    return lines.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"), F.col("value").cast("binary").alias("line"),
+    )
+
+
+def file_dialects(lines: DataFrame) -> DataFrame:
+    """``path, encoding, sep`` of every file, found in executors from its first lines and from all of its bytes."""
     found = F.udf(lambda head, utf8: sniff_dialect(bytes(head), utf8), "encoding string, sep string")
-    seen = files.select("path", found(F.substring("content", 1, 4 * SNIFF_CHARS), F.is_valid_utf8(F.col("content").cast("string"))).alias("d"))
-    return seen.select("path", "d.*")
+    valid = lines.groupBy("path").agg(F.bool_and(F.is_valid_utf8(F.col("line").cast("string"))).alias("utf8"))
+    order = Window.partitionBy("path", "block").orderBy("seq")
+    head = lines.filter("block = 0").select("path", "block", "seq", F.substring("line", 1, 4 * SNIFF_CHARS).alias("line"))
+    head = head.withColumn("n", F.row_number().over(order)).withColumn("size", F.sum(F.length("line") + 1).over(order) - F.length("line"))
+    head = head.filter(f"n <= {SNIFF_CHARS + 1} AND size <= {4 * SNIFF_CHARS}").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("l"))
+    joined = F.aggregate("l.line", F.lit(bytearray(b"")), lambda all_, x: F.concat(all_, F.when(F.length(all_) > 0, F.lit(bytearray(b"\n"))).otherwise(F.lit(bytearray(b""))), x))
+    both = head.select("path", joined.alias("head")).join(valid, "path")
+    return both.select("path", found("head", "utf8").alias("d")).select("path", "d.*")
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Rows of a batch by ``(path, block)``; a block may go on in the next batch."""
+    for pdf in batches:
+        for key, part in pdf.groupby(["path", "block"], sort=False):
+            yield key, part
+
+
+def csv_records(lines: DataFrame) -> DataFrame:
+    """``path, block, no, sep, record``: records whose quoted fields may hold line breaks, in the order ``path, block, no``.
+
+    ``lines``: ``path, block, seq, line, sep`` with decoded lines. Whether a line starts inside quotes depends on all
+    lines before it, but a block of lines only maps two states (outside, inside) to two: blocks are reduced to
+    such maps in parallel, the maps of a file are composed in order, and every block is then cut on its own.
+    Only records that cross a block border are put together by a shuffle.
+    """
+    keys = ["path", "block"]
+    ordered = lines.repartition(*keys).sortWithinPartitions(*keys, "seq")
+
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, ends = None, (False, True)
+        for key, part in _blocks(batches):
+            if key != current:
+                if current is not None:
+                    yield pd.DataFrame([(*current, *ends)], columns=["path", "block", "outside", "inside"])
+                current, ends = key, (False, True)
+            for text, sep in zip(part["line"], part["sep"]):
+                if '"' in text:
+                    ends = tuple(_leaves_quoted(text, sep, e) for e in ends)
+        if current is not None:
+            yield pd.DataFrame([(*current, *ends)], columns=["path", "block", "outside", "inside"])
+
+    maps = ordered.mapInPandas(reduced, "path string, block long, outside boolean, inside boolean")
+    steps = F.array_sort(F.collect_list(F.struct("block", "outside", "inside")).over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
+    enters = maps.select(*keys, F.aggregate(steps, F.lit(False), lambda state, b: F.when(state, b["inside"]).otherwise(b["outside"])).alias("enters"))
+    met = lines.join(enters, keys).repartition(*keys).sortWithinPartitions(*keys, "seq")
+    schema = "path string, block long, no long, sep string, record string, opens boolean, closes boolean"
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, quoted, no, sep, held, opens = None, False, 0, ",", [], True
+
+        def close(closes: bool) -> list[tuple]:
+            nonlocal no, held, opens
+            text, whole, held = "\n".join(held), opens and closes, []
+            rows = [(*current, no + k, sep, t, opens, closes) for k, t in enumerate(_cut_returns(text, sep) if whole else [text])]
+            no, opens = no + len(rows), True
+            return rows
+
+        for key, part in _blocks(batches):
+            out: list[tuple] = []
+            if key != current:
+                if held:
+                    out += close(False)
+                current, quoted, no, held = key, bool(part["enters"].iat[0]), 0, []
+                opens = not quoted
+            for text, sep in zip(part["line"], part["sep"]):  # noqa: B007
+                held.append(text)
+                quoted = _leaves_quoted(text, sep, quoted)
+                if not quoted:
+                    out += close(True)
+            yield pd.DataFrame(out, columns=["path", "block", "no", "sep", "record", "opens", "closes"])
+        if held:
+            yield pd.DataFrame(close(False), columns=["path", "block", "no", "sep", "record", "opens", "closes"])
+
+    pieces = stage(met.mapInPandas(cut, schema), "records")
+    whole = pieces.filter("opens AND closes").select("path", "block", "no", "sep", "record")
+    # Pieces of records across borders: what goes on belongs to the latest block that opened a record.
+    torn = pieces.filter("NOT (opens AND closes)")
+    since = Window.partitionBy("path").orderBy("block", "no").rowsBetween(Window.unboundedPreceding, 0)
+    torn = torn.withColumn("of", F.last(F.when(F.col("opens"), F.struct("block", "no")), ignorenulls=True).over(since))
+    parts = F.array_sort(F.collect_list(F.struct("block", "no", "record")))
+    mended = torn.groupBy("path", F.col("of.block").alias("block"), F.col("of.no").alias("no"), "sep").agg(F.array_join(F.transform(parts, lambda p: p["record"]), "\n").alias("record"))
+    cuts = F.udf(_cut_returns, "array<string>")
+    mended = mended.select("path", "block", "no", "sep", F.explode(cuts("record", "sep")).alias("record"))
+    return whole.unionByName(mended)
 
 
 def read_delimited_auto(spark: SparkSession, paths: Sequence[str], header: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
     """Delimited text whose delimiter and encoding are found per file (``paths``: files or directories).
 
-    Only names and dialects reach the driver; files of one dialect are read together. Quoted fields may
-    hold the delimiter, doubled quotes and line breaks. Blank lines are dropped. Files that are not UTF-8
-    as a whole are read as windows-1252. A file is checked as one value, so it must be below 2 GB.
+    Files are read in byte blocks by many tasks, also one file with quoted line breaks (:func:`csv_records`); no
+    name or dialect of a file reaches the driver. Quoted fields may hold the delimiter, doubled quotes and line
+    breaks; a line break is a line feed, a return, or both. Blank lines are dropped. Files that are not UTF-8 as a
+    whole are read as windows-1252. Only a UTF-16 file is taken as one value, and must be below 2 GB.
+    Without ``columns`` the names come from the first record of each delimiter (``header``) or are ``_c0, _c1, ...``.
     """
     ship(spark)
-    groups: dict[tuple[str, str], list[str]] = {}
-    for row in file_dialects(spark, paths).collect():
-        # Names are no patterns.
-        groups.setdefault((row["encoding"], row["sep"]), []).append(re.sub(r"([\\{}\[\]*?])", r"\\\1", row["path"]))
+    lines = stage(physical_lines(spark, paths), "lines")
+    found = stage(file_dialects(lines), "dialects")
+    met = lines.join(found, "path")
+    narrow = met.filter("encoding NOT LIKE 'UTF-16%'").select("path", "block", "seq", _decoded(F.col("line"), F.col("encoding")).alias("line"), "sep")
+    # A line feed byte is no line end in UTF-16, so such files are put together again before they are decoded.
+    wide = met.filter("encoding LIKE 'UTF-16%'").groupBy("path", "encoding", "sep").agg(F.array_sort(F.collect_list(F.struct("block", "seq", "line"))).alias("l"))
+    glue = F.aggregate(F.slice("l", 2, F.greatest(F.size("l"), F.lit(1))), F.get("l", F.lit(0))["line"], lambda a, x: F.concat(a, F.lit(bytearray(b"\n")), x["line"]))
+    wide = wide.select("path", F.lit(0).cast("long").alias("block"), F.posexplode(F.split(F.udf(_decoded_wide, "string")(glue, F.col("encoding")), "\n")).alias("seq", "line"), "sep")
+    records = csv_records(narrow.unionByName(wide.select("path", "block", F.col("seq").cast("long").alias("seq"), "line", "sep")))
+    records = records.withColumn("record", F.regexp_replace("record", "^\ufeff", "")).filter("record <> ''")
+    options = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
+    place = F.struct("path", "block", "no")
+    firsts = {r["sep"]: r["record"] for r in records.groupBy("sep").agg(F.min_by("record", place).alias("record")).collect()}  # one row per delimiter
     out = None
-    for (encoding, sep), members in sorted(groups.items()) or [(("UTF-8", ","), list(paths))]:
-        reader = spark.read.option("sep", sep).option("multiLine", True).option("quote", '"').option("escape", '"')
-        reader = reader.option("header", header).option("encoding", "ISO-8859-1" if encoding == "windows-1252" else encoding)
-        if columns is not None:
-            reader = reader.schema(", ".join(f"`{c}` string" for c in columns))
-        part = reader.csv(members)
-        first = part.columns[0]
-        part = part.withColumnRenamed(first, first.lstrip("\ufeff"))
-        fix = [F.regexp_replace(F.col(c), "^\ufeff", "").alias(c) if i == 0 else F.col(c) for i, c in enumerate(part.columns)]
-        if encoding == "windows-1252":
-            source = "".join(chr(c) for c in range(0x80, 0xA0))
-            fix = [F.translate(c, source, _CP1252).alias(n) for c, n in zip(fix, part.columns)]
-        part = part.select(*fix)
+    for sep, first in sorted(firsts.items()):
+        here = {**options, "sep": sep}
+        names = list(columns) if columns is not None else None
+        if names is None:
+            shape = spark.range(1).select(F.schema_of_csv(F.lit(first), {**here, "inferSchema": "false"}).alias("s")).first()["s"]
+            width = len(T._parse_datatype_string(shape).fields)
+            flat = ", ".join(f"_c{k} string" for k in range(width))
+            names = [f"_c{k}" for k in range(width)]
+            if header:
+                names = list(spark.range(1).select(F.from_csv(F.lit(first), flat, here).alias("r")).first()["r"])
+        part = records.filter(F.col("sep") == sep)
+        if header:
+            heads = part.groupBy("path").agg(F.min(place).alias("head"))
+            part = part.join(heads, "path").filter(place != F.col("head"))
+        fields = ", ".join(f"`{c}` string" for c in names)
+        part = part.select(F.from_csv("record", fields, here).alias("r")).select("r.*")
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        out = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in (columns or ["_c0"])))
     return out
 
 

@@ -1,5 +1,9 @@
 """Delimited files of several dialects in one folder."""
 
+import random
+
+import pytest
+
 from docframe.sources import files as FS
 
 
@@ -23,3 +27,70 @@ def test_every_file_of_a_folder_has_its_own_dialect(spark, tmp_path):
 def test_only_empty_files(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b"")
     assert FS.read_delimited_auto(spark, [str(tmp_path)], columns=["a", "b"]).collect() == []
+
+
+def plain_records(text, sep):
+    """Records and fields of a delimited text, one character at a time."""
+    rows, row, field, quoted, was = [], [], "", False, False
+    i = 0
+    while i < len(text):
+        c = text[i]
+        if quoted:
+            if c == '"' and text[i + 1 : i + 2] == '"':
+                field, i = field + '"', i + 1
+            elif c == '"':
+                quoted = False
+            else:
+                field += c
+        elif c == '"' and field == "" and not was:
+            quoted = was = True
+        elif c == sep:
+            row, field, was = [*row, field], "", False
+        elif c in "\r\n":
+            rows, row, field, was = [*rows, [*row, field]], [], "", False
+        else:
+            field += c
+        i += 1
+    rows.append([*row, field])
+    return [[f or None for f in r] for r in rows if r != [""]]
+
+
+@pytest.mark.parametrize("split", [64, 700, 1 << 20])
+def test_quoted_line_breaks_across_blocks(spark, tmp_path, split):
+    """A file cut at any place, inside quoted line breaks too, gives the records of one reading task."""
+    rng = random.Random(split)
+    fields = ["plain", 'say "hi"', "a;b", "two\nlines", "x\n\n;y\n" * 9, 'end"', "é€", 'mid"dle', "ret\rurn", "1"]
+    texts = {}
+    for name, end in (("unix", "\n"), ("dos", "\r\n"), ("mac", "\r")):
+        quoted = lambda f: '"' + f.replace('"', '""') + '"'
+        rows = [[rng.choice(fields) for _ in range(3)] for _ in range(150)]
+        texts[name] = end.join(";".join(f if f in ("plain", 'mid"dle', "1") else quoted(f) for f in r) for r in rows) + end * rng.randrange(3)
+        (tmp_path / f"{name}.csv").write_bytes(texts[name].encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = FS.read_delimited_auto(spark, [str(tmp_path)], columns=["a", "b", "c"]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = [tuple(r) for t in texts.values() for r in plain_records(t, ";")]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_all_bytes_of_windows_1252(spark, tmp_path):
+    rows = [(b, bytes([b])) for b in range(256) if b not in (0, 9, 10, 13, 34, 44, 59, 124)]
+    (tmp_path / "a.csv").write_bytes(b"\n".join(b"%d,<%s>" % r for r in rows))
+    got = {int(r.a): r.b[1:-1] for r in FS.read_delimited_auto(spark, [str(tmp_path)], columns=["a", "b"]).collect()}
+    assert got == {b: (c.decode("cp1252", errors="ignore") or chr(b)) for b, c in rows}
+
+
+def test_names_from_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'id,"first\nname"\n1,x\n')
+    (tmp_path / "b.csv").write_bytes(b'id,"first\nname"\n2,y\n')
+    (tmp_path / "c.csv").write_bytes("﻿id\tother\n3\tz\n".encode())
+    df = FS.read_delimited_auto(spark, [str(tmp_path)], header=True)
+    assert sorted(map(str, (r.asDict() for r in df.collect()))) == sorted(
+        map(str, [{"id": "3", "other": "z", "first\nname": None}, {"id": "1", "other": None, "first\nname": "x"}, {"id": "2", "other": None, "first\nname": "y"}])
+    )
+    assert FS.read_delimited_auto(spark, [str(tmp_path / "a.csv")]).columns == ["_c0", "_c1"]
