@@ -144,8 +144,9 @@ def admit_greedy(files: DataFrame, caps: Caps = Caps(), bucket_rows: int = BUCKE
 
     A file can only be taken if fewer than ``max_files`` earlier usable files are as small: with
     room for it there was room for each of those. Buckets of growing width keep just such files,
-    so the last step per batch sees a short list however large the batch is. No cap on files is
-    involved: every file that could be taken is kept.
+    as a rule a short list however large the batch is (all of them only where sizes keep falling). That list
+    streams through one task per batch, which remembers the files taken and nothing else. No cap on files
+    is involved: every file that could be taken is kept.
     """
     code = (
         F.when(~is_pdf("name"), "wrong-type")
@@ -186,18 +187,21 @@ def admit_greedy(files: DataFrame, caps: Caps = Caps(), bucket_rows: int = BUCKE
     )
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, cuts in whole_groups(batches, ["batch"]):
-            ords, sizes = pdf["ord"].tolist(), pdf["size"].tolist()
-            names, took = [], []
-            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                used, chosen = 0, []
-                for k in range(i, j):
-                    if len(chosen) < most and used + sizes[k] <= caps.total_bytes:
-                        used += sizes[k]
-                        chosen.append({"ord": ords[k], "size": sizes[k]})
-                names.append(pdf["batch"].iloc[i])
-                took.append(chosen)
-            yield pd.DataFrame({"batch": names, "took": took})
+        """One row per batch; files stream through, only what was taken is remembered."""
+        current, used, chosen = None, 0, []
+        for pdf in batches:
+            done = []
+            for batch, ord_, size in zip(pdf["batch"].tolist(), pdf["ord"].tolist(), pdf["size"].tolist()):
+                if batch != current:
+                    if current is not None:
+                        done.append((current, chosen))
+                    current, used, chosen = batch, 0, []
+                if len(chosen) < most and used + size <= caps.total_bytes:
+                    used += size
+                    chosen.append({"ord": ord_, "size": size})
+            yield pd.DataFrame(done, columns=["batch", "took"])
+        if current is not None:
+            yield pd.DataFrame([(current, chosen)], columns=["batch", "took"])
 
     # At most `max_files` entries per batch; kept because three steps below read them.
     chosen = stage(rest.repartition("batch").sortWithinPartitions("batch", "ord").mapInPandas(take, out), "chosen")

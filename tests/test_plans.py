@@ -285,3 +285,13 @@ def test_write_outputs(spark):
     out = fresh_path(spark, "w")
     FS.write_outputs(spark.createDataFrame([("a", 1), ("b", 2)], "output_name string, v int"), out)
     assert sorted(map(tuple, spark.read.parquet(out).select("output_name", "v").collect())) == [("a", 1), ("b", 2)]
+
+
+def test_admit_greedy_with_falling_sizes(spark):
+    """Every file is smaller than all before it, so none can be ruled out early."""
+    n = 3_000
+    files = [(o, "a.pdf", 10 * n - 7 * o) for o in range(n)]
+    caps = A.Caps(max_files=5, total_bytes=45_000)
+    df = spark.createDataFrame([("b", *f) for f in files] + [("c", *f) for f in files[::3]], "batch string, ord long, name string, size long")
+    got = {(r.batch, r.ord): r.status for r in A.admit_greedy(df, caps, bucket_rows=50).collect()}
+    assert got == {(b, o): s for b, some in (("b", files), ("c", files[::3])) for o, s in brute_greedy(some, caps).items()}
