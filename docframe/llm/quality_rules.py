@@ -1,17 +1,20 @@
 """Quality rules with risk-controlled cutoffs.
 
-Method: every document gets metrics that grow with badness, each put in one of ``BINS`` bins. On labelled
-documents, per stratum and metric, cutoffs are tried from the safest (highest bin) downwards: rejecting
-bins at or above a cutoff is allowed while the exact binomial tail ``P(Bin(n, alpha) <= k)``, for k of n
-good documents rejected, is at most ``delta / tests``. The scan stops at the first failure (fixed-sequence
-testing), so the correction counts strata times metrics. With probability ``1 - delta`` no stratum loses
-more than ``risk`` of its good documents, ``risk`` being shared evenly among the metrics.
+Method: every document gets metrics that grow with badness, each put in one of ``BINS`` bins. Labelled documents
+are split by a hash of their id. The fitting half orders documents: a score adds up, per metric, the log odds of
+low against good quality in the document's bin. The held-out half sets one cutoff of that score per stratum:
+cutoffs are tried from the worst score downwards, and rejecting from a cutoff on is allowed while the exact
+binomial tail ``P(Bin(n, risk) <= k)``, for k of n good held-out documents rejected, is at most ``delta``
+divided by the number of strata. The scan stops at the first failure (fixed-sequence testing), so neither the
+cutoffs nor the metrics divide ``risk``. With probability ``1 - delta`` no stratum loses more than ``risk`` of its
+good documents to the cutoffs, whatever the fitted order is worth; good documents lost to the fixed rules
+come on top and are not part of the guarantee. Scores at or below 0 speak for the document and are never rejected.
 
 Fixed rules come first: fewer than 20 words, or over 30 % of words in repeated 8-word windows, always fail.
 
 Edge cases: null and empty texts have no words and fail; a null stratum is a stratum; labels that are null
-or have a null id are not used, and several labels of one id count as good only if all are; strata without
-labels reject nothing by cutoffs; empty tables give an empty result.
+or have a null id are not used, and several labels of one id count as good only if all are; strata without enough
+held-out labels reject nothing by cutoffs; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 BINS = 64
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks", "n_bars")
+STEPS, STEPS_PER_UNIT = 256, 16
+"""Bins of the score above 0, and how many make up one unit of log odds."""
 METRICS = ("symbols", "duplicate lines", "repeats", "capitals", "marks", "bars", "short words", "long words")
 _MEMBER = {b: np.isin(np.arange(256), np.frombuffer(b, np.uint8)) for b in (SYMBOLS, bytes(range(65, 91)), b"!", b"|")}
 
@@ -109,28 +114,44 @@ def metric_bins() -> dict[str, object]:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(Bin(n, p) <= k), exact."""
+    """P(Bin(n, p) <= k): all terms from the largest on, until they no longer change the sum."""
     if n <= 0 or k >= n:
         return 1.0
-    logs = [
-        math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
-        for i in range(max(0, k - 2000), k + 1)
-    ]
-    top = max(logs)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
-
-
-def safe_cutoff(good: np.ndarray, alpha: float, level: float) -> int:
-    """Smallest cutoff that fixed-sequence testing allows; ``good[b]`` good documents are in bin b."""
-    n, k, cutoff = int(good.sum()), 0, BINS
-    for b in range(BINS - 1, 0, -1):
+    top = min(k, int((n + 1) * p))
+    peak = math.lgamma(n + 1) - math.lgamma(top + 1) - math.lgamma(n - top + 1) + top * math.log(p) + (n - top) * math.log1p(-p)
+    odds, terms = p / (1 - p), [1.0]
+    term, i = 1.0, top
+    while i > 0 and term > 1e-20:
+        term *= i / ((n - i + 1) * odds)
+        i -= 1
+        terms.append(term)
+    term, i = 1.0, top
+    while i < k and term > 1e-20:
+        term *= (n - i) * odds / (i + 1)
+        i += 1
+        terms.append(term)
+    return min(1.0, math.exp(peak) * math.fsum(terms))
+
+
+def safe_cutoff(good: np.ndarray, risk: float, level: float) -> int:
+    """Smallest cutoff that fixed-sequence testing allows; ``good[b]`` good documents have score bin b."""
+    n, k, cutoff = int(good.sum()), 0, len(good)
+    for b in range(len(good) - 1, -1, -1):
         k += int(good[b])
-        if k > alpha * n or binomial_tail(k, n, alpha) > level:
+        if k > risk * n or binomial_tail(k, n, risk) > level:
             break
         cutoff = b
     return cutoff
 
 
+def log_odds(good: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Log odds of low against good quality per (metric, bin), from counts; 0 where either kind is missing."""
+    if not good.any() or not low.any():
+        return np.zeros(good.shape)
+    share = lambda n: (n + 0.5) / (n.sum(axis=1, keepdims=True) + 0.5 * BINS)
+    return np.log(share(low)) - np.log(share(good))
+
+
 def judge(
     docs: DataFrame,
     labels: DataFrame,
@@ -152,24 +173,29 @@ def judge(
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     rows = counted.withColumn("base_failed", failed).withColumns({f"__m{i}": metric_bins()[m] for i, m in enumerate(METRICS)})
 
-    good = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-    good = good.groupBy(F.col("doc_id").cast("long").alias(doc_id)).agg(F.min("quality").alias("__q")).filter("__q = 1")
+    judged = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+    judged = judged.groupBy(F.col("doc_id").cast("long").alias(doc_id)).agg(F.min("quality").alias("__q"))
+    fitting = F.pmod(F.xxhash64(doc_id, F.lit("fit")), F.lit(2)) == 0
+    known = stage(rows.filter(~F.col("base_failed")).join(judged, doc_id).select("__s", "__q", fitting.alias("__fit"), *[f"__m{i}" for i in range(len(METRICS))]), "labelled")
     bins = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(f"__m{i}").alias("b")) for i in range(len(METRICS))]))
-    held = rows.filter(~F.col("base_failed")).join(good, doc_id).select("__s", bins.alias("x"))
-    histogram = held.groupBy("__s", "x.m", "x.b").agg(F.count(F.lit(1)).alias("n"))
-    tests = max(1, counted.select("__s").distinct().count() * len(METRICS))
-    alpha, level = risk / len(METRICS), delta / tests
+    counts = np.zeros((2, len(METRICS), BINS))
+    for r in known.filter("__fit").select((F.col("__q") == 1).cast("int").alias("q"), bins.alias("x")).groupBy("q", "x.m", "x.b").count().collect():
+        counts[r["q"], r["m"], r["b"]] = r["count"]
+    odds = log_odds(counts[1], counts[0])
+    score = F.lit(0.0)
+    for i in range(len(METRICS)):
+        score = score + F.get(F.array(*[F.lit(float(x)) for x in odds[i]]), F.col(f"__m{i}"))
+    # Only scores above 0 can be rejected: bin 0 starts there, and lower ones are bin -1.
+    step = F.least(F.lit(STEPS - 1), F.floor(score * STEPS_PER_UNIT)).cast("int")
+    score_bin = F.when(score > 0, step).otherwise(F.lit(-1))
+    held = known.filter("NOT __fit AND __q = 1").select("__s", score_bin.alias("b")).groupBy("__s", "b").agg(F.count(F.lit(1)).alias("n"))
+    level = delta / max(1, counted.select("__s").distinct().count())
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        cuts = []
-        for i in range(len(METRICS)):
-            own = pdf[pdf["m"] == i]
-            cuts.append(safe_cutoff(np.bincount(own["b"], weights=own["n"], minlength=BINS), alpha, level))
-        return pd.DataFrame({"__k": [pdf["__s"].iloc[0]], "__cuts": [cuts]})
-
-    cutoffs = histogram.groupBy("__s").applyInPandas(decide, "__k string, __cuts array<int>")
-    beyond = F.lit(False)
-    for i in range(len(METRICS)):
-        beyond = beyond | (F.col(f"__m{i}") >= F.coalesce(F.get("__cuts", F.lit(i)), F.lit(BINS)))
-    out = rows.join(cutoffs, F.col("__s").eqNullSafe(F.col("__k")), "left")
+        own = np.bincount(pdf["b"] + 1, weights=pdf["n"], minlength=STEPS + 1)
+        return pd.DataFrame({"__k": [pdf["__s"].iloc[0]], "__cut": [max(0, safe_cutoff(own, risk, level) - 1)]})
+
+    cutoffs = held.groupBy("__s").applyInPandas(decide, "__k string, __cut int")
+    out = rows.withColumn("__b", score_bin).join(cutoffs, F.col("__s").eqNullSafe(F.col("__k")), "left")
+    beyond = F.col("__b") >= F.coalesce("__cut", F.lit(STEPS))
     return out.select(doc_id, F.col("__s").alias(stratum), *COUNTS, "base_failed", (~F.col("base_failed") & ~beyond).alias("kept"))
