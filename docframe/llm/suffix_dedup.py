@@ -39,14 +39,14 @@ from docframe.llm.arrays import mix, owners, signed, text_slices
 from docframe.llm.keys import id_of
 from docframe.plans.stage import release, stage
 
-BUCKET_ROWS = 1 << 18
+BUCKET_ROWS = 1 << 17
 MOST_BUCKETS = 1 << 18
 SAMPLE = 200_000
 THIN = 8
 """Of a sampled document every so many suffixes enter the sample."""
 _LOW = np.uint64(0xFFFFFFFF)
-SLICE_BYTES = 500_000
-BLOCK = 400_000
+SLICE_BYTES = 250_000
+BLOCK = 150_000
 """Suffixes that a task holds before it deals them out, a row per bucket."""
 NAMES = ["t1", "t2", "id", "tag", "at"]
 SUFFIXES = ", ".join(f"{x} long" for x in NAMES)
