@@ -105,6 +105,40 @@ def value_domain(points: DataFrame, mode: str = "clustered") -> DataFrame:
     )
 
 
+def chart_domain(points: DataFrame, groups: DataFrame) -> DataFrame:
+    """``chart, min, max, percent`` over all groups of a chart, e.g. stacked columns under a line.
+
+    ``points`` also name their group (``chart, grp, idx, value``); ``groups`` holds ``chart, grp, grouping``
+    (``clustered``, ``stacked`` or ``percentStacked``; a group that is not listed is clustered). Every group
+    is measured by its own grouping and the chart takes the widest range, always with 0. ``percent`` is true
+    if any group is stacked to 100 percent.
+    """
+    v = finite("value")
+    per_cat = points.groupBy("chart", "grp", "idx").agg(
+        F.min(v).alias("lo"), F.max(v).alias("hi"),
+        F.sum(F.when(v >= 0, v).otherwise(0.0)).alias("up"), F.sum(F.when(v < 0, v).otherwise(0.0)).alias("down"),
+    )
+    whole = F.when(F.col("up") > F.col("down"), F.col("up") - F.col("down")).otherwise(1.0)
+    percent, stacked = F.col("grouping") == "percentStacked", F.col("grouping") == "stacked"
+    known = groups.select("chart", "grp", "grouping").distinct()
+    low = F.when(percent, F.col("down") / whole * 100).when(stacked, F.col("down")).otherwise(F.col("lo"))
+    high = F.when(percent, F.col("up") / whole * 100).when(stacked, F.col("up")).otherwise(F.col("hi"))
+    return (
+        per_cat.join(known, ["chart", "grp"], "left")
+        .groupBy("chart")
+        .agg(
+            F.least(F.lit(0.0), F.min(low)).alias("min"), F.greatest(F.lit(0.0), F.max(high)).alias("max"),
+            F.coalesce(F.bool_or(percent), F.lit(False)).alias("percent"),
+        )
+    )
+
+
+def chart_scale(points: DataFrame, groups: DataFrame, ticks: int = 5) -> DataFrame:
+    """``chart, scale`` of a chart's value axis: the fixed one for percentages, else a round one."""
+    domain = chart_domain(points, groups)
+    return domain.select("chart", F.when(F.col("percent"), percent_scale()).otherwise(nice_scale("min", "max", ticks)).alias("scale"))
+
+
 def x_domain(points: DataFrame, x: str = "x") -> DataFrame:
     """Scatter range per chart: x values with 0 included below, or ``0..n`` when there is none."""
     agg = points.groupBy("chart").agg(F.min(x).alias("lo"), F.max(x).alias("hi"), (F.max("idx") + 1).alias("n"))

@@ -26,6 +26,47 @@ def _densify(f: Fixtures):
     return S.densify_series(points, declared)
 
 
+_MONTHLY = """
+monthly AS (SELECT p_brand AS chart, p_partkey AS series_idx, p_name AS series,
+    CAST((year(l_shipdate) - 1992) * 12 + month(l_shipdate) - 1 AS BIGINT) AS idx, CAST(sum(l_quantity) AS DOUBLE) AS value
+  FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL)
+"""
+
+
+@query(
+    "densify_monthly",
+    """SELECT h.chart, h.series_idx, h.series, g.idx, m.value
+       FROM (SELECT chart, series_idx, series, max(idx) AS last FROM monthly GROUP BY ALL) h, LATERAL (SELECT unnest(range(0, h.last + 1)) AS idx) g
+       LEFT JOIN monthly m ON m.series_idx = h.series_idx AND m.idx = g.idx""",
+    _MONTHLY,
+)
+def _densify_monthly(f: Fixtures):
+    """Quantities by part and month; most parts sell in some months only, so most series have inner gaps."""
+    sold = f.t("lineitem").groupBy(
+        F.col("l_partkey").alias("p_partkey"), ((F.year("l_shipdate") - 1992) * 12 + F.month("l_shipdate") - 1).cast("long").alias("idx")
+    ).agg(F.sum("l_quantity").cast("double").alias("value"))
+    points = sold.join(f.t("part"), "p_partkey").select(
+        F.col("p_brand").alias("chart"), F.col("p_partkey").alias("series_idx"), F.col("p_name").alias("series"), "idx", "value"
+    )
+    return S.densify_series(points)
+
+
+_NAMED = "named AS (SELECT DISTINCT chart, idx, category FROM chart_points WHERE chart < 'B')"
+
+
+@query(
+    "category_names",
+    """SELECT chart, CAST(idx AS BIGINT) AS idx, category FROM named
+       UNION ALL SELECT c.chart, g.idx, CAST(g.idx + 1 AS VARCHAR)
+       FROM (SELECT chart, max(idx) AS last FROM chart_points WHERE chart >= 'B' GROUP BY chart) c, LATERAL (SELECT unnest(range(0, c.last + 1)) AS idx) g""",
+    _NAMED,
+)
+def _category_names(f: Fixtures):
+    """The charts of three regions name their years, those of the others name nothing."""
+    points = f.chart_points()
+    return S.category_names(points, points.filter("chart < 'B'").select("chart", "idx", "category").distinct())
+
+
 _STATUSES = ["F", "O", "P"]
 
 
@@ -125,6 +166,60 @@ def _domain(f: Fixtures):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+_GROUPED = """
+grouped AS (SELECT *, series_idx % 3 AS grp, CASE WHEN series_idx % 3 = 0 THEN 'stacked' WHEN series_idx % 3 = 2 AND chart > 'B' THEN 'percentStacked'
+    WHEN series_idx % 3 = 2 THEN 'stacked' ELSE 'clustered' END AS grouping FROM chart_points),
+grouped_cat AS (SELECT chart, grp, grouping, idx, min(value) AS lo, max(value) AS hi, sum(CASE WHEN value >= 0 THEN value ELSE 0 END) AS up,
+    sum(CASE WHEN value < 0 THEN value ELSE 0 END) AS down FROM grouped GROUP BY ALL),
+whole_chart AS (SELECT chart, least(0, min(CASE grouping WHEN 'clustered' THEN lo WHEN 'stacked' THEN down ELSE down / (up - down) * 100 END)) AS lo,
+    greatest(0, max(CASE grouping WHEN 'clustered' THEN hi WHEN 'stacked' THEN up ELSE up / (up - down) * 100 END)) AS hi,
+    bool_or(grouping = 'percentStacked') AS percent FROM grouped_cat GROUP BY chart)
+"""
+
+
+def _groups(f: Fixtures):
+    """Nations dealt to stacked columns, a line and areas; the areas of two regions are stacked to 100 percent."""
+    points = f.chart_points().withColumn("grp", F.col("series_idx") % 3)
+    grouping = F.when(F.col("grp") == 0, "stacked").when(F.col("grp") == 1, "clustered")
+    grouping = grouping.when(F.col("chart") > "B", "percentStacked").otherwise("stacked")
+    return points, points.select("chart", "grp", grouping.alias("grouping")).distinct()
+
+
+@query(
+    "chart_domain",
+    """SELECT chart, round(lo, 2) AS "min", round(hi, 2) AS "max", percent FROM whole_chart""",
+    _GROUPED,
+)
+def _chart_domain(f: Fixtures):
+    return S.chart_domain(*_groups(f)).select("chart", F.round("min", 2).alias("min"), F.round("max", 2).alias("max"), "percent")
+
+
+@query(
+    "chart_scale",
+    """SELECT chart, CASE WHEN percent THEN 0 ELSE floor(lo / step) * step END AS "min", CASE WHEN percent THEN 100 ELSE ceil(hi / step) * step END AS "max",
+              CASE WHEN percent THEN 20 ELSE step END AS step, CASE WHEN percent THEN 6 ELSE CAST(ceil(hi / step) - floor(lo / step) + 1 AS BIGINT) END AS n_ticks
+       FROM (SELECT *, CASE WHEN r / m > 5 THEN 10 WHEN r / m > 2 THEN 5 WHEN r / m > 1 THEN 2 ELSE 1 END * m AS step
+             FROM (SELECT *, (hi - lo) / 5 AS r, pow(10.0, floor(log10((hi - lo) / 5))) AS m FROM whole_chart))""",
+    _GROUPED,
+)
+def _chart_scale(f: Fixtures):
+    return S.chart_scale(*_groups(f)).select(
+        "chart", "scale.min", "scale.max", "scale.step", F.size("scale.ticks").cast("long").alias("n_ticks")
+    )
+
+
+@query(
+    "x_domain",
+    """SELECT chart, round(least(0, coalesce(min(x), 0)), 4) AS "min", round(coalesce(max(x), max(c_custkey) + 1), 4) AS "max" FROM (
+         SELECT c_mktsegment AS chart, c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' AND c_acctbal <> 0 THEN CAST(c_acctbal AS DOUBLE) END AS x FROM customer) GROUP BY chart""",
+)
+def _x_domain(f: Fixtures):
+    """Customers as points of a scatter chart per segment; one segment gives no x values."""
+    x = F.when((F.col("c_mktsegment") != "BUILDING") & (F.col("c_acctbal") != 0), F.col("c_acctbal").cast("double"))
+    points = f.t("customer").select(F.col("c_mktsegment").alias("chart"), F.col("c_custkey").alias("idx"), x.alias("x"))
+    return S.x_domain(points).select("chart", F.round("min", 4).alias("min"), F.round("max", 4).alias("max"))
+
+
 _NICE = """
 bounds AS (SELECT chart, least(0, min(value)) AS lo, greatest(0, max(value)) AS hi FROM chart_points GROUP BY chart),
 rough AS (SELECT *, (hi - lo) / 5 AS r FROM bounds),
