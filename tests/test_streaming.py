@@ -67,28 +67,72 @@ def test_job_status_stream_matches_batch(spark, events):
     assert got == want and len(got) > 50
 
 
-def test_attach_error_stream_matches_batch(spark, events):
-    f = Fixtures(spark, SF)
-    ttl = 14_400
-    r = f.responses().withColumn("ts", F.col("ts").cast("timestamp"))
-    e = f.errors().withColumn("ts", F.col("ts").cast("timestamp"))
-    # A flush row per side lets the outer join settle every response.
+@pytest.fixture
+def rocksdb(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(key, before)
+
+
+def attached(spark, r, e, ttl, name):
+    """The stream's result; two late rows per side move the watermark past every response."""
     r_path, e_path = as_files(r, "resp"), as_files(e, "err")
     for year in ("2030", "2031"):
         spark.sql(f"SELECT CAST(-1 AS BIGINT) source, CAST(-{year} AS BIGINT) response_id, TIMESTAMP'{year}-01-01' ts").write.mode("append").parquet(r_path)
         spark.sql(f"SELECT CAST(-2 AS BIGINT) source, CAST(-{year} AS BIGINT) error_id, TIMESTAMP'{year}-01-01' ts, 'x' message").write.mode("append").parquet(e_path)
-    pairs = drain(SJ.attach_error_stream(stream(spark, r_path, r.schema), stream(spark, e_path, e.schema), ttl), "pairs_out", "append")
-    got = SJ.settle_errors(pairs.filter("source >= 0")).select("source", "response_id", "error_id", "message")
-    want = J.attach_error(r, e, ttl).select("source", "response_id", "error_id", "message")
+        time.sleep(1.1)
+    out = drain(SJ.attach_error_stream(stream(spark, r_path, r.schema), stream(spark, e_path, e.schema), ttl), name, "append")
+    return out.filter("source >= 0")
+
+
+_ATTACHED = ["source", "response_id", "ts", "error_id", "message"]
+
+
+def test_attach_error_stream_matches_batch(spark, rocksdb):
+    f = Fixtures(spark, SF)
+    ttl = 14_400
+    r = f.responses().withColumn("ts", F.col("ts").cast("timestamp"))
+    e = f.errors().withColumn("ts", F.col("ts").cast("timestamp"))
+    got = attached(spark, r, e, ttl, "attached_out").select(*_ATTACHED)
+    want = J.attach_error(r, e, ttl).select(*_ATTACHED)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert want.filter("error_id IS NOT NULL").count() > 5
 
 
-def test_job_progress_stream_matches_batch(spark, events):
+def test_an_error_is_taken_once_across_buckets(spark, rocksdb):
+    """One source; ties, errors just before a bucket's end, repeated errors and two responses to one error."""
+    at = "2024-01-01 00:00:{:06.3f}".format
+    errors = [(1, 1, at(4.9), "a"), (1, 2, at(9.0), "b"), (1, 3, at(9.5), None), (1, 4, at(20.0), "d"), (1, 5, at(30.0), "e"), (2, 6, at(5.0), "f")]
+    responses = [(1, 1, at(5.1)), (1, 2, at(5.2)), (1, 3, at(12.0)), (1, 4, at(25.0)), (1, 5, at(25.0)), (1, 6, at(35.001)), (2, 7, at(5.0))]
+    e = spark.createDataFrame(errors, "source long, error_id long, ts string, message string").withColumn("ts", F.col("ts").cast("timestamp"))
+    r = spark.createDataFrame(responses, "source long, response_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = attached(spark, r, e, 5.0, "once_out").select(*_ATTACHED).collect()
+    assert {x.response_id: x.error_id for x in got} == {1: 1, 2: None, 3: 3, 4: 4, 5: None, 6: None, 7: 6}
+    assert sorted(map(str, got)) == sorted(map(str, J.attach_error(r, e, 5.0).select(*_ATTACHED).collect()))
+
+
+def test_job_progress_stream_matches_batch(spark, events, rocksdb):
     path = as_files(events, "prog")
-    out = drain(SJ.job_progress_stream(stream(spark, path, events.schema)), "progress_out", "update")
+    late = events.filter("kind = 'progress'").limit(1).withColumn("job_id", F.lit(-1).cast("long"))
+    for year in (2030, 2031):
+        late.withColumn("ts", F.expr(f"TIMESTAMP'{year}-01-01'")).select(*events.columns).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    df = SJ.job_progress_stream(stream(spark, path, events.schema), quiet=86_400)
+    q = (
+        df.writeStream.format("memory").queryName("progress_out").outputMode("update")
+        .option("checkpointLocation", fresh_path(spark, "ckpt")).trigger(availableNow=True).start()
+    )
+    q.awaitTermination(180)
+    assert q.exception() is None
+    seen = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
+    sink = spark.table("progress_out")
+    out = spark.createDataFrame(sink.collect(), sink.schema).filter("job_id >= 0")
     latest = out.groupBy("job_id").agg(F.max(F.struct("ts", "completed")).alias("p")).select("job_id", "p.*")
     assert sorted(map(str, latest.collect())) == sorted(map(str, J.job_progress(events).select("job_id", "ts", "completed").collect()))
+    # Only the late job is left; the state of all others is gone.
+    assert max(seen) > seen[-1] and seen[-1] <= 2, seen
 
 
 def test_terminal_before_the_start_is_ignored(spark):
