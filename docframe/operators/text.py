@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docframe.functions.js import NOT_WS, WS, collapse, first_or_empty, let, nfc, nfkd, stem, trim
+from docframe.functions.refs import parse_range
 
 # Reference limits.
 SNIPPET = 360
@@ -260,6 +261,24 @@ def extract_links(df: DataFrame, html: str = "html") -> DataFrame:
     )
 
 
+def cell_links(cells: DataFrame, links: DataFrame, rels: DataFrame) -> DataFrame:
+    """Web and mail links of sheet cells: ``sheet, row, col, href``.
+
+    ``links``: ``sheet, ord, ref, rel_id``; ``rels``: ``sheet, rel_id, target, external``, one row per id. A link
+    belongs to the first cell of its range; links to missing cells, inner targets and other schemes are dropped. Of
+    several links of one cell the last allowed one stays.
+    """
+    allowed = rels.filter(F.col("external") & F.col("target").rlike(_SAFE_LINK)).select("sheet", "rel_id", "target")
+    placed = links.select("sheet", "ord", "rel_id", parse_range(F.col("ref")).alias("r")).filter("r IS NOT NULL")
+    chosen = (
+        placed.join(allowed, ["sheet", "rel_id"])
+        .groupBy("sheet", F.col("r.r1").alias("row"), F.col("r.c1").alias("col"))
+        .agg(F.max(F.struct("ord", "target")).alias("last"))
+        .select("sheet", "row", "col", F.col("last.target").alias("href"))
+    )
+    return chosen.join(cells.select("sheet", "row", "col"), ["sheet", "row", "col"], "left_semi")
+
+
 # -- catalogue ---------------------------------------------------------------------------------
 
 

@@ -44,6 +44,25 @@ def _sniff(f: Fixtures):
     )
 
 
+@query(
+    "sniff_files",
+    """SELECT doc_id, least(65536, strlen(text) + 1 + CASE doc_id % 6 WHEN 0 THEN 4 WHEN 1 THEN 4 WHEN 2 THEN 36 WHEN 3 THEN 33 WHEN 4 THEN doc_id % 1200 + 8 ELSE 0 END) AS n_head,
+              CASE WHEN doc_id % 5 = 0 THEN CASE WHEN doc_id % 6 < 4 THEN 'wrong-type' END
+                WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 6 = 2 THEN 'encrypted' WHEN doc_id % 6 IN (1, 3) THEN 'legacy-format' ELSE 'damaged-file' END AS excel,
+              doc_id % 6 = 4 AND doc_id % 1200 <= 1019 AS pdf FROM documents""",
+)
+def _sniff_files(f: Fixtures):
+    """Every document written as a file of its own; only the heads of the files are read back."""
+    out = fresh_path(f.spark, "files")
+    named = F.concat(F.lit("doc-"), F.col("doc_id"), F.regexp_extract("name", r"\.\w+$", 0))
+    _payloads(f).select(named.alias("name"), F.col("content").cast("string").alias("value")).write.partitionBy("name").text(out)
+    name = F.regexp_extract("path", "name=([^/]+)", 1)
+    return S.read_heads(f.spark, out).select(
+        F.regexp_extract(name, "[0-9]+", 0).cast("long").alias("doc_id"), F.octet_length("head").cast("long").alias("n_head"),
+        S.sniff_magic(name, F.col("head"), "excel").alias("excel"), S.has_pdf_header(F.col("head")).alias("pdf"),
+    )
+
+
 @query(
     "read_delimited_auto",
     """SELECT c_custkey, concat(c_name, '; "', c_mktsegment, '"') AS label, c_acctbal FROM customer WHERE c_custkey % 2 = 0

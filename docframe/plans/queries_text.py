@@ -177,6 +177,36 @@ def _links(f: Fixtures):
     return X.extract_links(pages)
 
 
+@query(
+    "cell_links",
+    """SELECT sheet, "row", CAST(col AS BIGINT) AS col, arg_max(target, ord) AS href FROM (
+         SELECT l.sheet, l."row", l.col, l.ord, r.target FROM (
+           SELECT sheet, "row", CASE "row" % 4 WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 1 ELSE 26 END AS col, "row" AS ord, l_partkey FROM sheet_rows
+           UNION ALL SELECT sheet, "row" - 1, 5, 1000000 + "row", l_partkey FROM sheet_rows WHERE "row" % 20 IN (1, 2)) l
+         JOIN (SELECT DISTINCT l_partkey, CASE l_partkey % 3 WHEN 0 THEN concat('https://parts.example/', l_partkey)
+                 WHEN 1 THEN concat('MAILTO:part', l_partkey, '@parts.example') ELSE concat('ftp://parts.example/', l_partkey) END AS target,
+                 l_partkey % 7 <> 0 AS external FROM sheet_rows) r USING (l_partkey)
+         WHERE r.external AND r.l_partkey % 3 < 2 AND l.col <= 5 AND l."row" > 0) GROUP BY ALL""",
+)
+def _cell_links(f: Fixtures):
+    """One link per row of a sheet, some to a missing cell, and later links to cells that may have one."""
+    rows = f.sheet_rows()
+    rel = F.concat(F.lit("rId"), "l_partkey")
+    r = F.col("row").cast("string")
+    ref = F.when(F.col("row") % 4 == 0, F.concat(F.lit("e"), r)).when(F.col("row") % 4 == 1, F.concat(F.lit("$E$"), r, F.lit(":D"), r))
+    ref = ref.when(F.col("row") % 4 == 2, F.concat(F.lit("'Sheet'!A"), r)).otherwise(F.concat(F.lit("Z"), r))
+    one = rows.select("sheet", F.col("row").cast("long").alias("ord"), ref.alias("ref"), rel.alias("rel_id"))
+    again = rows.filter((F.col("row") % 20).isin(1, 2)).select(
+        "sheet", (F.col("row") + 1_000_000).alias("ord"), F.concat(F.lit("E"), (F.col("row") - 1).cast("string")).alias("ref"), rel.alias("rel_id")
+    )
+    key = F.col("l_partkey")
+    target = F.when(key % 3 == 0, F.concat(F.lit("https://parts.example/"), key)).when(
+        key % 3 == 1, F.concat(F.lit("MAILTO:part"), key, F.lit("@parts.example"))
+    ).otherwise(F.concat(F.lit("ftp://parts.example/"), key))
+    rels = rows.select("sheet", rel.alias("rel_id"), target.alias("target"), (key % 7 != 0).alias("external")).distinct()
+    return X.cell_links(f.cells(), one.unionByName(again), rels)
+
+
 _HIT = """lower(concat_ws(' ', title, description, grp, keywords)) LIKE '%red%'
           AND lower(concat_ws(' ', title, description, grp, keywords)) LIKE '%o%'"""
 

@@ -94,3 +94,12 @@ def test_names_from_headers(spark, tmp_path):
         map(str, [{"id": "3", "other": "z", "first\nname": None}, {"id": "1", "other": None, "first\nname": "x"}, {"id": "2", "other": None, "first\nname": "y"}])
     )
     assert FS.read_delimited_auto(spark, [str(tmp_path / "a.csv")]).columns == ["_c0", "_c1"]
+
+
+def test_only_heads_are_read(spark, tmp_path):
+    for name, size in (("a.pdf", 200_000), ("b c%20.xlsx", 10), ("sub/d.csv", 0)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes((b"%PDF-1.7" + bytes(range(256)) * 800)[:size])
+    rows = {r.path.rsplit("/", 1)[1]: r for r in FS.read_heads(spark, str(tmp_path)).collect()}
+    assert {k: (r.length, len(r.head)) for k, r in rows.items()} == {"a.pdf": (200_000, 65_536), "b c%20.xlsx": (10, 10), "d.csv": (0, 0)}
+    assert [r.head for r in FS.read_heads(spark, str(tmp_path), "*.pdf", head=5).collect()] == [b"%PDF-"]

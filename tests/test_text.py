@@ -99,3 +99,18 @@ def test_script_profile_and_ranges(spark):
     docs = spark.createDataFrame([(1, "xyz"), (2, "\U0001f600")], "doc_id long, text string")
     hit = X.coverage_join(X.code_points(docs), X.parse_unicode_ranges(faces))
     assert sorted(map(tuple, hit.collect())) == [(1, "b"), (2, "a"), (2, "b")]
+
+
+def test_links_of_cells(spark):
+    cells = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, 1), (2, 1, 1)], "sheet int, row long, col long")
+    links = spark.createDataFrame(
+        [(1, 1, "A1", "a"), (1, 2, "$B$2:C9", "b"), (1, 3, "A1", "c"), (1, 4, "A1", "d"), (1, 5, "Q9", "a"), (1, 6, "A3", "e"), (1, 7, "?", "a"),
+         (2, 1, "A1", "a"), (2, 2, None, "a")],
+        "sheet int, ord int, ref string, rel_id string",
+    )
+    rels = spark.createDataFrame(
+        [(1, "a", "https://one", True), (1, "b", "MailTo:x@y", True), (1, "c", "http://two", True), (1, "d", "javascript:1", True), (1, "e", "https://in", False)],
+        "sheet int, rel_id string, target string, external boolean",
+    )
+    got = sorted(tuple(r) for r in X.cell_links(cells, links, rels).collect())
+    assert got == [(1, 1, 1, "http://two"), (1, 2, 2, "MailTo:x@y")]
