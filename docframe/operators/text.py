@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,9 @@ MIN_BOX_SIDE = 0.004
 PASSWORD_MIN, PASSWORD_MAX = 8, 128
 MAX_NAME = 90
 
+LINES_AT_ONCE = 256
+_WORD = re.compile(NOT_WS + "+")
+
 
 # -- comparison --------------------------------------------------------------------------------
 
@@ -477,69 +483,68 @@ def clean_boxes(boxes: DataFrame) -> DataFrame:
     ).filter((F.col("right") - F.col("left") >= MIN_BOX_SIDE) & (F.col("bottom") - F.col("top") >= MIN_BOX_SIDE))
 
 
-def covered_spans(pages: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Columns under boxes per line: ``doc_id, page_no, line_no, spans array<struct<c1, c2>>``.
+def _masked(text: str, left: np.ndarray, top: np.ndarray, right: np.ndarray, bottom: np.ndarray, mask: str) -> tuple[str, int]:
+    """One page with the words under its boxes masked, and how many.
 
-    A box becomes the lines it touches and whole columns ``c1 .. c2 - 1`` there. Boxes that start in
-    the same column keep the widest, so a line has at most as many spans as the page has columns,
-    however many boxes lie on it.
+    A box becomes whole columns of the lines it touches. Lines lie one behind another on one axis, so overlapping
+    spans merge in one ordered pass and every word looks up the last span that starts before its end.
     """
-    lines = F.split("text", "\n", -1)
-    sizes = pages.select(
-        "doc_id", "page_no", F.size(lines).alias("n_lines"),
-        F.greatest(F.lit(1), F.array_max(F.transform(lines, lambda s: F.length(s)))).alias("n_cols"),
-    )
-    n = F.col("n_lines")
-    touched = (
-        clean_boxes(boxes)
-        .join(sizes, ["doc_id", "page_no"])
-        .withColumn(
-            "line_no",
-            F.explode(
-                F.sequence(
-                    F.least(n, F.floor(F.col("top") * n) + 1).cast("int"),
-                    F.least(n, F.floor(F.col("bottom") * n) + 1).cast("int"),
-                )
-            ),
-        )
-        .filter((F.col("top") < F.col("line_no") / n) & (F.col("bottom") > (F.col("line_no") - 1) / n))
-    )
-    keys = ["doc_id", "page_no", "line_no"]
-    widest = touched.groupBy(*keys, F.floor(F.col("left") * F.col("n_cols")).alias("c1")).agg(
-        F.max(F.ceil(F.col("right") * F.col("n_cols"))).alias("c2")
-    )
-    return widest.groupBy(*keys).agg(F.collect_list(F.struct("c1", "c2")).alias("spans"))
+    lines = text.split("\n")
+    n, width = len(lines), max(1, *map(len, lines))
+    first = np.minimum(n, np.floor(top * n).astype(np.int64) + 1)
+    last = np.minimum(n, np.floor(bottom * n).astype(np.int64) + 1)
+    c1, c2 = np.floor(left * width).astype(np.int64), np.ceil(right * width).astype(np.int64)
+    step = width + 1
+    done, total = [], 0
+    for low in range(1, n + 1, LINES_AT_ONCE):
+        high = min(n, low + LINES_AT_ONCE - 1)
+        box = np.flatnonzero((first <= high) & (last >= low))
+        begin = np.maximum(first[box], low)
+        count = np.minimum(last[box], high) - begin + 1
+        line = np.arange(count.sum()) + np.repeat(begin - np.cumsum(count) + count, count)
+        box = np.repeat(box, count)
+        real = (top[box] < line / n) & (bottom[box] > (line - 1) / n)
+        box, line = box[real], line[real]
+        starts, ends = line * step + c1[box], line * step + c2[box]
+        order = np.argsort(starts, kind="stable")
+        starts, ends = starts[order], np.maximum.accumulate(ends[order]) if len(order) else ends
+        opens = np.flatnonzero(np.concatenate(([True], starts[1:] > ends[:-1]))) if len(order) else order
+        starts, ends = starts[opens], np.append(ends[opens[1:] - 1], ends[-1:])
+        words = [[(m.start(), m.group()) for m in _WORD.finditer(s)] for s in lines[low - 1 : high]]
+        at = np.array([(low + i) * step + x for i, ws in enumerate(words) for x, _ in ws], dtype=np.int64)
+        size = np.array([len(w) for ws in words for _, w in ws], dtype=np.int64)
+        span = np.searchsorted(starts, at + size, side="left") - 1
+        gone = (span >= 0) & (np.append(ends, 0)[span] > at)
+        total += int(gone.sum())
+        hidden = iter(gone.tolist())
+        done += [" ".join(mask * len(w) if next(hidden) else w for _, w in ws) for ws in words]
+    return "\n".join(done), total
 
 
 def redact(pages: DataFrame, boxes: DataFrame, mask: str = "█") -> DataFrame:
     """Page text with every word under a box replaced by ``mask`` (one per character).
 
-    Words are joined by single spaces. Output: ``doc_id, page_no, text, n_masked``. Words stay
-    inside their line, so only lines are joined and regrouped; a page's lines are one text value.
+    Words are joined by single spaces. Output: ``doc_id, page_no, text, n_masked``. Boxes are gathered per page and
+    joined once; pages without boxes stay in the JVM. Pages without text are dropped.
     """
-    lines = _page_lines(pages).join(covered_spans(pages, boxes), ["doc_id", "page_no", "line_no"], "left")
-
-    def hit(word: Column) -> Column:
-        return F.exists("spans", lambda s: (s["c1"] < word["x"] + F.length(word["token"])) & (s["c2"] > word["x"]))
-
-    def cover(words: Column) -> Column:
-        return let(
-            F.transform(words, lambda w: F.struct(w["token"].alias("token"), hit(w).alias("gone"))),
-            lambda ws: F.struct(
-                F.array_join(
-                    F.transform(ws, lambda w: F.when(w["gone"], F.repeat(F.lit(mask), F.length(w["token"]))).otherwise(w["token"])), " "
-                ).alias("s"),
-                F.size(F.filter(ws, lambda w: w["gone"])).cast("long").alias("n"),
-            ),
-        )
-
-    plain = F.struct(collapse("line").alias("s"), F.lit(0).cast("long").alias("n"))
-    done = F.when(F.col("spans").isNull(), plain).otherwise(let(_placed_words(F.col("line")), cover))
-    return (
-        lines.select("doc_id", "page_no", "line_no", done.alias("d"))
-        .groupBy("doc_id", "page_no")
-        .agg(F.array_sort(F.collect_list(F.struct("line_no", F.col("d.s").alias("s")))).alias("ls"), F.sum("d.n").alias("n_masked"))
-        .select("doc_id", "page_no", F.array_join(F.transform("ls", lambda x: x["s"]), "\n").alias("text"), "n_masked")
+    sides = ["left", "top", "right", "bottom"]
+    found = clean_boxes(boxes).groupBy("doc_id", "page_no").agg(*[F.collect_list(x).alias(f"__{x}") for x in sides])
+    joined = pages.filter("text IS NOT NULL").select("doc_id", "page_no", "text").join(found, ["doc_id", "page_no"], "left")
+
+    @F.pandas_udf("text string, n_masked long")
+    def cover(text: pd.Series, left: pd.Series, top: pd.Series, right: pd.Series, bottom: pd.Series) -> pd.DataFrame:
+        rows = [
+            (None, 0) if t is None else _masked(t, *[np.asarray(v, dtype=np.float64) for v in box], mask)
+            for t, *box in zip(text, left, top, right, bottom, strict=True)
+        ]
+        return pd.DataFrame(rows, columns=["text", "n_masked"])
+
+    boxed = F.col("__left").isNotNull()
+    plain = F.array_join(F.transform(F.split("text", "\n", -1), collapse), "\n")
+    covered = joined.withColumn("__c", cover(F.when(boxed, F.col("text")), *[F.col(f"__{x}") for x in sides]))
+    return covered.select(
+        "doc_id", "page_no", F.when(boxed, F.col("__c.text")).otherwise(plain).alias("text"),
+        F.when(boxed, F.col("__c.n_masked")).otherwise(F.lit(0)).cast("long").alias("n_masked"),
     )
 
 

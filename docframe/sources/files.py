@@ -80,7 +80,7 @@ def read_heads(spark: SparkSession, path: str | Sequence[str], glob: str | None
     """The first ``head`` bytes of every file under ``path``: ``path, length, head``.
 
     Spark lists the files and deals them to tasks without reading them; each task opens its files and reads their heads
-    only, so the bytes read do not depend on file sizes. Empty files have an empty head.
+    only, so the bytes read do not depend on file sizes. Spark deals no empty files to tasks, so they give no row.
     """
     listed = read_files(spark, path, glob).select("path", "length")
 

@@ -1,5 +1,9 @@
 """Text rules: Unicode, receipts, names, markup, passwords and error codes."""
 
+import random
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +87,36 @@ def test_redact_leaves_nothing_under_a_box(spark):
     assert got == {1: ("alpha ████ █████\n\n█████", 3), 2: ("free text", 0)}
 
 
+def test_redact_equals_a_plain_walk(monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(X, "LINES_AT_ONCE", 3)
+    for _ in range(200):
+        lines = ["".join(rng.choice("ab\u00e9 \u00a0\t") for _ in range(rng.randrange(14))) for _ in range(rng.randrange(1, 9))]
+        boxes = [(*sorted(rng.choices([0, 0.25, 0.5, rng.random(), 1], k=2)), *sorted(rng.choices([0, 0.25, 0.5, rng.random(), 1], k=2))) for _ in range(rng.randrange(1, 6))]
+        boxes = [b for b in boxes if b[1] - b[0] >= 0.004 and b[3] - b[2] >= 0.004] or [(0.0, 0.1, 0.0, 0.1)]
+        n, width, want, total = len(lines), max(1, *map(len, lines)), [], 0
+        for i, s in enumerate(lines, 1):
+            words = []
+            for m in re.finditer(r"[^ \t\u00a0]+", s):
+                hit = any(le * width < m.end() and r * width > m.start() and t < i / n and b > (i - 1) / n for le, r, t, b in boxes)
+                total += hit
+                words.append("#" * len(m.group()) if hit else m.group())
+            want.append(" ".join(words))
+        left, right, top, bottom = (np.array(x, float) for x in zip(*boxes))
+        assert X._masked("\n".join(lines), left, top, right, bottom, "#") == ("\n".join(want), total)
+
+
+def test_many_boxes_on_one_page(spark):
+    """10,000 boxes over 3,000 lines of one page, and a page without boxes, without text and of an unknown document."""
+    pages = spark.createDataFrame([(1, 1, "\n".join(["some words of a line"] * 3_000)), (2, 1, "a  b\n c"), (3, 1, None), (4, 1, "")], "doc_id long, page_no int, text string")
+    boxes = spark.range(10_000).selectExpr("1L AS doc_id", "1 AS page_no", "0.0D AS x1", "id / 10000 * 0.99 AS y1", "0.2D AS x2", "id / 10000 * 0.99 + 0.005 AS y2")
+    other = spark.sql("SELECT 9L AS doc_id, 1 AS page_no, 0D AS x1, 0D AS y1, 1D AS x2, 1D AS y2")
+    got = {r.doc_id: (r.text, r.n_masked) for r in X.redact(pages, boxes.unionByName(other)).collect()}
+    assert got[2] == ("a b\nc", 0) and got[4] == ("", 0) and set(got) == {1, 2, 4}
+    text, n = got[1]
+    assert text.split("\n")[0] == "████ words of a line" and n == sum(s.startswith("█") for s in text.split("\n")) > 2_900
+
+
 def test_classify_error_order(spark):
     assert one(spark, "total-input-too-large", X.classify_error("t", "pages")) == "total-input-too-large"
     assert one(spark, "total-input-too-large", X.classify_error("t", "pages", strict=True)) == "input-too-large"
