@@ -121,14 +121,20 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, **named) -> DataFrame:
 
 
 def contaminated_sql(width: int = 5, threshold: float = 0.8) -> str:
-    """The pairs as SQL for DuckDB, over whole tables."""
+    """The pairs as SQL for DuckDB, over whole tables, items shorter than a shingle included."""
     words = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
     shingle = " || ' ' || ".join(f"w[i + {k}]" for k in range(width))
     cut = f"unnest(list_distinct(list_transform(range(1, len(w) - {width - 2}), lambda i: {shingle})))"
     return f"""
-WITH d AS (SELECT doc_id, {cut} AS s FROM (SELECT doc_id, {words} AS w FROM documents) WHERE len(w) >= {width}),
-b AS (SELECT item_id, {cut} AS s FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) >= {width}),
-n AS (SELECT item_id, count(*)::BIGINT AS n_item FROM b GROUP BY item_id)
+WITH dw AS (SELECT doc_id, {words} AS w FROM documents),
+bw AS (SELECT item_id, {words} AS w FROM benchmark),
+d AS (SELECT doc_id, {cut} AS s FROM dw WHERE len(w) >= {width}),
+b AS (SELECT item_id, {cut} AS s FROM bw WHERE len(w) >= {width}),
+n AS (SELECT item_id, count(*)::BIGINT AS n_item FROM b GROUP BY item_id),
+short AS (SELECT item_id, len(w) AS k, array_to_string(w, ' ') AS s FROM bw WHERE len(w) BETWEEN 1 AND {width - 1}),
+runs AS (SELECT DISTINCT doc_id, k, array_to_string(w[i : i + k - 1], ' ') AS s
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM short)))
 SELECT doc_id, item_id, count(*)::BIGINT AS n_shared, n_item, count(*)::DOUBLE / n_item AS containment
 FROM d JOIN b USING (s) JOIN n USING (item_id)
-GROUP BY doc_id, item_id, n_item HAVING count(*) >= {threshold} * n_item - 1e-9"""
+GROUP BY doc_id, item_id, n_item HAVING count(*) >= {threshold} * n_item - 1e-9
+UNION ALL SELECT doc_id, item_id, 1::BIGINT, 1::BIGINT, 1::DOUBLE FROM runs JOIN short USING (k, s)"""

@@ -1,5 +1,7 @@
 """Benchmark items shorter than a shingle."""
 
+import duckdb
+
 from docframe.llm import decontaminate
 
 
@@ -13,3 +15,8 @@ def test_short_items_are_found_in_documents(spark):
     assert {(r.doc_id, r.item_id) for r in found} == want and all(r.n_shared == r.n_item == 1 for r in found)
     left = decontaminate.drop_contaminated(docs, asked, short_items=True)
     assert {r.doc_id for r in left.collect()} == {4}
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("benchmark", asked.toPandas())
+    rows = sorted(tuple(r) for r in docs.sparkSession.createDataFrame(found).select("doc_id", "item_id", "n_shared", "n_item", "containment").collect())
+    assert sorted(con.execute(decontaminate.contaminated_sql()).fetchall()) == rows
