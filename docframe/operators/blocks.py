@@ -2,8 +2,8 @@
 
 A page is a function of the place where it starts: the same start gives the same page and the same next start.
 So a section is cut into buckets of blocks; each bucket is reduced to a transition table "fill of the page that is
-open at its first block -> pages started, fill and state at its end", the tables are composed in bucket
-order, and every bucket is then placed on its own. A bucket never begins right after a heading, since headings
+open at its first block -> pages started, fill and state at its end", the tables are composed in a tree
+(:mod:`docframe.plans.transitions`), and every bucket is then placed on its own. A bucket never begins right after a heading, since headings
 may still move to the next page with what follows them.
 """
 
@@ -18,12 +18,12 @@ from pyspark.sql import types as T
 
 from docframe.plans.packing import SLACK, UNITS, whole_groups
 from docframe.plans.scan import bucket_of, ordered_scan
+from docframe.plans.transitions import FRESH, as_table, entry_states, table_fields
 
 BUCKET_BLOCKS = 16_384
 LEAST_ROOM = 12
 """A table row is divided only where this much of the page is left at its top."""
 _SLACK, _ROOM = round(SLACK * UNITS), LEAST_ROOM * UNITS
-_FRESH = -1  # the next block starts a page
 _B = "__bucket"
 _COLUMNS = ("ord", "kind", "units", "height", "header", "lines", "whole")
 
@@ -71,11 +71,11 @@ def _divided(block: Block, start: Start, room: int, first: bool) -> tuple[int, i
     return last, lines, (i, last + 1, 1, header)
 
 
-def lay_page(blocks: list[Block], limit: int, start: Start, fill: int = _FRESH) -> Page:
+def lay_page(blocks: list[Block], limit: int, start: Start, fill: int = FRESH) -> Page:
     """The page that starts at ``start``, or goes on there with ``fill`` used by blocks before ``blocks``."""
-    first_block = start[0] if fill == _FRESH else -1
+    first_block = start[0] if fill == FRESH else -1
     i, unit, line, repeated = start
-    count, fill = (0, 0) if fill == _FRESH else (1, fill)
+    count, fill = (0, 0) if fill == FRESH else (1, fill)
     parts: list[tuple] = []
     while i < len(blocks):
         ord_, kind, units, height, _, lines, _ = blocks[i]
@@ -92,7 +92,7 @@ def lay_page(blocks: list[Block], limit: int, start: Start, fill: int = _FRESH)
         if count == 0:
             # Taller than a page and not divisible: it stays here, the next block turns the page.
             parts.append((ord_, unit, units, repeated, line, lines))
-            return Page(parts, (i + 1, 1, 1, 0), _FRESH)
+            return Page(parts, (i + 1, 1, 1, 0), FRESH)
         j = i
         while j - 1 > first_block and blocks[j - 1][1] == "heading":
             j -= 1
@@ -101,11 +101,11 @@ def lay_page(blocks: list[Block], limit: int, start: Start, fill: int = _FRESH)
 
 
 def _ends(blocks: list[Block], limit: int, start: Start, known: dict[Start, tuple[int, int]]) -> tuple[int, int]:
-    """Pages started from ``start`` on, and the fill at the end of the bucket (``_FRESH``: the next block turns)."""
+    """Pages started from ``start`` on, and the fill at the end of the bucket (``FRESH``: the next block turns)."""
     path, at = [], start
     while at not in known:
         if at[0] >= len(blocks):
-            known[at] = (0, _FRESH)
+            known[at] = (0, FRESH)
             break
         page = lay_page(blocks, limit, at)
         if page.following is None:
@@ -139,29 +139,13 @@ def transitions(blocks: list[Block], limit: int) -> dict:
                     borders.add(left - k * height - _SLACK - _ROOM)
         top += units * height
     total = sum(b[2] * b[3] for b in blocks)
-    fills, pages, ends = [], [], []
+    steps = []
     for fill in sorted(b for b in borders if 0 <= b <= limit):
         if fill + total <= limit:
             continue
         page = lay_page(blocks, limit, (0, 1, 1, 0), fill)
-        n, end = (0, page.fill) if page.following is None else _ends(blocks, limit, page.following, known)
-        if fills and (pages[-1], ends[-1]) == (n, end):
-            fills[-1] = fill
-        else:
-            fills.append(fill), pages.append(n), ends.append(end)
-    n, end = _ends(blocks, limit, (0, 1, 1, 0), known)
-    return {"fills": [*fills, _FRESH], "pages": [*pages, n], "ends": [*ends, end], "total": total}
-
-
-def _followed(table, fill: int, limit: int) -> tuple[int, int]:
-    """Pages that start in a bucket entered with ``fill``, and the fill behind it."""
-    if fill != _FRESH:
-        if fill + table["total"] <= limit:
-            return 0, fill + int(table["total"])
-        for k, most in enumerate(table["fills"][:-1]):
-            if fill <= most:
-                return int(table["pages"][k]), int(table["ends"][k])
-    return int(table["pages"][-1]), int(table["ends"][-1])
+        steps.append((fill, 0, page.fill) if page.following is None else (fill, *_ends(blocks, limit, page.following, known)))
+    return as_table(steps, _ends(blocks, limit, (0, 1, 1, 0), known), total, limit)
 
 
 def _bucketed(blocks: DataFrame, keys: list[str], bucket_blocks: int) -> DataFrame:
@@ -184,8 +168,8 @@ def pack_blocks(blocks: DataFrame, capacity: float, bucket_blocks: int = BUCKET_
     paragraph breaks between lines, with at least two lines left on a page it does not start; a table breaks
     between rows and repeats its header rows; the row at the page end is divided between its lines unless it
     is a header, can't be split, or less than ``LEAST_ROOM`` is left at its top; headings move with the
-    block that follows them; anything else stays whole. A section starts on a new page. No task holds a section:
-    only transition tables, one per bucket, are read in a row. A run of headings is not cut into buckets.
+    block that follows them; anything else stays whole. A section starts on a new page. No task holds a section
+    or all its tables. A run of headings is not cut into buckets.
     """
     keys, limit = ["doc_id", "section"], round((capacity + SLACK) * UNITS)
     optional = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in blocks.columns else F.lit(default)
@@ -198,7 +182,6 @@ def pack_blocks(blocks: DataFrame, capacity: float, bucket_blocks: int = BUCKET_
     key_fields = [base.schema[k] for k in keys]
     place = [F.col(c) for c in (*keys, _B)]
     longs = lambda *names: [T.StructField(c, T.LongType()) for c in names]
-    lists = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("fills", "pages", "ends")]
 
     def listed(pdf: pd.DataFrame) -> list[Block]:
         return list(zip(*(pdf[c].tolist() for c in _COLUMNS)))
@@ -212,47 +195,36 @@ def pack_blocks(blocks: DataFrame, capacity: float, bucket_blocks: int = BUCKET_
             tables = pd.DataFrame([transitions(listed(pdf.iloc[i:j]), limit) for i, j in zip(cuts[:-1], cuts[1:])])
             yield pd.concat([pdf[[*keys, _B]].iloc[cuts[:-1]].reset_index(drop=True), tables], axis=1)
 
-    schema = T.StructType([*key_fields, *longs(_B), *lists, *longs("total")])
+    schema = T.StructType([*key_fields, *longs(_B), *table_fields()])
     ordered = rows.join(several, [*keys, _B], "left_semi").repartition(*place).sortWithinPartitions(*keys, _B, "ord")
     tables = ordered.mapInPandas(reduced, schema)
 
-    def composed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, fill, done = None, _FRESH, 0
-        for pdf in batches:
-            fills, dones = [], []
-            for table in pdf.to_dict("records"):
-                key = tuple(table[k] for k in keys)
-                if key != current:
-                    current, fill, done = key, _FRESH, 0
-                fills.append(fill), dones.append(done)
-                started, fill = _followed(table, fill, limit)
-                done += started
-            yield pdf[[*keys, _B]].assign(fill=fills, done=dones)
-
-    entries = tables.repartition(*keys).sortWithinPartitions(*keys, _B).mapInPandas(composed, T.StructType([*key_fields, *longs(_B, "fill", "done")]))
+    entries = entry_states(tables, keys)
 
     def laid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, cuts in whole_groups(batches, [*keys, _B]):
             out: list[tuple] = []
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                key, fill, done = [pdf[k].iat[i] for k in keys], _FRESH, 0
+                key, fill, done = [pdf[k].iat[i] for k in keys], FRESH, 0
                 if pdf["done"].iat[i] >= 0:  # the entry state
                     fill, done, i = int(pdf["units"].iat[i]), int(pdf["done"].iat[i]), i + 1
                 some, at = listed(pdf.iloc[i:j]), (0, 1, 1, 0)
                 while at is not None and at[0] < len(some):
                     page = lay_page(some, limit, at, fill)
-                    done += fill == _FRESH
+                    done += fill == FRESH
                     out += [(*key, p[0], done, *p[1:]) for p in page.parts]
-                    at, fill = page.following, _FRESH
+                    at, fill = page.following, FRESH
             yield pd.DataFrame(out, columns=result.names)
 
     result = T.StructType([*key_fields, *longs("ord", "page_no", "first_unit", "last_unit", "repeated_rows", "first_line", "last_line")])
-    states = entries.select(
-        *keys, F.lit(-1).cast("long").alias("ord"), F.lit("").alias("kind"), F.col("fill").alias("units"), *[F.lit(0).cast("long").alias(c) for c in ("height", "header", "lines")],
-        F.lit(False).alias("whole"), _B, "done", F.lit(0).alias("__first"),
-    )
     marked = rows.withColumn("done", F.lit(-1).cast("long")).withColumn("__first", F.lit(1))
-    return marked.unionByName(states).repartition(*place).sortWithinPartitions(*keys, _B, "__first", "ord").mapInPandas(laid, result)
+    if entries is not None:
+        states = entries.select(
+            *keys, F.lit(-1).cast("long").alias("ord"), F.lit("").alias("kind"), F.col("fill").alias("units"), *[F.lit(0).cast("long").alias(c) for c in ("height", "header", "lines")],
+            F.lit(False).alias("whole"), _B, "done", F.lit(0).alias("__first"),
+        )
+        marked = marked.unionByName(states)
+    return marked.repartition(*place).sortWithinPartitions(*keys, _B, "__first", "ord").mapInPandas(laid, result)
 
 
 def blocks_sql(blocks: str, capacity: float) -> str:

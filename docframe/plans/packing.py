@@ -3,8 +3,8 @@
 Where a page starts depends on everything before it, so the obvious plan folds a key in one
 task. Inside a bucket, however, only the fill of the page that is open at its start is unknown,
 and only the first page turn depends on it. Each bucket is therefore reduced to a small table
-"first turn at item p -> fill at the end, pages started", the tables are chained in bucket order,
-and every bucket is then placed on its own.
+"fill at its start -> pages started, fill at the end", the tables are composed in a tree
+(:mod:`docframe.plans.transitions`), and every bucket is then placed on its own.
 """
 
 from __future__ import annotations
@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docframe.plans.scan import BUCKET_ROWS, bucket_of, ordered_scan
+from docframe.plans.transitions import FRESH, NEVER, as_table, entry_states, table_fields
 
 SLACK = 0.5
 UNITS = 1_000_000
 """Sizes and capacities are rounded to millionths and added as whole numbers, so sums are exact and the
 placement does not depend on where a bucket starts."""
 _B = "__bucket"
-_FRESH = -1  # the next item starts a new page
 
 
 def _turns(size: np.ndarray, brk: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +72,8 @@ def whole_groups(batches: Iterator[pd.DataFrame], by: Sequence[str]) -> Iterator
 
 
 def _summarise(size: np.ndarray, brk: np.ndarray, limit: int) -> dict:
+    """The bucket's transition table. An open page with fill f turns at the first item whose prefix sum is above
+    ``limit - f``, so every item that can be the first to turn has one greatest fill."""
     n = len(size)
     cum, nxt = _turns(size, brk, limit)
     turn_from, pages = [0] * n, [0] * n
@@ -79,18 +81,17 @@ def _summarise(size: np.ndarray, brk: np.ndarray, limit: int) -> dict:
     for i in range(n - 1, -1, -1):
         j = hops[i]
         turn_from[i], pages[i] = (i, 1) if j >= n else (turn_from[j], pages[j] + 1)
-    last = min(_first_turn(cum, brk, limit, 0), n - 1)
-    closed = bool(brk[-1])
-    marks = np.flatnonzero(brk)
-    return {
-        "heads": cum[1 : last + 2].tolist(),
-        "ends": [_FRESH if closed else int(cum[n] - cum[turn_from[p]]) for p in range(last + 1)],
-        "pages": pages[: last + 1],
-        "n": n,
-        "whole": int(cum[n]),
-        "forced": int(marks[0]) + 1 if len(marks) else -1,
-        "cap": limit,
-    }
+
+    def end(p: int) -> int:
+        fill = int(cum[n] - cum[turn_from[p]])
+        return FRESH if brk[-1] or fill > limit else fill
+
+    first = _first_turn(cum, brk, limit, 0)
+    steps = [(limit - int(cum[p]), pages[p], end(p)) for p in range(min(first, n - 1), -1, -1)]
+    whole, marked = int(cum[n]), bool(brk.any())
+    if marked and first == n and whole <= limit:  # the only mark is on the last item
+        steps.insert(0, (limit - whole, 0, FRESH))
+    return as_table(steps, (pages[0], end(0)), NEVER if marked else min(whole, limit + 1), limit)
 
 
 def pack_pages(
@@ -123,7 +124,7 @@ def pack_pages(
     )
     key_fields = [base.schema[k] for k in keys]
 
-    # Keys that fit in one bucket need no chaining: their first page starts with the bucket.
+    # Keys that fit in one bucket need no table: their first page starts with the bucket.
     buckets = (
         base.groupBy(*keys, _B)
         .agg(F.count(F.lit(1)).alias("__n"))
@@ -131,13 +132,7 @@ def pack_pages(
     )
     several = base.join(buckets.filter("__of > 1").select(*keys, _B), [*keys, _B], "left_semi")
 
-    summary_schema = T.StructType(
-        [*key_fields, T.StructField(_B, T.LongType())]
-        + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("heads", "ends")]
-        + [T.StructField("pages", T.ArrayType(T.LongType())), T.StructField("n", T.LongType())]
-        + [T.StructField("whole", T.LongType()), T.StructField("forced", T.LongType())]
-        + [T.StructField("cap", T.LongType())]
-    )
+    summary_schema = T.StructType([*key_fields, T.StructField(_B, T.LongType()), *table_fields()])
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, cuts in whole_groups(batches, [*keys, _B]):
@@ -152,42 +147,7 @@ def pack_pages(
         several.repartition(*by).sortWithinPartitions(*keys, _B, "idx").mapInPandas(summarise, summary_schema)
     )
 
-    entry_schema = T.StructType(
-        [
-            *key_fields,
-            T.StructField(_B, T.LongType()),
-            T.StructField("fill", T.LongType()),
-            T.StructField("done", T.LongType()),
-        ]
-    )
-
-    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, fill, done = None, _FRESH, 0
-        for pdf in batches:
-            fills, dones = [], []
-            for row in pdf.to_dict("records"):
-                key = tuple(row[k] for k in keys)
-                if key != current:
-                    current, fill, done = key, _FRESH, 0
-                fills.append(fill)
-                dones.append(done)
-                n, forced = row["n"], row["forced"]
-                turn = 0
-                if fill >= 0:
-                    turn = int(np.searchsorted(np.asarray(row["heads"]), row["cap"] - fill, side="right"))
-                    turn = min(turn, forced) if forced >= 0 else turn
-                if turn < n:
-                    done += int(row["pages"][turn])
-                    fill = int(row["ends"][turn])
-                else:
-                    fill = _FRESH if forced == n else fill + row["whole"]
-            yield pdf[[*keys, _B]].assign(fill=fills, done=dones)
-
-    entries = (
-        summaries.repartition(*[F.col(k) for k in keys])
-        .sortWithinPartitions(*keys, _B)
-        .mapInPandas(chain, entry_schema)
-    )
+    entries = entry_states(summaries, keys)
 
     placed_schema = T.StructType(
         [
@@ -207,7 +167,7 @@ def pack_pages(
             entry = done >= 0
             seq = np.zeros(len(pdf), dtype=np.int64)
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                fill, base_seq = _FRESH, 0
+                fill, base_seq = FRESH, 0
                 if entry[i]:
                     fill, base_seq = int(size[i]), int(done[i])
                     i += 1
@@ -223,16 +183,13 @@ def pack_pages(
 
     # A bucket's entry state travels as one extra row sorted before its items.
     marked = base.withColumn("done", F.lit(-1).cast("long")).withColumn("__first", F.lit(1))
-    states = entries.select(
-        *keys, F.lit(0).cast("long").alias("idx"), F.lit(0.0).alias("size"), F.col("fill").alias("units"),
-        F.lit(False).alias("brk"), F.lit(0).cast("long").alias("cap"), _B, "done", F.lit(0).alias("__first"),
-    )
-    return (
-        marked.unionByName(states)
-        .repartition(*by)
-        .sortWithinPartitions(*keys, _B, "__first", "idx")
-        .mapInPandas(place, placed_schema)
-    )
+    if entries is not None:
+        states = entries.select(
+            *keys, F.lit(0).cast("long").alias("idx"), F.lit(0.0).alias("size"), F.col("fill").alias("units"),
+            F.lit(False).alias("brk"), F.lit(0).cast("long").alias("cap"), _B, "done", F.lit(0).alias("__first"),
+        )
+        marked = marked.unionByName(states)
+    return marked.repartition(*by).sortWithinPartitions(*keys, _B, "__first", "idx").mapInPandas(place, placed_schema)
 
 
 def page_segments(packed: DataFrame, keys: Sequence[str]) -> DataFrame:

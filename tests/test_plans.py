@@ -14,6 +14,7 @@ from docframe.operators import outline as O
 from docframe.operators import series as S
 from docframe.operators.blocks import pack_blocks
 from docframe.plans.scan import attach, bucket_of, explode_span, ordered_scan
+from docframe.plans.transitions import followed
 from docframe.sources import files as FS
 from docframe.plans.stage import fresh_path
 
@@ -184,11 +185,11 @@ def test_block_tables_compose_to_the_walk():
             page, pages = B.lay_page(some, limit, (0, 1, 1, 0), fill), 0 if fill >= 0 else 1
             while page.following is not None and page.following[0] < len(some):
                 page, pages = B.lay_page(some, limit, page.following), pages + 1
-            assert B._followed(table, fill, limit) == (pages, -1 if page.following is not None else page.fill)
+            assert followed(table, fill, limit) == (pages, -1 if page.following is not None else page.fill)
 
 
 def test_pack_blocks_one_section_of_many_buckets(spark):
-    """A single section of 30,000 blocks: no task but the one that reads tables sees more than a bucket."""
+    """A single section of 30,000 blocks: no task sees more than a bucket of them."""
     n = 30_000
     df = spark.range(n).selectExpr(
         "1L AS doc_id", "0 AS section", "id AS ord", "IF(id % 7 = 0, 'heading', 'para') AS kind", "1 + id % 3 AS units", "10D AS unit_height", "0L AS header_rows"
