@@ -28,7 +28,8 @@ from docframe.llm.arrays import owners, rolling, signed, windows
 
 ORDERS = (4, 3, 2, 1)
 MIN_SHARE = 2e-6
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 250_000
+"""Characters computed at a time; bounds a worker's memory, results do not depend on it."""
 UNDETERMINED = "und"
 _BASE = 0xA24BAED4963EE407
 _EDGE = 1
